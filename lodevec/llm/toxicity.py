@@ -11,6 +11,7 @@ the loop over time only adds, multiplies by small matrices and applies the gates
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -344,17 +345,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most ``rows`` labelled rows outside the held-out fold, those with the least hash of their id.
+    """Train on the documents of at most ``rows`` labels outside the held-out fold, those with the least hash of their id.
 
-    Rows with a null id or label, or a text over ``TRAIN_CHARS`` characters, aren't learnt from; of rows
-    that repeat an id, all may be. Without rows of both labels the model gives each text the same score.
+    Labels with a null id or label, and texts over ``TRAIN_CHARS`` characters, aren't learnt from; an id that
+    labels repeat counts once, with the highest label. Without rows of both labels the model gives each text
+    the same score. The ids are picked before texts are read, so only ``rows`` ids are broadcast and no text is shuffled.
     """
-    marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__label is not null")
+    marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id is not null and __label is not null")
     marked = marked.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("__label").alias("__label"))
+    picked = marked.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(rows)
     texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).where(F.length("__text") <= TRAIN_CHARS)
-    sample = texts.join(marked, "__id").orderBy(F.xxhash64(F.col("__id").cast("string")), "__text").limit(rows)
-    picked = sample.select("__text", "__label").collect()
-    return train_calibrated([r[0] for r in picked], [int(r[1] == 1) for r in picked])
+    found = texts.join(F.broadcast(picked), "__id").limit(rows).collect()
+    found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
+    return train_calibrated([r[1] for r in found], [int(r[2] == 1) for r in found])
 
 
 def score_column(shared: Broadcast, text: Column) -> Column:
