@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from lodevec.functions import vectors as V
 from lodevec.operators import router
 from lodevec.operators.codec import Codec
-from lodevec.operators.knn import filter_column, ranked_candidates
+from lodevec.operators.knn import batch_knn, filter_column, ranked_candidates
+from lodevec.operators.rotation import rotate_back
 from lodevec.plans import budget
 from lodevec.plans.options import ATTRIBUTE_TYPES, FORMAT_VERSION, IndexOptions, MaintenanceKnobs, QueryKnobs, lane_count
 from lodevec.sources import files
@@ -350,7 +351,7 @@ class VectorIndex:
 
     def _scored(self, rows: DataFrame, rotated: np.ndarray, keep: int, by_code: bool, bound: tuple[str, ...]) -> DataFrame:
         """``(id, score, bound...)``; each batch passes on its best ``keep`` rows."""
-        source = rows.select("id", *CODE_COLUMNS, *bound)
+        source = rows.select("id", *CODE_COLUMNS, *(b for b in bound if b not in CODE_COLUMNS))
         fields = {f.name: f for f in source.schema.fields}
         schema = T.StructType([fields["id"], T.StructField("score", T.DoubleType()), *(fields[b] for b in bound)])
         arrow, codec, metric = _arrow(schema), self.codec, self.options.metric
@@ -408,6 +409,29 @@ class VectorIndex:
             found = self._scored(found.drop("score"), rotated, capacity, False, tuple(payload)).orderBy("score", "id").limit(capacity)
         return found.orderBy("score", "id").limit(min(k, capacity)), stats
 
+    def decoded(self) -> DataFrame:
+        """``(id, embedding)`` of all live rows, as their codes have them, in the space of the original vectors."""
+        names = ("id", *CODE_COLUMNS)
+        delta = self._delta()
+        rows = self._live().select(*names)
+        rows = rows if delta is None else rows.unionByName(delta.select(*names))
+        schema = T.StructType([rows.schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+        arrow, codec = _arrow(schema), self.codec
+
+        def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    codes, signs = codec.unpack(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                    x = rotate_back(codec.decode(codes, signs, batch.column(3).to_numpy(zero_copy_only=False)), codec.dimension, codec.seed)
+                    ends = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+                    yield _with(batch, arrow, embedding=pa.ListArray.from_arrays(ends, pa.array(x.ravel())))
+
+        return rows.mapInArrow(decode, schema)
+
+    def search_batch(self, queries: DataFrame, k: int, query_id: str = "qid", query_emb: str = "embedding") -> DataFrame:
+        """``(qid, id, distance, rank)``: all codes against each of many queries, in blocks of queries."""
+        return batch_knn(self.decoded(), queries, k, self.options.metric, "id", "embedding", query_id, query_emb)
+
     def _completed(self, chosen: list[int], condition, knobs: QueryKnobs, stats: ScanStats) -> list[int]:
         """As many of the ranked lists, in order, as give the wanted number of rows; one count by list."""
         counts = {r[0]: r[1] for r in self._live(chosen).where(condition).groupBy("list_id").count().collect()}
