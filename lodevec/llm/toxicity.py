@@ -26,7 +26,7 @@ from lodevec.llm.common import map_rows, schema_of, text_or_empty
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 6, 6, 4096
-VOCABULARY = 4000
+VOCABULARY = 8000
 #: The classifier is fitted on this many labelled rows at most, those with the least hash of id, and on none above that length.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
 TABLE_WORDS = 200_000
@@ -183,6 +183,16 @@ def _log_odds(docs: list[set[str]], labels: np.ndarray, vocabulary: list[str]) -
     return np.concatenate(([0.0], np.log(share / prior)))
 
 
+def _telling(docs: list[set[str]], labels: np.ndarray) -> list[str]:
+    """The vocabulary: half of it the most frequent words, half those that lean most to either label for their number."""
+    held = Counter(w for s in docs for w in s)
+    bad = Counter(w for s, label in zip(docs, labels, strict=True) if label for w in s)
+    prior = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
+    lean = {w: abs(bad[w] - n * prior) / np.sqrt(n * prior * (1 - prior) + 1) for w, n in held.items() if n > 2}
+    often = sorted(held, key=lambda w: (-held[w], w))[: VOCABULARY // 2]
+    return sorted({*often, *sorted(lean, key=lambda w: (-lean[w], w))[: VOCABULARY // 2]})
+
+
 def _cut(rows: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> np.ndarray:
     """All overlapping windows of a sequence, the last padded with 0; at least one."""
     n = max(1, -(-(len(rows) - window) // stride) + 1) if len(rows) > window else 1
@@ -191,18 +201,18 @@ def _cut(rows: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> np.nda
     return np.lib.stride_tricks.sliding_window_view(whole, window)[::stride]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 64, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 300, batch: int = 64, seed: int = 7) -> Model:
     """Fit on whole texts: words are weighed on one half, windows of the other half train the network.
 
     A text stands for its window with the highest sum of word odds; a clean one also for two more at random.
+    There are at least ``epochs`` rounds over them and about ``steps`` batches.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
     split = [[w.strip(STRIP) or w for w in words_of(t)] for t in texts]
     sets = [set(s) for s in split]
     half = np.arange(len(split)) % 2 == 0
-    held = Counter(w for s in sets for w in s)
-    vocabulary = sorted(sorted(held, key=lambda w: (-held[w], w))[:VOCABULARY])
+    vocabulary = _telling(sets, y)
     words = {w: i + 1 for i, w in enumerate(vocabulary)}
     all_odds = _log_odds(sets, y, vocabulary) if len(split) else np.zeros(len(vocabulary) + 1)
     model = new_model(words, all_odds, seed)
@@ -222,6 +232,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 64,
             halves += [(i, windows[k], odds) for k in sorted(picks)]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.arrays().items()}
     step = 0
+    epochs = max(epochs, -(-steps * batch // max(1, len(halves))))
     for epoch in range(epochs):
         order = rng.permutation(len(halves))
         rate = 0.01 * (1 - epoch / (epochs + 1))
