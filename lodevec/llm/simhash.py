@@ -155,7 +155,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     found = near_duplicates(df, id_col, text_col, shingle, distance).where(F.col(id_col).isNotNull())
     found = settle(found.select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component_id")).alias("__first")), "found")
     dropped = found.groupBy("__id").agg(F.max("__first").alias("__any"), F.count("*").alias("__rows"))
-    kept = df.join(dropped.where(~F.col("__any")), df[id_col] == F.col("__id"), "left_anti")
+    # the ids to drop grow with the input, so they are never broadcast: texts are shuffled once, at any size
+    kept = df.join(dropped.where(~F.col("__any")).hint("merge"), df[id_col] == F.col("__id"), "left_anti")
     if dropped.where(F.col("__rows") > 1).limit(1).count():
         named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
         kept = named.unionByName(kept.where(F.col(id_col).isNull()))
