@@ -17,10 +17,11 @@ def context_tokens(texts: Column) -> Column:
     return F.aggregate(texts, F.lit(0), lambda n, t: n + token_count(t))
 
 
-def prompt(question: Column, contexts: Column) -> Column:
-    """The question, numbered contexts and a closing cue, each on a line."""
-    numbered = F.transform(contexts, lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c))
-    return F.concat_ws("\n", F.concat(F.lit("Question: "), question), F.lit("Context:"), F.array_join(numbered, "\n"), F.lit("Answer:"))
+def prompt(system: Column, question: Column, contexts: Column) -> Column:
+    """System prompt, question, contexts (structs of id and text) and a closing cue; blank lines between the parts."""
+    shown = F.transform(contexts, lambda c: F.concat(F.lit("["), c["id"].cast("string"), F.lit("] "), c["text"]))
+    opening = F.array(system, F.lit(""), F.concat(F.lit("Question: "), question), F.lit(""), F.lit("Contexts:"))
+    return F.array_join(F.concat(opening, shown, F.array(F.lit(""), F.lit("Answer:"))), "\n")
 
 
 def canonical_id(passage_id: Column, several_fields: bool = True) -> Column:

@@ -409,6 +409,48 @@ class VectorIndex:
             found = self._scored(found.drop("score"), rotated, capacity, False, tuple(payload)).orderBy("score", "id").limit(capacity)
         return found.orderBy("score", "id").limit(min(k, capacity)), stats
 
+    def page_bounds(self, rotated: np.ndarray) -> DataFrame:
+        """``(list_id, page_id, best)``: no code of the page has a larger estimated inner product.
+
+        A page's rows lie within its radius of its first row, and an inner product changes by at most
+        the query's length times that distance.
+        """
+        pages = self.spark.read.parquet(self._file("pages")).select("list_id", "page_id", *(F.col(f"first_{c}").alias(c) for c in CODE_COLUMNS), "radius")
+        codec, length = self.codec, float(np.sqrt((rotated**2).sum()))
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    codes, signs = codec.unpack(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                    base, sketch = codec.estimate(rotated, codes, signs, batch.column(4).to_numpy(zero_copy_only=False))
+                    radius = batch.column(5).to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base + sketch + length * radius + 1e-6)], ["list_id", "page_id", "best"])
+
+        return pages.mapInArrow(bound, "list_id int, page_id bigint, best double")
+
+    def search_pruned(self, query: Sequence[float], k: int, first_pages: int = 16) -> tuple[DataFrame, ScanStats]:
+        """As an inner-product ``search`` of all lists, in two passes over pages.
+
+        The first scores the pages of the best bounds and so learns a score that the k-th best has at least; the
+        second scores only pages whose bound reaches it. The delta is scored in both.
+        """
+        if self.options.metric != "ip" or not self.options.normalized:
+            raise ValueError("page bounds hold for normalized inner products only")
+        rotated = self._query(query)
+        bounds = self.page_bounds(rotated)
+        names = ("id", *CODE_COLUMNS)
+        delta = self._delta()
+
+        def best(pages: DataFrame) -> DataFrame:
+            rows = self._live().join(pages.select("list_id", "page_id"), ["list_id", "page_id"], "left_semi").select(*names)
+            rows = rows if delta is None else rows.unionByName(delta.select(*names))
+            return self._scored(rows, rotated, k, True, ()).orderBy("score", "id").limit(k)
+
+        known = best(bounds.orderBy(F.col("best").desc(), "list_id", "page_id").limit(first_pages)).agg(F.count("*"), F.max("score")).first()
+        kept = bounds if known[0] < k else bounds.where(F.col("best") >= F.lit(-known[1] - 1e-6))
+        stats = ScanStats("ivf" if self.options.lists else "flat", "code_domain", candidate_capacity=k, visited_page_count=kept.count())
+        return best(kept), stats
+
     def decoded(self) -> DataFrame:
         """``(id, embedding)`` of all live rows, as their codes have them, in the space of the original vectors."""
         names = ("id", *CODE_COLUMNS)

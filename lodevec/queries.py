@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodevec.functions import text as X
 from lodevec.functions import vectors as V
-from lodevec.operators import evaluate, index, knn
+from lodevec.operators import campaign, evaluate, index, knn
 from lodevec.plans import budget
 from lodevec.plans.options import IndexOptions, QueryKnobs
 from lodevec.sources import files, ingest
@@ -398,10 +398,12 @@ def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", X.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
-@registered("X04_prompt", "SELECT conv_id, sha256(concat_ws(chr(10), 'Question: ' || text, 'Context:', '[1] a' || chr(10) || '[2] b', 'Answer:')) AS hash FROM conversations WHERE turn = 0")
+@registered("X04_prompt", """
+    SELECT conv_id, sha256(concat_ws(chr(10), 'Be brief.', '', 'Question: ' || text, '', 'Contexts:', '[7] a', '[8] b', '', 'Answer:')) AS hash FROM conversations WHERE turn = 0""")
 def x04(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = _table(spark, sf_dir, "conversations").where("turn = 0")
-    return first.select("conv_id", X.template_hash(X.prompt(F.col("text"), F.array(F.lit("a"), F.lit("b")))).alias("hash"))
+    contexts = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in ((7, "a"), (8, "b"))))
+    return first.select("conv_id", X.template_hash(X.prompt(F.lit("Be brief."), F.col("text"), contexts)).alias("hash"))
 
 
 @registered("X05_canonical_id", "SELECT vec_id, split_part(label || ':' || vec_id, ':', 1) AS id FROM embeddings")
@@ -477,6 +479,37 @@ def i01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "live_count bigint, dead_count bigint, list_count int, code_bytes int, action string, even_enough boolean")
 
 
+@registered("H12_campaign_plan", """
+    SELECT d || ':' || s || ':' || k AS scenario_id FROM (SELECT unnest(['nq', 'hotpot']) AS d), (SELECT unnest(['quantized_approx', 'quantized_rerank', 'exact', 'float_lists']) AS s),
+    (SELECT unnest(['retrieval_only', 'end_to_end']) AS k)""")
+def h12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return campaign.plan(spark, ["nq", "hotpot"]).select("scenario_id")
+
+
+@registered("H14_regression_gate", """
+    SELECT * FROM (VALUES ('recall_floor', true), ('visited_code_fraction', true), ('visited_page_fraction', false), ('score_mode', true), ('probes', true)) t(name, passed)""")
+def h14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = spark.createDataFrame([("hotpot", "quantized_rerank", 0.97, 0.5, 0.9, "decoded", 4.0)], "dataset string, system_id string, recall double, visited_code_fraction double, visited_page_fraction double, score_mode string, probes double")
+    return campaign.gate(row, campaign.Gate("hotpot", "quantized_rerank", 0.9, 0.9, 0.7, "decoded", 8)).select("name", "passed")
+
+
+@registered("I04_shadow_candidates", """SELECT 64::BIGINT AS overlap, 0::BIGINT AS left_only, 0::BIGINT AS right_only""")
+def i04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates by the estimator and by decoded inner products; the two agree up to rounding."""
+    built, query = _built(spark, sf_dir, bits=4, metric="ip"), _probe(spark, sf_dir)
+    first, _ = built.search(query, 64)
+    second, _ = built.search(query, 64, QueryKnobs(force_decode_score_diagnostics=True))
+    return evaluate.overlap(first, second)
+
+
+@registered("P10_two_pass_pruning", f"SELECT vec_id, distance FROM ({NEAR_ZERO}) ORDER BY distance, vec_id LIMIT 10")
+def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose bound can't reach the threshold of a first pass aren't scored; the result stays that of a full scan."""
+    built, query = _built(spark, sf_dir, bits=8, lists=8, metric="ip"), _probe(spark, sf_dir)
+    found, _ = built.search_pruned(query, 128)
+    return knn.exact_rerank(built.rows().withColumnRenamed("id", "vec_id"), found.withColumnRenamed("id", "vec_id"), query, 10, "cosine", "vec_id")
+
+
 @registered("S02_code_recall", "SELECT * FROM (VALUES (2, true), (4, true), (8, true)) t(bits, reached)")
 def s02_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the decoded cosine of flat codes reaches the recall at 10 that its number of bits should have."""
