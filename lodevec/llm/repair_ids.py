@@ -23,7 +23,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +38,29 @@ from lodevec.llm.shared_files import RangeReader, write_new
 MAGIC = b"RPGRAM01"
 SHARD_TOKENS = 1 << 21
 ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 4, 4096, 6
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 # ---------------------------------------------------------------------- words to ids
+class Known(dict):
+    """Ids of cuts as bytes; what is missing is encoded when it is first asked for."""
+
+    def __init__(self, encoder: WordEncoder, older: dict) -> None:
+        self[""] = b""
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, cut: str) -> bytes:
+        found = self.older.get(cut)
+        found = self[cut] = self.encoder._cut(cut) if found is None else found
+        return found
+
+
 class WordEncoder:
     """Ids of whole texts from a Hugging Face tokenizer whose parts never reach across white space.
 
-    Texts are cut at spaces and line ends; ids of cuts are kept in a bounded table as bytes. A cut that
-    isn't known is cut further, where that can't change its ids: an ASCII cut into what the
-    tokenizer's own pattern makes of it, any other before its closing full stops and commas.
+    Texts are cut at spaces and line ends; ids of cuts are kept in bounded tables as bytes. A cut that
+    isn't known is cut further, where that can't change its ids: before closing full stops and
+    commas after letters, and an ASCII cut into what the tokenizer's own pattern makes of it.
     """
 
     #: The tokenizer's pattern of parts, a fixed value of its file.
@@ -60,70 +73,81 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 60_000 else "<u4")
         self.code = "H" if self.width.itemsize == 2 else "I"
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Known(self, {})
+        self.lower: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         # byte-level models name a byte by its Latin-1 character if that is printable, else by one from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.letters = dict(zip((b for b in range(256) if b not in shown), range(256, 512), strict=False))
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, self.width).tobytes() for e in found]
-
-    def _learn(self, words: list[str]) -> list[str]:
-        """Encode parts of letters only, which are one pre-token each, by the model alone; gives the others back."""
-        rest = []
-        normal, model, table, code = self.tokenizer.normalizer, self.tokenizer.model.tokenize, self.letters, self.code
-        for word in words:
-            if word.isascii() and word.isalpha():
-                plain = word.lower()
+        rest = dict(zip((b for b in range(256) if b not in shown), range(256, 512), strict=False))
+        self.names = {chr(c): "".join(chr(rest.get(b, b)) for b in chr(c).encode()) for c in range(0x250)}
+        self.table = rest
+
+    def _direct(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of letters alone, which are one pre-token, by the model without its other steps."""
+        if word.isascii():
+            plain = word.lower()
+        elif max(word) < "\u0250" and is_normalized("NFC", word):  # Latin letters fold one by one
+            plain = word.lower()
+        else:
+            plain = self.tokenizer.normalizer.normalize_str(word)
+        found = self.lower.get(plain)
+        if found is None:
+            if not plain.isalpha():
+                return self._direct(word)
+            if plain.isascii():
+                name = plain
+            elif max(plain) < "\u0250":
+                name = "".join(map(self.names.__getitem__, plain))
             else:
-                plain = normal.normalize_str(word) if word.isalpha() else ""
-                if not plain.isalpha():
-                    rest.append(word)
-                    continue
-                plain = plain.encode().decode("latin-1").translate(table)
-            self.known[word] = array(code, [t.id for t in model(plain)]).tobytes()
-        return rest
-
-    def _parts(self, cut: str) -> list[str] | None:
-        if cut.isascii():
-            return self.PARTS.findall(cut.lower()) if "<|" not in cut and cut.isprintable() else None
-        bare = cut.rstrip(".,")
-        if bare != cut and bare[-1].isalpha():
-            return [bare, cut[len(bare) :]]
-        return None
+                name = plain.encode().decode("latin-1").translate(self.table)
+            found = self.lower[plain] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+        return found
+
+    def _mark(self, part: str) -> bytes:
+        if part not in self.marks:
+            if len(self.marks) > CACHE_WORDS:
+                self.marks.clear()
+            self.marks[part] = self._direct(part)
+        return self.marks[part]
+
+    def _cut(self, cut: str) -> bytes:
+        if cut.isalpha():
+            return self._letters(cut)
+        word = cut.rstrip(".,")
+        if word.isalpha():
+            return self._letters(word) + self._mark(cut[len(word) :])
+        if cut.isascii() and cut.isprintable() and "<|" not in cut:
+            return b"".join([self._letters(p) if p.isalpha() else self._mark(p) for p in self.PARTS.findall(cut.lower())])
+        return self._direct(cut)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts. Two generations of cuts are kept, so what is used often stays known."""
         if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        cuts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = {c for words in cuts for c in words if c not in known}
-        parts = {c: p for c in fresh if (p := self._parts(c)) is not None and p != [c]}
-        needed = [p for p in dict.fromkeys(chain.from_iterable(parts.values())) if p not in known]
-        needed += [c for c in fresh if c not in parts]
-        needed = list(dict.fromkeys(needed))
-        rest = self._learn(needed)
-        known.update(zip(rest, self._direct(rest), strict=True))
-        get = known.__getitem__
-        known.update({c: b"".join(map(get, ps)) for c, ps in parts.items()})
-        return [np.frombuffer(b"".join(map(get, words)), self.width) for words in cuts]
+            self.known = Known(self, dict(self.known))
+        if len(self.lower) > CACHE_WORDS:
+            self.lower.clear()
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), self.width) for t in texts]
 
 
 # ---------------------------------------------------------------------- grammar
-def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """``(symbols, last, rules)`` after up to ``ROUNDS`` rounds. ``last`` marks each document's last symbol."""
+def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(symbols, last, rules)`` after up to ``ROUNDS`` rounds. ``last`` has the place of each document's last symbol."""
     rules: list[tuple[int, int]] = []
-    half = np.uint64(32) if symbols.dtype.itemsize > 2 else np.uint32(16)
     wide = np.uint64 if symbols.dtype.itemsize > 2 else np.uint32
+    shift = 8 * symbols.dtype.itemsize
+    none = np.iinfo(wide).max
     for _ in range(ROUNDS):
         if len(symbols) < 2 or len(rules) >= most_rules:
             break
-        keys = symbols[:-1].astype(wide) << half | symbols[1:]
-        free = ~last[:-1]
-        ordered = np.sort(keys[free])
-        if not len(ordered):
-            break
+        keys = symbols[:-1].astype(wide)
+        keys <<= wide(shift)
+        keys |= symbols[1:]
+        keys[last[:-1]] = none  # a pair never spans two documents
+        ordered = np.sort(keys)
         starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         counts = np.diff(np.append(starts, len(ordered)))
         often = np.flatnonzero(counts >= LEAST_COUNT)
@@ -132,7 +156,9 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules:
         rights: set[int] = set()
         chosen: dict[int, int] = {}
         for key in ordered[starts[often]].tolist():
-            a, b = key >> int(half), key & ((1 << int(half)) - 1)
+            if key == none:
+                continue
+            a, b = key >> shift, key & ((1 << shift) - 1)
             if a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
                 continue
             lefts.add(a)
@@ -143,9 +169,9 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules:
                 break
         if not chosen:
             break
-        begins, ends = np.zeros(first_rule + len(rules), bool), np.zeros(first_rule + len(rules), bool)
+        begins, ends = (np.zeros(first_rule + len(rules), bool) for _ in range(2))
         begins[list(lefts)] = ends[list(rights)] = True
-        maybe = np.flatnonzero(begins[symbols[:-1]] & ends[symbols[1:]] & free)
+        maybe = np.flatnonzero(begins[symbols[:-1]] & ends[symbols[1:]])
         table = np.sort(np.fromiter(chosen, wide, len(chosen)))
         names = np.asarray([chosen[k] for k in table.tolist()], symbols.dtype)
         at = np.searchsorted(table, keys[maybe])
@@ -159,26 +185,33 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules:
             places, at = places[even], at[even]
         symbols = symbols.copy()
         symbols[places] = names[at]
-        last = last.copy()
-        last[places] = last[places + 1]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
-        symbols, last = symbols[keep], last[keep]
-    return symbols, last, rules
+        symbols = symbols[keep]
+        # a last symbol that became part of a pair is now that pair; each pair before it took one place
+        last = last - np.searchsorted(places + 1, last, side="right")
+    return symbols, last, np.asarray(rules, np.int64).reshape(-1, 2)
+
 
+def flatten(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each symbol: where its tokens begin in a flat table and how many there are; and that table.
 
-def flatten(rules: list[tuple[int, int]], first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each symbol: where its tokens begin in a flat table and how many there are; and that table."""
-    sizes = [1] * first_rule
-    tokens: list[np.ndarray] = []
-    for a, b in rules:
-        left = tokens[a - first_rule] if a >= first_rule else np.asarray([a], np.uint32)
-        right = tokens[b - first_rule] if b >= first_rule else np.asarray([b], np.uint32)
-        tokens.append(np.concatenate((left, right)))
-        sizes.append(len(tokens[-1]))
-    lengths = np.asarray(sizes, np.int64)
-    flat = np.concatenate([np.arange(first_rule, dtype=np.uint32), *tokens])
-    return np.cumsum(lengths) - lengths, lengths, flat
+    Rules are taken in runs that refer only to symbols before the run, so each run is one gather.
+    """
+    begins, lengths = np.arange(first_rule, dtype=np.int64), np.ones(first_rule, np.int64)
+    flat = np.arange(first_rule, dtype=np.uint32)
+    at = 0
+    while at < len(rules):
+        known = (rules[at:] < len(begins)).all(1)
+        stop = at + (int(known.argmin()) if not known.all() else len(known))
+        parts = rules[at:stop].ravel()
+        sizes = lengths[parts]
+        ends = np.cumsum(sizes)
+        tokens = flat[np.repeat(begins[parts] - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+        whole = sizes.reshape(-1, 2).sum(1)
+        begins = np.concatenate((begins, len(flat) + np.cumsum(whole) - whole))
+        lengths, flat, at = np.concatenate((lengths, whole)), np.concatenate((flat, tokens)), stop
+    return begins, lengths, flat
 
 
 def build_shard(doc_ids: list, docs: list[np.ndarray], vocabulary: int) -> bytes:
@@ -186,14 +219,12 @@ def build_shard(doc_ids: list, docs: list[np.ndarray], vocabulary: int) -> bytes
     width = docs[0].dtype
     tokens = np.concatenate(docs)
     sizes = np.asarray([len(d) for d in docs], np.int64)
-    last = np.zeros(len(tokens), bool)
-    last[np.cumsum(sizes) - 1] = True
-    symbols, last, rules = compress(tokens, last, vocabulary, (1 << 16 if width.itemsize == 2 else 1 << 20) - vocabulary)
+    symbols, last, rules = compress(tokens, np.cumsum(sizes) - 1, vocabulary, (1 << 16 if width.itemsize == 2 else 1 << 20) - vocabulary)
     lengths = flatten(rules, vocabulary)[1][vocabulary:]
-    first_symbol = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1)).astype("<u8")
+    first_symbol = np.concatenate(([0], last[:-1] + 1)).astype("<u8")
     first_token = (np.cumsum(sizes) - sizes).astype("<u8")
     names = b"".join(struct.pack("<i", -1) if i is None else struct.pack("<i", len(b := str(i).encode())) + b for i in doc_ids)
-    pairs = np.asarray(rules, width).reshape(-1, 2)
+    pairs = rules.astype(width)
     head = MAGIC + struct.pack("<4I2QI", width.itemsize, vocabulary, len(rules), len(docs), len(symbols), len(tokens), len(names))
     return b"".join((head, pairs[:, 0].tobytes(), pairs[:, 1].tobytes(), lengths.astype("<u4").tobytes(), names, first_symbol.tobytes(), first_token.tobytes(), symbols.astype(width).tobytes()))
 
@@ -223,7 +254,7 @@ class Shard:
             at += 4 + max(n, 0)
         self.first_symbol = np.frombuffer(body, "<u8", self.n_docs, at).astype(np.int64)
         self.first_token = np.frombuffer(body, "<u8", self.n_docs, at + 8 * self.n_docs).astype(np.int64)
-        rules = list(zip(pairs[:n_rules].tolist(), pairs[n_rules:].tolist(), strict=True))
+        rules = pairs.astype(np.int64).reshape(2, n_rules).T
         self.begins, self.sizes, self.flat = flatten(rules, self.first_rule)
 
     def _symbols(self, start: int, stop: int) -> np.ndarray:
