@@ -143,7 +143,7 @@ def compand_encode(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def compand_decode(codes: np.ndarray, low: np.ndarray, high: np.ndarray, bits: int) -> np.ndarray:
-    bent = 2 * codes / ((1 << bits) - 1) - 1
+    bent = 2 * codes.astype(np.float64) / ((1 << bits) - 1) - 1
     strength = COMPANDING[bits]
     centred = np.sign(bent) * np.expm1(np.abs(bent) * np.log1p(strength)) / strength
     return low[:, None] + (centred + 1) / 2 * (high - low)[:, None]
