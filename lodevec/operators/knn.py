@@ -2,7 +2,7 @@
 
 A single query ends in ``orderBy().limit()``, which Spark runs as a bounded top-k in each task and one merge. Many
 queries are a stated set in blocks: a block is one matrix product with each Arrow batch of the
-corpus, and each batch passes on only its best k rows for each query.
+corpus, and each task passes on only its best k rows for each query.
 """
 
 from __future__ import annotations
@@ -106,20 +106,25 @@ def batch_knn(
 
 
 def _nearest_in_batches(shared, k: int, metric: str):
+    """A task keeps the best k rows of each query over all its batches, and passes on only these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [q for q, _ in shared.value]
         q = np.asarray([v for _, v in shared.value], np.float64)
+        keys = distances = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.asarray(batch.column(1).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            distances = np.round(batch_distances(metric, q, x), 6) + 0.0
-            keys = np.asarray(batch.column(0).to_pylist())
-            best = np.lexsort((np.broadcast_to(keys, distances.shape), distances), axis=1)[:, :k]
-            rows = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[r] for r in rows]), pa.array(keys[best.ravel()].tolist()), pa.array(distances[rows, best.ravel()])], ["qid", "id", "distance"]
-            )
+            fresh = np.round(batch_distances(metric, q, x), 6) + 0.0
+            own = np.broadcast_to(np.asarray(batch.column(0).to_pylist()), fresh.shape)
+            if keys is not None:
+                own, fresh = np.concatenate((keys, own), axis=1), np.concatenate((distances, fresh), axis=1)
+            best = np.lexsort((own, fresh), axis=1)[:, :k]
+            keys, distances = np.take_along_axis(own, best, 1), np.take_along_axis(fresh, best, 1)
+        if keys is not None:
+            rows = np.repeat(np.arange(len(ids)), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows]), pa.array(keys.ravel().tolist()), pa.array(distances.ravel())], ["qid", "id", "distance"])
 
     return run
 
