@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,11 +242,9 @@ class VectorIndex:
 
     def _synopsis(self, codes: DataFrame) -> DataFrame:
         """Per page: rows, representative code and radius, and each attribute's range and nulls."""
-        parts = [F.count("*").alias("live_count"), F.max("from_first").alias("radius"), *(F.max(F.when(F.col("page_first"), F.col(c))).alias(f"first_{c}") for c in CODE_COLUMNS)]
-        for a in self.options.attributes:
-            null = F.col(a).isNull()
-            parts += [F.min(a).alias(f"{a}_min"), F.max(a).alias(f"{a}_max"), F.max(null).alias(f"{a}_null_any"), F.min(null).alias(f"{a}_null_all"), (F.min(a).eqNullSafe(F.max(a)) & ~F.max(null)).alias(f"{a}_all_same")]
-        return codes.groupBy("list_id", "page_id").agg(*parts)
+        first = [F.max(F.when(F.col("page_first"), F.col(c))).alias(f"first_{c}") for c in CODE_COLUMNS]
+        parts = [F.count("*").alias("live_count"), F.max("from_first").alias("radius"), *first]
+        return codes.groupBy("list_id", "page_id").agg(*parts, *attribute_ranges(self.options.attributes))
 
     # ------------------------------------------------------------------ tables
     def _row_schema(self) -> T.StructType:
@@ -563,6 +561,29 @@ class VectorIndex:
         }
 
 
+def attribute_ranges(names: Sequence[str]) -> list[Column]:
+    """Aggregates by which a group of rows can be ruled out: least, greatest, any null, all null, one value throughout."""
+    parts = []
+    for name in names:
+        null, low, high = F.col(name).isNull(), F.min(name), F.max(name)
+        parts += [low.alias(f"{name}_min"), high.alias(f"{name}_max"), F.max(null).alias(f"{name}_null_any"), F.min(null).alias(f"{name}_null_all")]
+        parts.append((low.eqNullSafe(high) & ~F.max(null)).alias(f"{name}_all_same"))
+    return parts
+
+
+def assign_lists(rows: DataFrame, centroids: np.ndarray, emb_col: str = "embedding") -> DataFrame:
+    """Adds ``list_id``, the nearest centroid by squared distance, of equals the lowest. Centroids go to all tasks."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("list_id", T.IntegerType())])
+    arrow, place, shared = _arrow(schema), rows.columns.index(emb_col), rows.sparkSession.sparkContext.broadcast(centroids)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _with(batch, arrow, list_id=router.assign(_matrix(batch.column(place)), shared.value).astype(np.int32))
+
+    return rows.mapInArrow(assign, schema)
+
+
 def score_codes(codec: Codec, metric: str, query: np.ndarray, codes: np.ndarray, signs: np.ndarray, gamma: np.ndarray, by_code: bool) -> np.ndarray:
     """Distances of codes to a rotated query, smaller is nearer; ``by_code`` uses the inner-product estimator alone."""
     if by_code:

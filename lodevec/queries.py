@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from lodevec.functions import text as X
 from lodevec.functions import vectors as V
-from lodevec.operators import campaign, evaluate, index, knn
+from lodevec.operators import campaign, codec, evaluate, index, knn, rotation
 from lodevec.plans import budget
-from lodevec.plans.options import IndexOptions, QueryKnobs
+from lodevec.plans.options import IndexOptions, MaintenanceKnobs, QueryKnobs
 from lodevec.sources import files, ingest
+from lodevec.streaming.churn import index_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -479,6 +480,157 @@ def i01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "live_count bigint, dead_count bigint, list_count int, code_bytes int, action string, even_enough boolean")
 
 
+def _code_sql(bits: int) -> str:
+    """The codes of all vectors in SQL: the rotation's columns and the inner boundaries come as values."""
+    m = rotation.matrix(64)
+    centroids, edges = codec.codebook(64, bits - 1)
+    columns = ", ".join(f"({j}, {m[:, j].tolist()})" for j in range(64))
+    return f"""
+        WITH turn(j, w) AS (VALUES {columns}),
+        x AS (SELECT vec_id, j, greatest(-1.0, least(1.0, list_inner_product(list_transform(embedding, lambda v: v::DOUBLE / sqrt({_dot('embedding', 'embedding')})), w::DOUBLE[]))) AS x FROM embeddings, turn),
+        c AS (SELECT *, len(list_filter({edges.tolist()}::DOUBLE[], lambda e: e <= x)) AS code FROM x)
+        SELECT vec_id, md5(string_agg(code::VARCHAR, ',' ORDER BY j)) AS codes, round(sqrt(sum(pow(x - ({centroids.tolist()}::DOUBLE[])[code + 1], 2))), 3) AS gamma FROM c GROUP BY vec_id"""
+
+
+@registered("C04_codes", _code_sql(4))
+def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and residual norms as an index stores them, unpacked."""
+    kept = _vectors(spark, sf_dir).withColumn("embedding", V.unit(F.col("embedding"))).select("vec_id", "embedding")
+    made = codec.Codec(64, 4)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+                codes, signs, gamma = made.encode(made.rotate(x))
+                codes = made.unpack(*made.pack(codes, signs))[0]
+                text = [",".join(map(str, row)) for row in codes.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(gamma.astype(np.float64))], ["vec_id", "codes", "gamma"])
+
+    found = kept.mapInArrow(run, "vec_id bigint, codes string, gamma double")
+    return found.select("vec_id", F.md5(F.col("codes").cast("binary")).alias("codes"), V.rounded(F.col("gamma"), 3).alias("gamma"))
+
+
+@registered("K07_assign_lists", """
+    SELECT b.vec_id, min_by(a.vec_id, (round(pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2), 9), a.vec_id))::INT AS list_id
+    FROM embeddings a, embeddings b WHERE a.vec_id < 8 GROUP BY b.vec_id""")
+def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    rows = _vectors(spark, sf_dir)
+    centroids = np.asarray([r[0] for r in rows.where("vec_id < 8").orderBy("vec_id").select("embedding").collect()])
+    return index.assign_lists(rows.select("vec_id", "embedding"), centroids).select("vec_id", "list_id")
+
+
+@registered("F07_page_synopsis", """
+    WITH r AS (SELECT vec_id // 16 AS page_id, CASE WHEN vec_id % 3 <> 0 THEN label END AS a, (vec_id // 64)::INT AS b FROM embeddings)
+    SELECT page_id, min(a) AS a_min, max(a) AS a_max, bool_or(a IS NULL) AS a_null_any, bool_and(a IS NULL) AS a_null_all, (min(a) IS NOT DISTINCT FROM max(a) AND NOT bool_or(a IS NULL)) AS a_all_same,
+        min(b) AS b_min, max(b) AS b_max, bool_or(b IS NULL) AS b_null_any, bool_and(b IS NULL) AS b_null_all, (min(b) IS NOT DISTINCT FROM max(b) AND NOT bool_or(b IS NULL)) AS b_all_same FROM r GROUP BY page_id""")
+def f07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir).select(
+        F.floor(F.col("vec_id") / 16).alias("page_id"), F.when(F.col("vec_id") % 3 != 0, F.col("label")).alias("a"), F.floor(F.col("vec_id") / 64).cast("int").alias("b")
+    )
+    return rows.groupBy("page_id").agg(*index.attribute_ranges(["a", "b"]))
+
+
+@registered("F03_is_null_filter", f"SELECT vec_id, distance FROM ({NEAR_ZERO}) WHERE vec_id % 3 = 0 ORDER BY distance, vec_id LIMIT 10")
+def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir).withColumn("lang", F.when(F.col("vec_id") % 3 != 0, F.col("label")))
+    return knn.exact_knn(rows, _probe(spark, sf_dir), 10, id_col="vec_id", filters={"lang": None})
+
+
+@registered("A02_list_counts", "SELECT label, count(*) FILTER (vec_id % 7 <> 0) AS live, count(*) FILTER (vec_id % 7 = 0) AS dead, count(DISTINCT vec_id // 16) AS pages FROM embeddings GROUP BY label")
+def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dead = (F.col("vec_id") % 7 == 0).cast("long")
+    return _vectors(spark, sf_dir).groupBy("label").agg(F.sum(1 - dead).alias("live"), F.sum(dead).alias("dead"), F.countDistinct(F.floor(F.col("vec_id") / 16)).alias("pages"))
+
+
+@registered("A05_upkeep", """
+    SELECT * FROM (VALUES (1000, 0, 0, 0, 0, 'healthy'), (1000, 5, 1, 0, 0, 'observe'), (1000, 300, 1, 0, 0, 'merge_delta'), (40, 5, 1, 0, 0, 'merge_delta'),
+        (1000, 5, 9, 0, 0, 'merge_delta'), (1000, 0, 0, 200, 0, 'compact'), (1000, 0, 0, 0, 4, 'compact'), (1000, 300, 1, 200, 0, 'merge_delta_and_compact')) t(live, delta, delta_pages, dead, reclaimable, action)""")
+def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = [(1000, 0, 0, 0, 0), (1000, 5, 1, 0, 0), (1000, 300, 1, 0, 0), (40, 5, 1, 0, 0), (1000, 5, 9, 0, 0), (1000, 0, 0, 200, 0), (1000, 0, 0, 0, 4), (1000, 300, 1, 200, 0)]
+    rows = [(*c, budget.maintenance_action(*c, MaintenanceKnobs())) for c in cases]
+    return spark.createDataFrame(rows, "live int, delta int, delta_pages int, dead int, reclaimable int, action string")
+
+
+@registered("P06_crossover", "SELECT n AS live, n >= 70 AS near FROM (SELECT unnest([0, 10, 69, 70, 71, 100]) AS n)")
+def p06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(n, budget.near_exhaustive(n, 100, 0, 0)) for n in (0, 10, 69, 70, 71, 100)], "live int, near boolean")
+
+
+@registered("P15_cost", """
+    WITH g AS (SELECT n, l, p FROM (SELECT unnest([100.0, 10000.0, 1000000.0]) AS n), (SELECT unnest([0, 16, 256]) AS l), (SELECT unnest([1, 8]) AS p)),
+    f AS (SELECT *, CASE WHEN l = 0 THEN 1.0 ELSE least(l, p) END AS probes, CASE WHEN l = 0 THEN 1.0 ELSE least(l, p) / l END AS share FROM g),
+    c AS (SELECT *, least(greatest(p * 8, 10), n * share) AS candidates, greatest(1, n / 16 * share) AS pages FROM f),
+    s AS (SELECT *, 1 + CASE WHEN l = 0 THEN 0 ELSE 3 + 0.1 * l + 0.00125 * probes END + 0.00125 * candidates AS startup FROM c)
+    SELECT n::DOUBLE AS n, l, p, round(startup::DOUBLE, 2) AS startup, round((startup + 0.6 * pages + n * share * 0.01 + 0.005 + greatest(1, candidates) * 0.21)::DOUBLE, 2) AS total FROM s""")
+def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for n in (100.0, 10_000.0, 1_000_000.0):
+        for lists in (0, 16, 256):
+            for p in (1, 8):
+                cost = budget.estimate_cost(n, n / 16, lists, p, 8, output_rows=10)
+                rows.append((n, lists, p, round(cost.startup, 2), round(cost.total, 2)))
+    return spark.createDataFrame(rows, "n double, l int, p int, startup double, total double")
+
+
+@registered("J03_query_as_a_row", f"SELECT vec_id, distance FROM ({NEAR_ZERO}) ORDER BY distance, vec_id LIMIT 10")
+def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query is one row, so the broadcast cross join has a proven bound."""
+    rows = _vectors(spark, sf_dir)
+    one = rows.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))
+    near = rows.crossJoin(F.broadcast(one)).select("vec_id", V.rounded(V.cosine_distance(F.col("embedding"), F.col("q"))).alias("distance"))
+    return near.orderBy("distance", "vec_id").limit(10)
+
+
+@registered("J06_diagnostics", "SELECT a.vec_id, a.label AS dataset, b.vec_id AS found FROM embeddings a LEFT JOIN embeddings b ON a.vec_id = b.vec_id AND b.label < 4")
+def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir).select(F.col("label").alias("dataset"), F.col("vec_id").alias("system_id"))
+    joined = campaign.with_diagnostics(rows, rows.where("dataset < 4").withColumn("found", F.col("system_id")))
+    return joined.select(F.col("system_id").alias("vec_id"), "dataset", "found")
+
+
+@registered("U02_array_sets", RUNS + """
+    SELECT query_id, array_to_string(list_sort(list_intersect(retrieved, relevant)), ',') AS both, array_to_string(list_sort(list_filter(retrieved, lambda x: NOT list_contains(relevant, x))), ',') AS only FROM runs""")
+def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.array_join(F.sort_array(c).cast("array<string>"), ",")
+    return _runs(spark, sf_dir).select("query_id", text(F.array_intersect("retrieved", "relevant")).alias("both"), text(F.array_except("retrieved", "relevant")).alias("only"))
+
+
+@registered("X07_json_access", """SELECT vec_id, (label + 1)::VARCHAR AS a, 'x' AS b FROM embeddings""")
+def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.to_json(F.struct((F.col("label") + 1).alias("a"), F.struct(F.lit("x").alias("c")).alias("b")))
+    return _vectors(spark, sf_dir).select("vec_id", F.get_json_object(made, "$.a").alias("a"), F.get_json_object(made, "$.b.c").alias("b"))
+
+
+@registered("H10_campaign_recall", "SELECT * FROM (VALUES ('exact', true), ('quantized_rerank', true), ('quantized_approx', true)) t(system_id, reached)")
+def h10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each system's recall at 10 over the whole query set is what it should be."""
+    built, asked = _built(spark, sf_dir, bits=8, lists=4), _asked(spark, sf_dir)
+    ids = F.collect_list(F.col("id").cast("string"))
+    truth = _batch(spark, sf_dir, 10).groupBy(F.col("qid").alias("query_id")).agg(ids.alias("relevant")).withColumn("evidence", F.col("relevant"))
+    parts = []
+    for system, floor in (("exact", 1.0), ("quantized_rerank", 0.99), ("quantized_approx", 0.9)):
+        parts.append(campaign.run_retrieval(built, asked, truth, 10, system).select("system_id", (F.col("recall") >= floor).alias("reached")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@registered("M02_stream_into_index", f"SELECT vec_id, distance FROM ({NEAR_ZERO}) WHERE vec_id % 5 <> 0 ORDER BY distance, vec_id LIMIT 10")
+def m02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of inserts and deletes over an index of half the rows, then a search with exact distances."""
+    rows = _vectors(spark, sf_dir).withColumn("tenant", (F.col("vec_id") % 4).cast("int"))
+    path = files.scratch(spark, "index")
+    index.VectorIndex.build(rows.where("vec_id % 2 = 0"), path, IndexOptions(bits=8, lists=4), id_col="vec_id")
+    stream = spark.readStream.schema(_vectors(spark, sf_dir).schema).parquet(f"{sf_dir}/embeddings.parque[t]")  # a pattern, as a stream's path can't be a file
+    events = stream.select(F.col("vec_id").alias("id"), "embedding", F.when(F.col("vec_id") % 5 == 0, "delete").otherwise("insert").alias("op"), F.col("vec_id").alias("seq"))
+    index_sink(events, path, files.scratch(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return _reranked(index.VectorIndex.load(spark, path), _probe(spark, sf_dir), 10, QueryKnobs(oversample_factor=16))
+
+
 @registered("H12_campaign_plan", """
     SELECT d || ':' || s || ':' || k AS scenario_id FROM (SELECT unnest(['nq', 'hotpot']) AS d), (SELECT unnest(['quantized_approx', 'quantized_rerank', 'exact', 'float_lists']) AS s),
     (SELECT unnest(['retrieval_only', 'end_to_end']) AS k)""")
