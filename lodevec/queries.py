@@ -567,14 +567,14 @@ def p06(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT *, CASE WHEN l = 0 THEN 1.0 ELSE least(l, p) END AS probes, CASE WHEN l = 0 THEN 1.0 ELSE least(l, p) / l END AS share FROM g),
     c AS (SELECT *, least(greatest(p * 8, 10), n * share) AS candidates, greatest(1, n / 16 * share) AS pages FROM f),
     s AS (SELECT *, 1 + CASE WHEN l = 0 THEN 0 ELSE 3 + 0.1 * l + 0.00125 * probes END + 0.00125 * candidates AS startup FROM c)
-    SELECT n::DOUBLE AS n, l, p, round(startup::DOUBLE / 3, 4) AS startup, round((startup + 0.6 * pages + n * share * 0.01 + 0.005 + greatest(1, candidates) * 0.21)::DOUBLE / 3, 4) AS total FROM s""")
+    SELECT n::DOUBLE AS n, l, p, round(startup::DOUBLE / 7, 4) AS startup, round((startup + 0.6 * pages + n * share * 0.01 + 0.005 + greatest(1, candidates) * 0.21)::DOUBLE / 7, 4) AS total FROM s""")
 def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for n in (100.0, 10_000.0, 1_000_000.0):
         for lists in (0, 16, 256):
             for p in (1, 8):
                 cost = budget.estimate_cost(n, n / 16, lists, p, 8, output_rows=10)
-                rows.append((n, lists, p, round(cost.startup / 3, 4), round(cost.total / 3, 4)))
+                rows.append((n, lists, p, round(cost.startup / 7, 4), round(cost.total / 7, 4)))
     return spark.createDataFrame(rows, "n double, l int, p int, startup double, total double")
 
 
