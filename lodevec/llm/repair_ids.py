@@ -23,6 +23,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -133,6 +134,12 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), self.width) for t in texts]
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process, so the words that earlier tasks met stay known."""
+    return WordEncoder(path)
+
+
 # ---------------------------------------------------------------------- grammar
 def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(symbols, last, rules)`` after up to ``ROUNDS`` rounds. ``last`` has the place of each document's last symbol."""
@@ -294,7 +301,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     out = schema_of("path string, place int, shard int, n_docs bigint, n_tokens bigint, n_bytes bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         vocabulary = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         end = np.asarray([end_id], encoder.width)
         place = TaskContext.get().partitionId()  # type: ignore[union-attr]

@@ -15,6 +15,7 @@ and the paths of the cuts are kept in a bounded table.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -89,8 +90,10 @@ class Transducer:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.plain = [self._bytes(i) for i in range(len(self.pieces))]
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "older": {}, "ends": {}, "pairs": {}}
+    def __reduce__(self) -> tuple:
+        """Copies in a worker process are one object, so the words that earlier tasks met stay known."""
+        parts = (tuple(self.pieces), tuple(self.scores), tuple(self.kinds), self.model_type, self.dummy_prefix, self.squeeze_spaces)
+        return _same, (hashlib.sha256(repr(parts).encode()).hexdigest(), parts)
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -316,6 +319,16 @@ class Transducer:
         return b"" if kind == CONTROL else self.pieces[i].encode()
 
 
+_WARM: dict[str, Transducer] = {}
+
+
+def _same(key: str, parts: tuple) -> Transducer:
+    if key not in _WARM:
+        _WARM.clear()
+        _WARM[key] = Transducer(*map(list, parts[:3]), *parts[3:])
+    return _WARM[key]
+
+
 _CUTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 

@@ -74,6 +74,9 @@ class Model:
     bias: np.ndarray  # (1,)
     calibration: tuple[float, float] = (1.0, 0.0)  # of a text's highest logit
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "scorer"}
+
     def arrays(self) -> dict[str, np.ndarray]:
         names = ("word_table", "char_table", "gates_in", "gates_back", "gates_bias", "attend", "attend_out", "out", "bias")
         return {n: getattr(self, n) for n in names}
@@ -323,6 +326,13 @@ class Scorer:
         return _sigmoid(slope * np.maximum.reduceat(logits, edges[:-1]).astype(np.float64) + shift)
 
 
+def scorer_of(model: Model) -> Scorer:
+    """The scorer that stays with a model, so the words that earlier tasks of a worker process met stay known."""
+    if "scorer" not in model.__dict__:
+        model.__dict__["scorer"] = Scorer(model)
+    return model.__dict__["scorer"]
+
+
 def train_calibrated(texts: list[str], labels: list[int]) -> Model:
     """Train on four of five texts; on the fifth, fit a logistic curve from the highest window to the label."""
     last = np.arange(len(texts)) % 5 == 4
@@ -374,7 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_column(shared: Broadcast, text: Column) -> Column:
     @F.pandas_udf("double")  # type: ignore[call-overload]
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for texts in series:
             yield pd.Series(scorer.scores(texts.tolist()))
 
@@ -390,7 +400,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def setup():
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
 
         def work(ids: list, texts: list) -> list[tuple]:
             return list(zip(ids, scorer.scores(texts).tolist(), strict=True))
