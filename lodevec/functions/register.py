@@ -24,11 +24,24 @@ FUNCTIONS = {
 }
 
 
+#: SQL table functions by name: arguments, columns and query.
+TABLE_FUNCTIONS = {
+    "vec_resolved_knobs": (
+        "candidates INT, final INT",
+        "probes INT, oversample_factor INT, max_visited_codes BIGINT, max_visited_pages INT",
+        """SELECT int(greatest(1, ceil(candidates / oversample))), int(oversample), bigint(least(2147483647, candidates * oversample)), 0
+           FROM (SELECT greatest(8, ceil(candidates / final)) AS oversample)""",
+    ),
+}
+
+
 def register(spark: SparkSession) -> list[str]:
     """Create the functions for this session."""
+    for name, (arguments, columns, query) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE({columns}) RETURN {query}")
     for name, (arguments, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
-    return list(FUNCTIONS)
+    return [*FUNCTIONS, *TABLE_FUNCTIONS]
 
 
 def runtime() -> dict:

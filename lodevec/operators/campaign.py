@@ -27,6 +27,18 @@ def plan(spark: SparkSession, datasets: Sequence[str], systems: Sequence[str] =
     return spark.createDataFrame(rows, "dataset string, system_id string, result_kind string, scenario_id string")
 
 
+def check_request(index: VectorIndex, metric: str, system: str, top_k: int, depth: int) -> None:
+    """Raises where an index can't answer what a scenario asks for."""
+    if metric != index.options.metric:
+        raise ValueError(f"the index is built for {index.options.metric}, not {metric}")
+    if system not in SYSTEMS:
+        raise ValueError(f"unknown system {system!r}")
+    if top_k < 1 or depth < top_k:
+        raise ValueError("the rerank depth must be at least top_k, and that at least 1")
+    if metric == "ip" and not index.options.normalized:
+        raise ValueError("inner products need a normalized index")
+
+
 def rerank_depth(system: str, top_k: int, configured: int, live: int | None = None) -> int:
     """Candidates that a system reranks; codes take more, as far as there are rows."""
     if system != "quantized_rerank":

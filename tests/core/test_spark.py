@@ -245,6 +245,15 @@ def test_sql_functions(spark):
     assert tuple(row) == (1.0, 2.0, -6.0, 5.0, True, 1.0)
 
 
+def test_sql_table_function_and_requests(spark, built):
+    register.register(spark)
+    assert tuple(spark.sql("SELECT * FROM vec_resolved_knobs(24, 10)").first()) == (3, 8, 192, 0)
+    campaign.check_request(built, "cosine", "exact", 5, 5)
+    for bad in (("ip", "exact", 5, 5), ("cosine", "hnsw", 5, 5), ("cosine", "exact", 5, 4), ("cosine", "exact", 0, 4)):
+        with pytest.raises(ValueError):
+            campaign.check_request(built, *bad)
+
+
 def test_upsert_and_first_seen(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
