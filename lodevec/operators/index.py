@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -91,6 +91,7 @@ class VectorIndex:
     id_type: str
     attribute_types: dict[str, str]
     router: dict
+    memo: dict = field(default_factory=dict, repr=False)
 
     # ------------------------------------------------------------------ build and load
     @classmethod
@@ -284,13 +285,25 @@ class VectorIndex:
         whole = self._live().select(*names)
         return whole if delta is None else whole.unionByName(delta.select(*names))
 
+    def _once(self, name: str, read: Callable[[DataFrame], object]) -> object:
+        """What a small table of this version has; read once, as a version never changes."""
+        key = (self.version, name)
+        if key not in self.memo:
+            self.memo[key] = read(self.spark.read.parquet(self._file(name)))
+        return self.memo[key]
+
     def centroids(self) -> np.ndarray | None:
-        kept = self.spark.read.parquet(self._file("centroids")).orderBy("list_id").collect()
-        return np.asarray([r[1] for r in kept]) if kept else None
+        """One row a list, None for a flat index."""
+
+        def read(table: DataFrame) -> np.ndarray | None:
+            kept = table.orderBy("list_id").collect()
+            return np.asarray([r[1] for r in kept]) if kept else None
+
+        return self._once("centroids", read)  # type: ignore[return-value]
 
     def lists(self) -> list[tuple[int, int, int]]:
         """``(list, live, pages)``, at most as many as the index has lists."""
-        return sorted(tuple(r) for r in self.spark.read.parquet(self._file("lists")).select("list_id", "live_count", "page_count").collect())
+        return self._once("lists", lambda t: sorted(tuple(r) for r in t.select("list_id", "live_count", "page_count").collect()))  # type: ignore[return-value]
 
     # ------------------------------------------------------------------ search
     def _query(self, query: Sequence[float]) -> np.ndarray:
