@@ -30,6 +30,7 @@ VOCABULARY = 8000
 #: The classifier is fitted on this many labelled rows at most, those with the least hash of id, and on none above that length.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
 TABLE_WORDS = 200_000
+BATCH_WORDS = 1 << 16
 THRESHOLD = 0.7
 PULL = 0.2
 STRIP = ".,;:!?\"'()[]|"
@@ -300,15 +301,16 @@ class Scorer:
         self.rows.update(zip(fresh, range(at, at + len(fresh)), strict=True))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """The highest window score of each text, in batches of texts of about 2**17 words; an empty text is one empty window."""
+        """The highest window score of each text; an empty text is one empty window. About ``BATCH_WORDS`` words are held at a time."""
         out = np.zeros(len(texts))
-        begin, room = 0, 0
-        split = [words_of(t) for t in texts]
-        for i, words in enumerate(split):
-            room += len(words)
-            if room > 1 << 17 or i == len(split) - 1:
-                out[begin : i + 1] = self._batch(split[begin : i + 1])
-                begin, room = i + 1, 0
+        held: list[list[str]] = []
+        room = 0
+        for i, text in enumerate(texts):
+            held.append(words_of(text))
+            room += len(held[-1])
+            if room > BATCH_WORDS or i == len(texts) - 1:
+                out[i + 1 - len(held) : i + 1] = self._batch(held)
+                held, room = [], 0
         return out
 
     def _batch(self, split: list[list[str]]) -> np.ndarray:
