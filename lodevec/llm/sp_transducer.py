@@ -30,8 +30,9 @@ from lodevec.llm.common import map_rows, schema_of, text_or_empty
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 CACHE_PAIRS = 200_000
+SHORT = (2, 1)
 INF = float("inf")
 
 
@@ -81,9 +82,12 @@ class Transducer:
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.unknown_cost = 10.0 - min((self.scores[i] for i in usable), default=0.0)
         self.severed = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.arc)
-        self.reach: dict[str, int] = {}  # length of the longest piece by its first two characters
+        lengths: dict[str, set[int]] = {}
         for p in self.arc:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+            if len(p) > 2:
+                lengths.setdefault(p[:3], {2, 1}).add(len(p))
+        #: Lengths of arcs by their first three characters, long ones first; other arcs are shorter than three.
+        self.reach = {head: tuple(sorted(sizes, reverse=True)) for head, sizes in lengths.items()}
         self.joints = {p[i : i + 2] for p in self.arc for i in range(len(p) - 1)}
         self.older: dict[str, tuple[int, ...]] = {}
         self.ends: dict[str, tuple | None] = {}
@@ -241,9 +245,12 @@ class Transducer:
         path: list[str] = []
         at, before, most = 0, "", self.longest
         while at < size:
-            for length in range(min(most, size - at, reach.get(text[at : at + 2], 1)), 0, -1):
+            most = min(most, size - at)
+            for length in reach.get(text[at : at + 3], SHORT):
+                if length > most or reached[at + length]:
+                    continue
                 part = text[at : at + length]
-                if (part not in arc and length > 1) or reached[at + length]:
+                if length > 1 and part not in arc:
                     continue
                 if before:
                     fits = pairs.get((before, part))
