@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevec.llm import simhash, sp_transducer, tiling, toxicity
+from lodevec.llm import near_copies, sp_transducer, tiling, toxicity
 from lodevec.llm.common import settle, table
 from lodevec.llm.queries import piece_model
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints at three bits or fewer."""
-    return simhash.keep_one(docs)
+    """One document of each component of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
