@@ -6,13 +6,15 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.functions import text as X
-from lodevec.operators import evaluate, knn
+from lodevec.operators import evaluate, knn, router
 from lodevec.operators.index import VectorIndex
+from lodevec.plans.options import QueryKnobs
 from lodevec.sources import files
 
 #: The systems of a campaign: codes alone, codes with exact distances, all vectors exactly, k-means lists of plain vectors.
@@ -37,6 +39,8 @@ def check_request(index: VectorIndex, metric: str, system: str, top_k: int, dept
         raise ValueError("the rerank depth must be at least top_k, and that at least 1")
     if metric == "ip" and not index.options.normalized:
         raise ValueError("inner products need a normalized index")
+    if system == "float_lists" and not index.options.lists:
+        raise ValueError("float_lists needs an index with lists")
 
 
 def rerank_depth(system: str, top_k: int, configured: int, live: int | None = None) -> int:
@@ -47,11 +51,13 @@ def rerank_depth(system: str, top_k: int, configured: int, live: int | None = No
     return min(depth, live) if live else depth
 
 
-def retrieve(index: VectorIndex, queries: DataFrame, k: int, system: str = "quantized_rerank", depth: int = 64) -> DataFrame:
-    """``(qid, retrieved)``, ids as text and best first, for a set of queries ``(qid, embedding)``."""
+def retrieve(index: VectorIndex, queries: DataFrame, k: int, system: str = "quantized_rerank", depth: int = 64, probes: int = QueryKnobs().probes) -> DataFrame:
+    """``(qid, retrieved)``, ids as text and best first, for a set of queries ``(qid, embedding)``; probes are for float_lists."""
     metric = index.options.metric
     if system == "exact":
         found = knn.batch_knn(index.rows(), queries, k, metric)
+    elif system == "float_lists":
+        found = _probed(index, queries, k, metric, probes)
     else:
         found = index.search_batch(queries, k if system == "quantized_approx" else max(k, depth))
         if system == "quantized_rerank":
@@ -72,10 +78,39 @@ def _exactly(index: VectorIndex, queries: DataFrame, found: DataFrame, k: int, m
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def run_retrieval(index: VectorIndex, queries: DataFrame, truth: DataFrame, k: int = 10, system: str = "quantized_rerank", depth: int = 64) -> DataFrame:
+def _probed(index: VectorIndex, queries: DataFrame, k: int, metric: str, probes: int) -> DataFrame:
+    """The k nearest vectors in the ``probes`` lists nearest to each query, by exact distances."""
+    from pyspark.sql import Window
+
+    from lodevec.functions import vectors as V
+
+    if not index.options.lists:
+        raise ValueError("float_lists needs an index with lists")
+    codec, unit = index.codec, index.options.normalized
+    shared = index.spark.sparkContext.broadcast(index.centroids())
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for qid, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.asarray(vector, np.float64)
+                rotated = codec.rotate((x / (np.linalg.norm(x) or 1) if unit else x)[None, :])[0]
+                lists = [0] if shared.value is None else router.first_probes(rotated, shared.value, probes)
+                rows += [(qid, vector, i) for i in lists]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*batch.schema.types, pa.int32()), strict=True)], ["qid", "q", "list_id"])
+
+    kind = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    wanted = queries.where("embedding is not null").select("qid", "embedding").mapInArrow(route, f"qid {kind['qid']}, q {kind['embedding']}, list_id int")
+    pairs = wanted.join(index.listed(), "list_id").select("qid", "id", V.rounded(V.distance(metric, F.col("q"), F.col("embedding"))).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def run_retrieval(index: VectorIndex, queries: DataFrame, truth: DataFrame, k: int = 10, system: str = "quantized_rerank", depth: int = 64, probes: int = QueryKnobs().probes) -> DataFrame:
     """Metrics of a system on queries with ``truth (query_id, relevant, evidence)``; latency is the batch's time by query."""
     began = time.perf_counter()
-    found = retrieve(index, queries, k, system, depth).persist()
+    found = retrieve(index, queries, k, system, depth, probes).persist()
     spent = (time.perf_counter() - began + _timed(found)) * 1000
     try:
         rows = found.withColumnRenamed("qid", "query_id").join(truth, "query_id").withColumn("latency_ms", F.lit(spent / max(1, found.count())))

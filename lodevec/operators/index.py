@@ -285,6 +285,12 @@ class VectorIndex:
         whole = self._live().select(*names)
         return whole if delta is None else whole.unionByName(delta.select(*names))
 
+    def listed(self) -> DataFrame:
+        """``(id, embedding, list_id)`` of all live rows."""
+        names, delta = ("id", "embedding", "list_id"), self._delta()
+        whole = self._live().select(*names)
+        return whole if delta is None else whole.unionByName(delta.select(*names))
+
     def _once(self, name: str, read: Callable[[DataFrame], object]) -> object:
         """What a small table of this version has; read once, as a version never changes."""
         key = (self.version, name)
