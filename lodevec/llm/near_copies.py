@@ -47,18 +47,21 @@ def near(both: Column | int, first: Column | int, second: Column | int) -> Colum
 
 def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first shingles of a set, as many as any set at 0.8 must share one of."""
-    late = np.isin(shingles, common)
+    late = np.zeros(len(shingles), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
     wanted = len(shingles) - (4 * len(shingles) + 4) // 5 + 1
     return np.concatenate((shingles[~late], shingles[late]))[:wanted]
 
 
 def common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    sample = df.select(text_or_empty(text_col).alias("t")).orderBy(F.xxhash64(F.col(id_col)), F.xxhash64("t")).limit(SAMPLE_DOCS)
+    every = max(1, df.count() // SAMPLE_DOCS)
+    sample = df.select(text_or_empty(text_col).alias("t")).where(F.pmod(F.xxhash64(F.col(id_col), "t"), F.lit(every)) == 0)
 
     def setup():
         return lambda texts: [(h,) for t in texts for h in shingle_set(t).view(np.int64).tolist()]
 
-    counted = map_rows(sample.repartition(16), setup, schema_of("h bigint")).groupBy("h").count().where(F.col("count") >= COMMON)
+    counted = map_rows(sample, setup, schema_of("h bigint"), chunk_bytes=1 << 20).groupBy("h").count().where(F.col("count") >= COMMON)
     found = counted.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").collect()
     return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
 
@@ -71,7 +74,7 @@ def with_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * (16 << 20) / max(1, batch.nbytes))))
+            step = max(1, min(batch.num_rows, int(batch.num_rows * (2 << 20) / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
                 sets = [shingle_set(t) for t in piece.column(piece.num_columns - 1).to_pylist()]
