@@ -17,17 +17,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has named, by session; ``clear_scratch`` empties the list.
+_NAMED: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the one that driver and executors share.
+    """A fresh folder below the one that driver and executors share, which ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` is used when the session names it. Only where it is unset, as in local
-    tests, a temporary folder of this machine takes its place.
+    Where it is unset, a local session, as in tests, takes a temporary folder of this machine; on a cluster
+    that is an error, as executors couldn't see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lodevec-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this process made, when their results aren't read any more; gives their number."""
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _NAMED:
+        where = store(_NAMED.pop())
+        gone += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return gone
+
+
+_WARM: dict[Any, Any] = {}
+
+
+def warm(key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker process keeps from task to task. Only the latest is kept, so the tables of operators don't pile up."""
+    if key not in _WARM:
+        _WARM.clear()
+        _WARM[key] = make()
+    return _WARM[key]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

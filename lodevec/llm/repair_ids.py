@@ -1,8 +1,9 @@
 """Token ids as Re-Pair grammars: frequent id pairs become nonterminals, shard by shard.
 
-Documents go out in ascending id order, in shards of about ``SHARD_TOKENS`` tokens. In each round all
-pairs of a shard are counted and the most frequent are replaced at once, as far as no id begins one and
-ends another of them, so the order of replacement doesn't matter. A pair never spans two documents.
+Documents go out in ascending id order, in shards of about ``SHARD_TOKENS`` tokens. In each round all pairs of a
+shard are counted; the most frequent get a rank, and a pair is replaced wherever neither pair it overlaps has a
+better one, so the most frequent pair is replaced throughout. Rounds go on until no pair occurs ``LEAST_COUNT`` times,
+from where on a rule saves more than it takes, or until symbols are used up. A pair never spans two documents.
 
 A shard file holds, little-endian::
 
@@ -19,12 +20,11 @@ The expansion lengths tell which symbol holds the n-th token of a document witho
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -33,35 +33,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import schema_of, scratch, settle, text_or_empty
+from lodevec.llm.common import schema_of, scratch, settle, text_or_empty, warm
 from lodevec.llm.shared_files import RangeReader, write_new
 
 MAGIC = b"RPGRAM01"
 SHARD_TOKENS = 1 << 21
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 4, 4096, 6
-CACHE_WORDS = 400_000
+#: So many pairs at most get a rank in a round. More make rounds fewer and rules worse: those of rare pairs come before those of frequent longer ones.
+PAIRS_A_ROUND, LEAST_COUNT = 3072, 5
+#: Tables of words hold about so many bytes; longer cuts aren't kept.
+CACHE_BYTES, LONGEST_KEPT = 80 << 20, 48
+ENTRY_BYTES = 180
+WINDOW = 8
 
 
 # ---------------------------------------------------------------------- words to ids
 class Known(dict):
-    """Ids of cuts as bytes; what is missing is encoded when it is first asked for."""
+    """Ids of cuts as bytes; what is missing is encoded when it is first asked for. ``room`` is what it still may hold."""
 
     def __init__(self, encoder: WordEncoder, older: dict) -> None:
         self[""] = b""
-        self.encoder, self.older = encoder, older
+        self.encoder, self.older, self.room = encoder, older, CACHE_BYTES
 
     def __missing__(self, cut: str) -> bytes:
         found = self.older.get(cut)
-        found = self[cut] = self.encoder._cut(cut) if found is None else found
+        if found is None:
+            found = self.encoder._cut(cut)
+        if len(cut) <= LONGEST_KEPT:
+            self[cut] = found
+            self.room -= ENTRY_BYTES + len(cut)
         return found
 
 
 class WordEncoder:
     """Ids of whole texts from a Hugging Face tokenizer whose parts never reach across white space.
 
-    Texts are cut at spaces and line ends; ids of cuts are kept in bounded tables as bytes. A cut that
-    isn't known is cut further, where that can't change its ids: before closing full stops and
-    commas after letters, and an ASCII cut into what the tokenizer's own pattern makes of it.
+    Texts are cut at spaces and line ends; ids of cuts are kept in tables of bounded bytes. A cut that isn't known
+    goes to the library, but for two kinds that its pattern can only split in one way: Latin letters that fold one
+    by one, with full stops and commas after them, and printable ASCII. Their runs of letters go to the library's model.
     """
 
     #: The tokenizer's pattern of parts, a fixed value of its file.
@@ -81,123 +89,119 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = dict(zip((b for b in range(256) if b not in shown), range(256, 512), strict=False))
         self.names = {chr(c): "".join(chr(rest.get(b, b)) for b in chr(c).encode()) for c in range(0x250)}
-        self.table = rest
+        letters = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250")
+        self.latin = re.compile(f"([{letters}]+)([.,]*)")
 
     def _direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of letters alone, which are one pre-token, by the model without its other steps."""
-        if word.isascii():
-            plain = word.lower()
-        elif max(word) < "\u0250" and is_normalized("NFC", word):  # Latin letters fold one by one
-            plain = word.lower()
-        else:
-            plain = self.tokenizer.normalizer.normalize_str(word)
+    def _letters(self, plain: str) -> bytes:
+        """Ids of folded Latin letters alone, which are one part, by the model without its other steps."""
         found = self.lower.get(plain)
         if found is None:
-            if not plain.isalpha():
-                return self._direct(word)
-            if plain.isascii():
-                name = plain
-            elif max(plain) < "\u0250":
-                name = "".join(map(self.names.__getitem__, plain))
-            else:
-                name = plain.encode().decode("latin-1").translate(self.table)
-            found = self.lower[plain] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+            name = plain if plain.isascii() else "".join(map(self.names.__getitem__, plain))
+            found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
+            if len(plain) <= LONGEST_KEPT:
+                self.lower[plain] = found
+                self.known.room -= ENTRY_BYTES + len(plain)
         return found
 
     def _mark(self, part: str) -> bytes:
-        if part not in self.marks:
-            if len(self.marks) > CACHE_WORDS:
-                self.marks.clear()
-            self.marks[part] = self._direct(part)
-        return self.marks[part]
+        found = self.marks.get(part)
+        if found is None:
+            found = self._direct(part)
+            if len(part) <= LONGEST_KEPT:
+                self.marks[part] = found
+                self.known.room -= ENTRY_BYTES + len(part)
+        return found
 
     def _cut(self, cut: str) -> bytes:
-        if cut.isalpha():
-            return self._letters(cut)
-        word = cut.rstrip(".,")
-        if word.isalpha():
-            return self._letters(word) + self._mark(cut[len(word) :])
+        latin = self.latin.fullmatch(cut)
+        if latin:
+            word, marks = latin.groups()
+            return self._letters(word.lower()) + self._mark(marks) if marks else self._letters(word.lower())
         if cut.isascii() and cut.isprintable() and "<|" not in cut:
             return b"".join([self._letters(p) if p.isalpha() else self._mark(p) for p in self.PARTS.findall(cut.lower())])
         return self._direct(cut)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts. Two generations of cuts are kept, so what is used often stays known."""
-        if len(self.known) > CACHE_WORDS:
-            self.known = Known(self, dict(self.known))
-        if len(self.lower) > CACHE_WORDS:
-            self.lower.clear()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, t.replace("\n", " ").split(" "))), self.width) for t in texts]
+        out = []
+        for text in texts:
+            if self.known.room < 0:
+                self.known = Known(self, dict(self.known))
+                self.lower.clear()
+                self.marks.clear()
+            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))), self.width))
+        return out
 
 
-@lru_cache(maxsize=1)
 def shared_encoder(path: str) -> WordEncoder:
     """One encoder a worker process, so the words that earlier tasks met stay known."""
-    return WordEncoder(path)
+    return warm(("words", path), lambda: WordEncoder(path))
 
 
 # ---------------------------------------------------------------------- grammar
 def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(symbols, last, rules)`` after up to ``ROUNDS`` rounds. ``last`` has the place of each document's last symbol."""
-    rules: list[tuple[int, int]] = []
+    """``(symbols, last, rules)`` when no pair is left that pays. ``last`` has the place of each document's last symbol."""
+    symbols = symbols.copy()
+    rules: list[np.ndarray] = [np.empty((0, 2), np.int64)]
+    made = 0
     wide = np.uint64 if symbols.dtype.itemsize > 2 else np.uint32
-    shift = 8 * symbols.dtype.itemsize
+    shift = wide(8 * symbols.dtype.itemsize)
+    low = (wide(1) << shift) - wide(1)
     none = np.iinfo(wide).max
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or len(rules) >= most_rules:
-            break
+    idle = np.empty(0, wide)  # pairs of one id that overlap themselves too often to pay
+    while len(symbols) > 1 and made < most_rules:
         keys = symbols[:-1].astype(wide)
-        keys <<= wide(shift)
+        keys <<= shift
         keys |= symbols[1:]
-        keys[last[:-1]] = none  # a pair never spans two documents
+        keys[last[:-1]] = none
         ordered = np.sort(keys)
         starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
         counts = np.diff(np.append(starts, len(ordered)))
         often = np.flatnonzero(counts >= LEAST_COUNT)
-        often = often[np.argsort(-counts[often], kind="stable")][: 3 * PAIRS_A_ROUND]
-        lefts: set[int] = set()
-        rights: set[int] = set()
-        chosen: dict[int, int] = {}
-        for key in ordered[starts[often]].tolist():
-            if key == none:
-                continue
-            a, b = key >> shift, key & ((1 << shift) - 1)
-            if a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
-                continue
-            lefts.add(a)
-            rights.add(b)
-            chosen[key] = first_rule + len(rules)
-            rules.append((a, b))
-            if len(chosen) == PAIRS_A_ROUND or len(rules) == most_rules:
-                break
-        if not chosen:
+        often = often[~np.isin(ordered[starts[often]], np.append(idle, wide(none)))]
+        often = np.sort(often[np.argsort(-counts[often], kind="stable")][:PAIRS_A_ROUND])
+        if not len(often):
             break
-        begins, ends = (np.zeros(first_rule + len(rules), bool) for _ in range(2))
-        begins[list(lefts)] = ends[list(rights)] = True
+        pairs, by_rank = ordered[starts[often]], np.argsort(-counts[often], kind="stable")
+        rank = np.empty(len(often), np.int64)
+        rank[by_rank] = np.arange(len(often))
+        begins, ends = np.zeros((2, first_rule + made), bool)
+        begins[pairs >> shift] = ends[pairs & low] = True
         maybe = np.flatnonzero(begins[symbols[:-1]] & ends[symbols[1:]])
-        table = np.sort(np.fromiter(chosen, wide, len(chosen)))
-        names = np.asarray([chosen[k] for k in table.tolist()], symbols.dtype)
-        at = np.searchsorted(table, keys[maybe])
-        hit = table[np.minimum(at, len(table) - 1)] == keys[maybe]
-        places, at = maybe[hit], at[hit]
+        at = np.minimum(np.searchsorted(pairs, keys[maybe]), len(pairs) - 1)
+        hit = pairs[at] == keys[maybe]
+        places, ranks = maybe[hit], rank[at[hit]]
+        of = np.full(len(keys) + 2, len(often))
+        of[places + 1] = ranks
+        best = (ranks <= of[places]) & (ranks <= of[places + 2])
+        places, ranks = places[best], ranks[best]
         # only a pair of one id overlaps with itself: of a run of such places every second counts
         touching = np.concatenate(([False], np.diff(places) == 1))
         if touching.any():
             run = np.maximum.accumulate(np.where(touching, 0, np.arange(len(places))))
             even = (np.arange(len(places)) - run) % 2 == 0
-            places, at = places[even], at[even]
-        symbols = symbols.copy()
-        symbols[places] = names[at]
+            places, ranks = places[even], ranks[even]
+        used = np.flatnonzero(np.bincount(ranks, minlength=len(often)) >= LEAST_COUNT)[: most_rules - made]
+        if not len(used):
+            idle = np.union1d(idle, pairs[(pairs >> shift) == (pairs & low)])
+            continue
+        name = np.zeros(len(often), np.int64)
+        name[used] = first_rule + made + np.arange(len(used))
+        chosen = pairs[by_rank[used]]
+        rules.append(np.stack((chosen >> shift, chosen & low), axis=1).astype(np.int64))
+        made += len(used)
+        there = name[ranks] > 0
+        places = places[there]
+        symbols[places] = name[ranks[there]]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
         symbols = symbols[keep]
         # a last symbol that became part of a pair is now that pair; each pair before it took one place
         last = last - np.searchsorted(places + 1, last, side="right")
-    return symbols, last, np.asarray(rules, np.int64).reshape(-1, 2)
+    return symbols, last, np.concatenate(rules)
 
 
 def flatten(rules: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,6 +251,7 @@ class Shard:
             raise ValueError("not a grammar shard")
         width, self.first_rule, n_rules, self.n_docs, self.n_symbols, self.n_tokens, names = self.HEAD.unpack(head[8:])
         self.source, self.width = source, np.dtype(f"<u{width}")
+        self.whole: np.ndarray | None = None
         size = n_rules * (2 * width + 4) + names + 16 * self.n_docs
         body = source.read(len(head), size)
         self.at = len(head) + size
@@ -266,6 +271,8 @@ class Shard:
 
     def _symbols(self, start: int, stop: int) -> np.ndarray:
         width = self.width.itemsize
+        if self.whole is not None:
+            return self.whole[start:stop]
         return np.frombuffer(self.source.read(self.at + start * width, (stop - start) * width), self.width)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -275,7 +282,9 @@ class Shard:
         return self.flat[np.repeat(shift, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def all_tokens(self) -> np.ndarray:
-        return self._expand(self._symbols(0, self.n_symbols))
+        """All tokens; the symbols stay in memory, so ranges asked for later need no reads."""
+        self.whole = self._symbols(0, self.n_symbols)
+        return self._expand(self.whole)
 
     def tokens(self, doc: int, start: int = 0, count: int | None = None) -> np.ndarray:
         """Tokens ``start .. start + count`` of the doc-th document; only symbols that hold them are expanded."""
@@ -293,11 +302,13 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Encode whole texts and write shard files; gives the manifest ``(path, place, shard, n_docs, n_tokens, n_bytes, base)``.
 
-    Documents are in ascending order of id, nulls first, and then of text; a null text is empty and
-    has only the end id; repeated rows repeat; an empty table gives an empty manifest. ``base`` is the
-    number of tokens in all shards before.
+    Documents are in ascending order of id, nulls first, and then of text. A null text is empty; an empty one has only
+    the end id; very long ones are shards of their own size; repeated rows repeat; an empty table gives an empty
+    manifest; other columns aren't looked at. ``base`` is the number of tokens in all shards before. The id's name and
+    type are metadata of ``path``.
     """
     folder = folder or scratch(docs.sparkSession, "grammar")
+    told = {"id_name": id_col, "id_type": docs.schema[id_col].dataType.simpleString()}
     out = schema_of("path string, place int, shard int, n_docs bigint, n_tokens bigint, n_bytes bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,16 +341,21 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
         if ids:
             yield flush()
 
-    ordered = docs.select(F.col(id_col), text_or_empty(text_col).alias("__text")).repartitionByRange(F.col(id_col).asc_nulls_first())
-    manifest = settle(ordered.sortWithinPartitions(F.col(id_col).asc_nulls_first(), "__text").mapInArrow(run, out), "manifest")
+    ordered = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body")).repartitionByRange(F.col("id").asc_nulls_first())
+    manifest = settle(ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "body").mapInArrow(run, out), "manifest")
     # one row a shard, of two million tokens: the running total over them needs no dealing out
     before = Window.orderBy("place", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    manifest = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    return manifest.withColumn("path", F.col("path").alias("path", metadata=told))
 
 
-def read_shards(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
-    """``(id, start, n_tokens, ids_crc32)`` of each document, from the files of a manifest."""
-    out = schema_of(f"`{id_col}` {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+def read_shards(manifest: DataFrame) -> DataFrame:
+    """``(id, start, n_tokens, ids_crc32, window_crc32)`` of each document, from the files of a manifest.
+
+    ``window_crc32`` is of up to ``WINDOW`` tokens from the middle on, which only the symbols that hold them are expanded
+    for. An empty manifest gives no rows; ids have the name and type that they had when written.
+    """
+    told = manifest.schema["path"].metadata
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,9 +366,12 @@ def read_shards(manifest: DataFrame, id_type: str = "bigint", id_col: str = "doc
                 edges = [*shard.first_token.tolist(), len(tokens)]
                 view = memoryview(tokens).cast("B")
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edges, edges[1:], strict=False)]
-                starts = shard.first_token + base
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.string()), pa.array(starts), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+                sizes = np.diff(edges)
+                some = [zlib.crc32(shard.tokens(k, n // 2, WINDOW).astype("<u4").tobytes()) for k, n in enumerate(sizes.tolist())]
+                columns = (pa.array(shard.doc_ids, pa.string()), pa.array(shard.first_token + base), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(some, pa.int64()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["id", "start", "n_tokens", "ids_crc32", "window_crc32"])
 
-    read = schema_of("id string, start bigint, n_tokens bigint, ids_crc32 bigint")
+    read = schema_of("id string, start bigint, n_tokens bigint, ids_crc32 bigint, window_crc32 bigint")
     tasks = manifest.select("path", "base").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4))
-    return tasks.mapInArrow(run, read).select(F.col("id").cast(out[0].dataType).alias(id_col), "start", "n_tokens", "ids_crc32")
+    found = tasks.mapInArrow(run, read)
+    return found.select(F.col("id").cast(told["id_type"]).alias(told["id_name"]), "start", "n_tokens", "ids_crc32", "window_crc32")

@@ -30,6 +30,32 @@ def test_ids_of_hostile_mixtures():
         assert ENCODER.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_before_marks():
+    """All code points that any case rule may touch, and every 31st of the others, before, after and between marks."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x600 or c % 31 == 0 or chr(c).lower() != chr(c))]
+    for at in range(0, len(points), 500):
+        text = " ".join(f"{c}. a{c}, {c}a., .{c}" for c in map(chr, points[at : at + 500]))
+        assert ENCODER.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_turkish_texts():
+    assert len(ENCODER.encode(["İZMİRİ."])[0]) == 9
+    rng = random.Random(8)
+    words = ["İZMİRİ", "istanbul", "IĞDIR", "ığdır", "Şanlıurfa", "çİçek", "İ", "ﬁ", "ǅ", "ŉ", "ß", "ẞ", "µ", "ª"]
+    for _ in range(2000):
+        text = " ".join(rng.choice(words) + rng.choice(["", ".", ",", "...", ".,", "'s", "!", "\u0307.", "\u0301,"]) for _ in range(6))
+        assert ENCODER.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_tables_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(R, "CACHE_BYTES", 20_000)
+    encoder = R.WordEncoder(PATH)
+    texts = [f"{'x' * 5000}{i} word{i} Wörter{i}." for i in range(600)]
+    found = encoder.encode(texts)
+    assert [f.tolist() for f in found] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.known) + len(encoder.known.older) < 400 and max(map(len, encoder.known)) <= R.LONGEST_KEPT
+
+
 class Held:
     def __init__(self, data):
         self.data = data
@@ -62,6 +88,24 @@ def test_runs_of_one_id():
     assert [shard.tokens(i).tolist() for i in range(6)] == [d.tolist() for d in docs] and shard.doc_ids == list("abcdef")
 
 
+def test_no_pair_that_pays_is_left():
+    """Rules go on until no pair occurs often enough: long repeats become one symbol, and only pairs that overlap themselves may stay."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 900, 400)
+    docs = [np.concatenate((rng.integers(0, 900, 30), passage, rng.integers(0, 900, 30))).astype("<u2") for _ in range(40)]
+    tokens = np.concatenate(docs)
+    last = np.cumsum([len(d) for d in docs]) - 1
+    symbols, ends, rules = R.compress(tokens, last, 1000, 60_000)
+    inner = set(ends.tolist())
+    counts = {}
+    for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        if i not in inner:
+            counts[pair] = counts.get(pair, 0) + 1
+    assert max(counts.values()) < R.LEAST_COUNT
+    assert R.flatten(rules, 1000)[1].max() >= 200
+    assert len(R.compress(tokens, last, 1000, 17)[2]) == 17
+
+
 def test_files_are_read_by_ranges(tmp_path):
     docs = [np.arange(i + 1, dtype="<u2") % 40 for i in range(100)]
     path = write_new(f"file://{tmp_path}", "x", ".rpg", R.build_shard([*range(99), None], docs, 50))
@@ -74,7 +118,8 @@ def expected(rows):
     out, at = [], 0
     for doc_id, text in sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())):
         ids = np.asarray([*LIBRARY.encode(text, add_special_tokens=False).ids, 2], "<u4")
-        out.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
+        window = ids[len(ids) // 2 : len(ids) // 2 + R.WINDOW]
+        out.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(window.tobytes())))
         at += len(ids)
     return out
 
@@ -89,6 +134,9 @@ def test_hostile_rows(docs, no_docs, monkeypatch):
     monkeypatch.setattr(R, "SHARD_TOKENS", 50)
     assert in_order(R.read_shards(R.write_shards(docs, PATH))) == expected(rows)
     assert R.read_shards(R.write_shards(no_docs, PATH)).count() == 0
+    named = docs.selectExpr("concat('d', doc_id) AS path", "text AS body", "doc_id AS base", "lang AS id")
+    back = R.read_shards(R.write_shards(named, PATH, id_col="path", text_col="body"))
+    assert back.columns[0] == "path" and {r[0] for r in back.collect()} == {None if r[0] is None else f"d{r[0]}" for r in rows}
 
 
 def test_query(spark, sf_dir):
