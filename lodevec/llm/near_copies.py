@@ -1,12 +1,14 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them.
+"""Operator 5 as a stage: one document of each group whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-A fingerprint of 64 bits can't find them all: pairs at 0.83 may differ in 17 bits. So candidates come from a prefix
-filter, which loses no pair: with all shingles in one order, two sets at 0.8 share one of the first fifth of each.
-Candidates are confirmed by the Jaccard similarity of the whole sets, and components come from ``simhash.components``.
+A fingerprint of 64 bits can't find all such pairs: at 0.83 two may differ in 17 bits, and no ring of 64 bits has
+segments that would still tell them from others. So pigeonring links of fingerprints (``simhash.links``) only come
+first. A prefix filter, which loses no pair, completes them: with all shingles in one order, two sets at 0.8 share one
+of the first fifth of each. Candidates of either kind are confirmed by the Jaccard similarity of the whole sets, and
+components come from ``simhash.components``.
 
-Documents of equal sets meet in one node first. A first pass confirms each node against the one member that heads most
-of the prefixes they share, so a large group of near copies costs a link each. The second pass compares all candidates
-that aren't in one component by then.
+Documents of equal sets meet in one node first. The first confirmation has at most three candidates a node: what
+its fingerprint links to, and the member that heads most of the prefixes that they share. So a large group of near
+copies costs a few links each. The second compares all candidates that aren't in one component by then.
 """
 
 from __future__ import annotations
@@ -19,25 +21,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodevec.llm.common import map_rows, schema_of, settle, text_or_empty
-from lodevec.llm.simhash import SEED, components
+from lodevec.llm import simhash
+from lodevec.llm.common import map_rows, schema_of, settle, text_or_empty, unused
 
-WORDS = 5
+WORDS, DISTANCE = 5, 3
 #: Shingles that are common in a sample come last in the order, so prefixes are rare ones. This bears on time, not on results.
 SAMPLE_DOCS, COMMON, COMMON_MOST = 10_000, 10, 100_000
 SALTS = 64
+PLACES = 1 << 31
 
 
 def shingle_set(text: str) -> np.ndarray:
     """The sorted hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    grams = [b" ".join(words)] if len(words) <= WORDS else map(b" ".join, zip(*(words[i:] for i in range(WORDS)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64))
+    return np.unique(simhash.shingle_hashes(text, WORDS))
 
 
 def near(both: Column | int, first: Column | int, second: Column | int) -> Column | bool:
@@ -45,6 +42,11 @@ def near(both: Column | int, first: Column | int, second: Column | int) -> Colum
     return 9 * both >= 4 * (first + second)  # type: ignore[operator]
 
 
+def fits(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can have that similarity at all."""
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first shingles of a set, as many as any set at 0.8 must share one of."""
     late = np.zeros(len(shingles), bool)
@@ -55,6 +57,7 @@ def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+    """Shingles of ``COMMON`` or more documents of a sample of about ``SAMPLE_DOCS``, at most ``COMMON_MOST``."""
     every = max(1, df.count() // SAMPLE_DOCS)
     sample = df.select(text_or_empty(text_col).alias("t")).where(F.pmod(F.xxhash64(F.col(id_col), "t"), F.lit(every)) == 0)
 
@@ -66,9 +69,14 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def with_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``df`` with the node of each row's set, the set's size and its prefix."""
-    schema = T.StructType([*df.schema.fields, *schema_of("__node bigint, __size int, __prefix array<bigint>").fields])
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(text_col))
+
+
+def prints_and_prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, hash, node, size, fp, prefix)`` of each row: hashes of text and set, the set's size, its fingerprint and prefix."""
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = schema_of(f"id {kind}, hash bigint, node bigint, size int, fp bigint, prefix array<bigint>")
     shared = df.sparkSession.sparkContext.broadcast(common_shingles(df, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,27 +85,30 @@ def with_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             step = max(1, min(batch.num_rows, int(batch.num_rows * (2 << 20) / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
-                sets = [shingle_set(t) for t in piece.column(piece.num_columns - 1).to_pylist()]
-                nodes = np.asarray([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                heads = [prefix(s, common).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+                nodes, sizes, prints, heads = [], [], [], []
+                for text in piece.column(2).to_pylist():
+                    hashes = simhash.shingle_hashes(text, WORDS)
+                    held = np.unique(hashes)
+                    nodes.append(xxhash.xxh64_intdigest(held.tobytes(), simhash.SEED))
+                    sizes.append(len(held))
+                    prints.append(simhash.folded(hashes))
+                    heads.append(prefix(held, common).view(np.int64) if len(held) else held.view(np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
-                added = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *added], schema.names)
+                made = [pa.array(np.asarray(v, np.uint64).view(np.int64)) for v in (nodes, prints)]
+                rows = [*piece.columns[:2], made[0], pa.array(sizes, pa.int32()), made[1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))]
+                yield pa.RecordBatch.from_arrays(rows, schema.names)
+
+    return df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), text_or_empty(text_col).alias("body")).mapInArrow(run, schema)
 
-    return df.select("*", text_or_empty(text_col).alias("__text")).mapInArrow(run, schema)
 
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` of nodes that are near copies by their whole sets. Many pairs may have one ``a``.
 
-def confirmed(pairs: DataFrame, held: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs ``(a, b)`` of nodes that are near copies by their whole sets. Many pairs may have one ``a``."""
-    pairs = settle(pairs, "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(asked, "node").select("node", "least_id")
-    texts = held.select(F.col("__node").alias("node"), F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
-    texts = texts.join(wanted, "node").where(F.col("__id").eqNullSafe(F.col("least_id"))).select("node", "text").dropDuplicates(["node"])
-    texts = settle(texts, "texts")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    heads = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(heads, ["a", "salt"])
+    ``texts`` has node and body. The rows of a hot ``a`` are dealt to ``SALTS`` tasks, each with one copy of its text.
+    """
+    salted = settle(pairs.distinct(), "pairs").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    heads = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a")
+    both = salted.join(texts.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b").join(heads, ["a", "salt"])
 
     def setup():
         known = lru_cache(64)(shingle_set)
@@ -115,52 +126,73 @@ def confirmed(pairs: DataFrame, held: DataFrame, nodes: DataFrame, id_col: str,
     return settle(map_rows(both.select("a", "b", "text_a", "text_b"), setup, schema_of("a bigint, b bigint")), "confirmed")
 
 
-def links(held: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs of nodes that are near copies: all but those that others put in one component already."""
-    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle"))
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates ``(a, b)`` of pigeonring links: nodes of one fingerprint, and each fingerprint with the least that it links to."""
+    heads = settle(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")), "heads")
+    near_by = simhash.links(heads.select("fp"), DISTANCE).groupBy("b").agg(F.min("a").alias("a"))
+    side = lambda s: heads.select(F.col("fp").alias(s), F.col("head").alias(f"head_{s}"))
+    linked = near_by.join(side("a"), "a").join(side("b"), "b").where(fits(F.col("head_a.size"), F.col("head_b.size")))
+    same = nodes.select("fp", "node", "size").join(heads, "fp").where((F.col("node") != F.col("head.node")) & fits(F.col("size"), F.col("head.size")))
+    return linked.select(F.col("head_a.node").alias("a"), F.col("head_b.node").alias("b")).unionByName(same.select(F.col("head.node").alias("a"), F.col("node").alias("b")))
+
+
+def links(nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """Pairs of nodes that are near copies: all but those that others put in one component already.
+
+    ``texts_of`` has id, hash and body of rows, of which the nodes' own are taken.
+    """
+    place = F.col("size") * F.lit(PLACES) + F.col("at")  # size and place in one number
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "node", place.alias("place"))
     group = Window.partitionBy("shingle")
-    met = rows.withColumn("head", F.min(F.struct("node", "size")).over(group)).withColumn("n", F.count("*").over(group)).where("n > 1")
-    met = settle(met.select("shingle", "node", "size", "at", "head"), "met")
+    met = rows.withColumn("head", F.min(F.struct("node", "place")).over(group)).withColumn("n", F.count("*").over(group)).where("n > 1")
+    size = lambda c: F.floor(c / PLACES).cast("int")
+    met = settle(met.select("shingle", "node", size(F.col("place")).alias("size"), (F.col("place") % PLACES).cast("int").alias("at"), F.col("head.node").alias("head"), size(F.col("head.place")).alias("head_size")), "met")
 
-    fits = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-    first = met.where((F.col("node") != F.col("head.node")) & fits(F.col("size"), F.col("head.size")))
-    first = first.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).count()
+    first = met.where((F.col("node") != F.col("head")) & fits(F.col("size"), F.col("head_size")))
+    first = first.groupBy(F.col("head").alias("a"), F.col("node").alias("b")).count()
     first = first.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a")).select("a", "b")
-    edges = confirmed(first, held, nodes, id_col, text_col)
+    first = settle(first.unionByName(by_fingerprint(nodes).select("a", "b")), "first")
+
+    asked = met.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.select("node", F.col("least.id").alias("id"), F.col("least.hash").alias("hash")).join(asked, "node")
+    same = texts_of["id"].eqNullSafe(wanted["id"]) & (texts_of["hash"] == wanted["hash"])
+    texts = settle(texts_of.join(wanted, same).select("node", "body").dropDuplicates(["node"]), "texts")
+    edges = confirmed(first, texts)
 
-    joined = components(edges)
-    parted = met.drop("head").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = simhash.components(edges)
+    parted = met.drop("head", "head_size").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends = parted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     open_ = settle(parted.join(ends, "shingle"), "open")
     side = lambda s: open_.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "at", "root")))
     # at the first shingle two prefixes share, what is left of both sets must be able to reach the similarity
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     second = side("a").join(side("b"), "shingle").where((F.col("root_a") < F.col("root_b")) & near(rest, F.col("size_a"), F.col("size_b")))
-    second = second.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return edges.unionByName(confirmed(second, held, nodes, id_col, text_col))
+    return edges.unionByName(confirmed(second.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), texts))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each component of near copies: that of the least id. Its columns stay as they are.
+    """``df`` with one row of each component of near copies, that of the least id and then the least hash of its text; columns stay.
 
-    Texts without words are one component. Ids may be null, which come last, or repeat: only the text decides.
+    Texts without words, null or empty, are one component. Ids may be null, which come last, or repeat: only texts decide
+    what is alike, so a text unlike all others stays whatever its id. Of rows that repeat id and text one stays, an
+    arbitrary one where other columns differ. Very long texts are compared whole. An empty table gives an empty one.
     """
-    held = settle(with_sets(df, id_col, text_col), "held")
-    told = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_or_empty(text_col)))
-    nodes = held.groupBy(F.col("__node").alias("node")).agg(F.min(told).alias("least"), F.first("__size").alias("size"), F.first("__prefix").alias("prefix"))
-    nodes = nodes.select("node", F.col("least.col1").alias("no_id"), F.col(f"least.{id_col}").alias("least_id"), F.col("least.col3").alias("text_hash"), "size", "prefix")
+    told = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "node")
+    nodes = prints_and_prefixes(df, id_col, text_col).groupBy("node").agg(
+        F.min(told).alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
+    )
     nodes = settle(nodes, "nodes")
-    joined = components(links(held, nodes, id_col, text_col))
-    rooted = nodes.select("node", "no_id", "least_id", "text_hash").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min(F.struct("no_id", "least_id", "text_hash", "node")).alias("s"))
-    best = best.select(F.col("s.node").alias("__node"), F.col("s.least_id").alias("__id"), F.col("s.text_hash").alias("__hash"))
-    chosen = (held["__node"] == best["__node"]) & held[id_col].eqNullSafe(best["__id"]) & (F.xxhash64(text_or_empty(text_col)) == best["__hash"])
-    # the rows to keep grow with the input, so they are never broadcast
-    kept = held.drop("__size", "__prefix").join(best.hint("merge"), chosen, "left_semi")
-    again = held.groupBy("__node", id_col).count().where("count > 1")
+    texts_of = df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), text_or_empty(text_col).alias("body"))
+    joined = simhash.components(links(nodes, texts_of))
+    rooted = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = settle(rooted.groupBy("root").agg(F.min("least").alias("s")).select("s.id", "s.hash"), "best")
+
+    name_id, name_hash = unused(df, "chosen_id", "chosen_hash")
+    best = best.select(F.col("id").alias(name_id), F.col("hash").alias(name_hash))
+    kept = df.join(best, df[id_col].eqNullSafe(best[name_id]) & (text_hash(text_col) == best[name_hash]), "left_semi")
+    again = df.groupBy(F.col(id_col).alias(name_id), text_hash(text_col).alias(name_hash)).count().where("count > 1").select(name_id, name_hash)
     if again.limit(1).count():
-        # copies of one id: a row of each node is enough; nodes with one row pass by
-        twice = again.select(F.col("__node").alias("__twice")).distinct()
-        same = kept.join(twice, kept["__node"] == twice["__twice"], "left_semi").dropDuplicates(["__node"])
-        kept = kept.join(twice, kept["__node"] == twice["__twice"], "left_anti").unionByName(same)
-    return kept.select(*df.columns)
+        is_twice = kept[id_col].eqNullSafe(again[name_id]) & (text_hash(text_col) == again[name_hash])
+        twice = kept.join(again, is_twice, "left_semi").withColumn(name_hash, text_hash(text_col)).dropDuplicates([id_col, name_hash]).drop(name_hash)
+        kept = kept.join(again, is_twice, "left_anti").unionByName(twice)
+    return kept

@@ -26,23 +26,36 @@ SEED = 42
 BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a text: a bit is set where over half the shingles' XXH64 values have it."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; of fewer words the whole sequence is one, of none there is none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z fold, only ASCII space splits
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) <= shingle:
         grams = [b" ".join(words)]
     else:
         grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
     digest, seed = xxhash.xxh64_intdigest, SEED
-    hashes = np.fromiter((digest(g, seed) for g in grams), dtype="<u8", count=len(grams)).view(np.uint8).reshape(-1, 8)
-    set_bits = np.stack([np.bincount(hashes[:, k], minlength=256) for k in range(8)]) @ BIT_OF_BYTE
-    return int.from_bytes(np.packbits((2 * set_bits > len(grams)).reshape(-1), bitorder="little").tobytes(), "little")
+    return np.fromiter((digest(g, seed) for g in grams), dtype="<u8", count=len(grams))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of shingle hashes: a bit is set where over half of them have it."""
+    rows = hashes.view(np.uint8).reshape(-1, 8)
+    set_bits = np.stack([np.bincount(rows[:, k], minlength=256) for k in range(8)]) @ BIT_OF_BYTE
+    return int.from_bytes(np.packbits((2 * set_bits > len(hashes)).reshape(-1), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str, shingle: int = 3) -> int:
+    return folded(shingle_hashes(text, shingle))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` of each row; fp is the fingerprint as a signed long. A null text counts as empty (0)."""
+    """``(id, fp)`` of each row; fp is the fingerprint as a signed long.
+
+    A null text counts as empty, which has 0; long texts are hashed whole; repeated rows repeat; an empty table gives
+    an empty result; other columns aren't looked at.
+    """
 
     def setup():
         def work(ids: list, texts: list) -> list[tuple]:
@@ -61,38 +74,52 @@ def _turned(fp: Column, by: int) -> Column:
 
 
 def links(nodes: DataFrame, distance: int = 3) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of different values of ``nodes.fp`` at ``distance`` bits or fewer.
+    """All pairs ``(a, b)``, a < b, of different values of ``nodes.fp`` at ``distance`` bits or fewer, each once.
 
     The segments are ``64 / (distance + 1)`` bits wide. The join key is the number of the first segment
-    with the first two segments' bits. One side looks up each value its second segment may have.
+    with the first two segments' bits. One side looks up each value its second segment may have. Rings are turned
+    again after the join, so they aren't shuffled; a pair whose chain holds from several segments counts at the first.
+    Null fingerprints link to nothing; repeated ones count once; an empty table has no links.
     """
     m = distance + 1
     if BITS % m or not 1 <= distance <= 7:
         raise ValueError("distance must be 1, 3 or 7")
     wide = BITS // m
-    turns = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _turned(F.col("fp"), wide * i).alias("ring")) for i in range(m)))).alias("t")
-    rings = nodes.select("fp", turns).select("fp", "t.i", "t.ring")
-    head = F.shiftrightunsigned("ring", BITS - 2 * wide)
-    key = lambda bits: F.struct(F.col("i"), bits.alias("head"))
+    head_of = lambda ring: F.shiftrightunsigned(ring, BITS - 2 * wide)
+    rings = [(i, head_of(_turned(F.col("fp"), wide * i))) for i in range(m)]
     if 2 * wide <= 58:  # segment number and bits fit one long, which sorts faster
-        key = lambda bits: F.shiftleft(F.col("i").cast("long"), 2 * wide).bitwiseOR(bits)
-    held = rings.select(F.col("fp").alias("b"), F.col("ring").alias("ring_b"), key(head).alias("key"))
-    masks = F.explode(F.array(F.lit(0).cast("long"), *(F.lit(1 << j).cast("long") for j in range(wide))))
-    asked = rings.select("fp", "i", "ring", masks.alias("mask")).select(
-        F.col("fp").alias("a"), F.col("ring").alias("ring_a"), key(head.bitwiseXOR(F.col("mask"))).alias("key")
-    )
-    unlike = F.col("ring_a").bitwiseXOR(F.col("ring_b"))
-    near = F.bit_count(unlike) <= distance
-    for chain in range(m - 1, 2, -1):
-        near = (F.bit_count(F.shiftrightunsigned(unlike, BITS - chain * wide)) <= chain - 1) & near
-    return asked.join(held, on=(asked.key == held.key) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+        key = lambda i, bits: F.lit(i << 2 * wide).cast("long").bitwiseOR(bits)
+        segment = lambda k: F.shiftrightunsigned(k, 2 * wide).cast("int")
+    else:
+        key = lambda i, bits: F.struct(F.lit(i).alias("i"), bits.alias("head"))
+        segment = lambda k: k["i"]
+    values = nodes.select("fp").distinct()
+    held = values.select(F.col("fp").alias("b"), F.explode(F.array(*(key(i, bits) for i, bits in rings))).alias("key"))
+    masks = [0, *(1 << j for j in range(wide))]
+    asked = values.select(F.col("fp").alias("a"), F.explode(F.array(*(key(i, bits.bitwiseXOR(F.lit(mask).cast("long"))) for i, bits in rings for mask in masks))).alias("key"))
+    unlike = F.col("a").bitwiseXOR(F.col("b"))
+
+    def chain(i: int) -> Column:
+        """Whether every run of segments from the i-th on stays within its share of the differences."""
+        turned = _turned(unlike, wide * i)
+        holds = F.bit_count(F.shiftrightunsigned(turned, BITS - wide)) <= 0
+        for run in range(2, m):
+            holds = holds & (F.bit_count(F.shiftrightunsigned(turned, BITS - run * wide)) <= run - 1)
+        return holds
+
+    first = F.lit(m)
+    for i in reversed(range(m)):
+        first = F.when(chain(i), i).otherwise(first)
+    joined = asked.join(held, on=(asked.key == held.key) & (F.col("a") < F.col("b")) & (F.bit_count(unlike) <= distance) & (first == segment(asked.key)))
+    return joined.select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of undirected ``edges(a, b)``; root is the least node of its component.
 
-    Large-star then small-star until the edges stay the same. Minima are aggregated before the shuffle,
-    and a hub's rows only meet in joins that can be split.
+    Large-star then small-star until the edges stay the same, which they do after some rounds, as each only lowers
+    nodes' neighbours. Minima are aggregated before the shuffle, and a hub's rows only meet in joins that can be
+    split. Edges may repeat or lead from a node to itself; without edges there are no rows. Ends mustn't be null.
     """
     star = settle(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges")
 
@@ -110,9 +137,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         return tuple(row)  # type: ignore[arg-type]
 
     before = signature(star)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = settle(toward_minimum(both, larger=True), "large")
         downward = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -121,8 +146,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     leaves = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
 
@@ -147,21 +170,5 @@ def near_duplicates(
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``df`` without all but the document with the least id of each component; its columns stay as they are.
-
-    Of rows that repeat an id, which then name one document, one stays. Rows with a null id all stay.
-    """
-    found = near_duplicates(df, id_col, text_col, shingle, distance).where(F.col(id_col).isNotNull())
-    found = settle(found.select(F.col(id_col).alias("__id"), (F.col(id_col) == F.col("component_id")).alias("__first")), "found")
-    dropped = found.groupBy("__id").agg(F.max("__first").alias("__any"), F.count("*").alias("__rows"))
-    # the ids to drop grow with the input, so they are never broadcast: texts are shuffled once, at any size
-    kept = df.join(dropped.where(~F.col("__any")).hint("merge"), df[id_col] == F.col("__id"), "left_anti")
-    if dropped.where(F.col("__rows") > 1).limit(1).count():
-        named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-        kept = named.unionByName(kept.where(F.col(id_col).isNull()))
-    return kept
-
-
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

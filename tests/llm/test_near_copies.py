@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as C
 from lodevec.llm import near_copies as N
+from lodevec.llm import simhash as S
 
 
 def slow_set(text, n=5):
@@ -56,6 +57,24 @@ def test_repeated_ids_keep_a_row_of_each_component(spark):
     assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[4], rows[6], (9, "twice the very same row")], key=str)
 
 
+def test_columns_named_like_ours(spark):
+    names = ["__id", "node", "hash", "chosen_id", "Chosen_Hash", "size", "fp", "prefix", "body", "root", "id", "least"]
+    rows = [(1, "one text", *names), (1, "another text altogether", *names), (2, "one text", *names), (2, "one text", *names)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = N.keep_one(frame)
+    assert kept.columns == frame.columns and sorted((r[0], r[1]) for r in kept.collect()) == [(1, "another text altogether"), (1, "one text")]
+
+
+def test_fingerprint_links_alone_miss_pairs(spark, sf_dir):
+    """Why the prefix filter completes the fingerprints: some pairs at 0.8 differ in more than three bits."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets = {i: slow_set(t) for i, t in texts.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] != sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    bits = [bin(S.fingerprint(texts[a] or "", 5) ^ S.fingerprint(texts[b] or "", 5)).count("1") for a, b in pairs]
+    assert bits and max(bits) > 3
+
+
 def test_hostile_rows(docs, no_docs):
     kept = N.keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "6", "7", "8", "9", "None"]

@@ -1,9 +1,9 @@
 import sentencepiece
 
 import corpus_pipeline as C
-from lodevec.llm import simhash, tiling, toxicity
+from lodevec.llm import near_copies, tiling, toxicity
 from lodevec.llm.queries import tokenizer_path
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_near_copies import slow_kept
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -14,8 +14,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     stage = C.drop_toxic(spark, docs, sf_dir)
     assert {tuple(r) for r in stage.collect()} == {tuple(rows[i]) for i in left} and stage.columns == docs.columns
 
-    parts = slow_components({i: slow_fingerprint(rows[i].text) for i in left})
-    left = {i for i in left if parts[i] == i}
+    left = slow_kept({i: rows[i].text for i in left})
     stage = C.drop_near_copies(spark, stage, sf_dir)
     assert {r.doc_id for r in stage.collect()} == left and stage.columns == docs.columns
 
@@ -42,4 +41,4 @@ def test_each_stage_takes_hostile_rows(spark, docs, no_docs, sf_dir):
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"word{i}" for i in range(300))
     frame = spark.createDataFrame([(i, text) for i in (9, 4, 7)] + [(1, "something else")], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == [1, 4]
+    assert sorted(r.doc_id for r in near_copies.keep_one(frame).collect()) == [1, 4]
