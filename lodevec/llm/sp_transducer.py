@@ -6,31 +6,33 @@ each character that is no piece a path of byte pieces. Composed with an input th
 character positions, and the tropical shortest path through it is the encoding.
 
 For a BPE model the piece machine is also made a bigram machine: piece b may follow piece a only where
-merging ``ab`` would leave the border alone. With that constraint a prefix has one accepted path, so the
-lattice needs one state a position and the shortest path is the merge encoding.
+merging ``ab`` would leave the border alone; elsewhere its arc is infinitely dear. With that constraint a prefix
+has one path of finite cost, so the lattice needs one state a position and the shortest path is the merge encoding.
 
-Texts are cut where no piece of the model can reach across, before U+2581 after another character,
-and the paths of the cuts are kept in a bounded table.
+Texts are cut where no piece of the model can reach across, before U+2581 after another character and
+between characters that no piece has next to each other. The paths of short cuts are kept in a table of bounded bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import map_rows, schema_of, text_or_empty
+from lodevec.llm.common import map_rows, schema_of, text_or_empty, warm
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS = 450_000
+#: The table of paths holds about so many bytes, in two generations; longer cuts aren't kept.
+CACHE_BYTES, LONGEST_KEPT = 80 << 20, 48
+ENTRY_BYTES = 200
 CACHE_PAIRS = 200_000
 SHORT = (2, 1)
 INF = float("inf")
@@ -62,6 +64,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class Known(dict):
+    """Paths of cuts as bytes; what is missing is searched when it is first asked for. ``room`` is what it still may hold."""
+
+    def __init__(self, find: Callable[[str], bytes], older: dict) -> None:
+        self.find, self.older, self.room = find, older, CACHE_BYTES
+
+    def __missing__(self, cut: str) -> bytes:
+        found = self.older.get(cut)
+        if found is None:
+            found = self.find(cut)
+        if len(cut) <= LONGEST_KEPT and self.room > 0:
+            self[cut] = found
+            self.room -= ENTRY_BYTES + 2 * len(cut)
+        return found
+
+
 @dataclass
 class Transducer:
     """The compiled machines. ``pieces`` are texts with U+2581 for spaces."""
@@ -72,7 +90,6 @@ class Transducer:
     model_type: int = UNIGRAM
     dummy_prefix: bool = True
     squeeze_spaces: bool = False
-    cache: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER)]
@@ -89,7 +106,7 @@ class Transducer:
         #: Lengths of arcs by their first three characters, long ones first; other arcs are shorter than three.
         self.reach = {head: tuple(sorted(sizes, reverse=True)) for head, sizes in lengths.items()}
         self.joints = {p[i : i + 2] for p in self.arc for i in range(len(p) - 1)}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self._word, {})
         self.ends: dict[str, tuple | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.plain = [self._bytes(i) for i in range(len(self.pieces))]
@@ -204,113 +221,83 @@ class Transducer:
                 j += 1
 
     # ------------------------------------------------------------------ shortest path
-    def _path(self, text: str) -> tuple[int, ...]:
+    def _path(self, text: str) -> bytes:
         """Ids on the tropical shortest path of the lattice of normalised ``text``."""
-        parts = self._accepted(text) if self.model_type == BPE else self._cheapest(text)
         out: list[int] = []
-        for part in parts:
+        for part in self._shortest(text):
             found = self.arc.get(part)
             out += self._fallback(part) if found is None else (found,)
-        return tuple(out)
+        return np.asarray(out, np.int32).tobytes()
 
-    def _cheapest(self, text: str) -> list[str]:
-        """Relaxation in order of position; the state is the position alone. Of equal costs the longer last piece wins."""
-        size, arc, scores, longest = len(text), self.arc, self.scores, self.longest
-        cost = [0.0] + [INF] * size
-        back = [0] * (size + 1)
-        for end in range(1, size + 1):
-            for start in range(max(0, end - longest), end):
-                found = arc.get(text[start:end])
-                if found is None and end - start > 1:
-                    continue
-                total = cost[start] + (self.unknown_cost if found is None else -scores[found])
-                if total < cost[end]:
-                    cost[end], back[end] = total, start
-        parts = []
-        while size:
-            parts.append(text[back[size] : size])
-            size = back[size]
-        return parts[::-1]
-
-    def _accepted(self, text: str) -> list[str]:
-        """The one path that the bigram machine accepts, which thereby is the shortest.
+    def _shortest(self, text: str) -> list[str]:
+        """Relaxation in order of position. Of equal costs the longer last piece wins.
 
-        Arcs are followed depth first, long ones first. A prefix has one accepted path, so a position
-        that was reached before needn't be tried again, and the search is linear in the text.
+        A position keeps its cost and the last piece on the way to it; that piece is all that the bigram machine asks for.
         """
-        size, arc, reach, pairs = len(text), self.arc, self.reach, self.pairs
+        size, arc, scores, reach, pairs, bigram = len(text), self.arc, self.scores, self.reach, self.pairs, self.model_type == BPE
         if len(pairs) > CACHE_PAIRS:
             pairs.clear()
-        reached = bytearray(size + 1)
-        path: list[str] = []
-        at, before, most = 0, "", self.longest
-        while at < size:
-            most = min(most, size - at)
+        cost = [0.0] + [INF] * size
+        last = [""] * (size + 1)
+        for at in range(size):
+            here, before = cost[at], last[at]
+            if here == INF:
+                continue
             for length in reach.get(text[at : at + 3], SHORT):
-                if length > most or reached[at + length]:
+                end = at + length
+                if end > size:
+                    continue
+                part = text[at:end]
+                found = arc.get(part)
+                if found is not None:
+                    total = here - scores[found]
+                elif length == 1:
+                    total = here + self.unknown_cost
+                else:
                     continue
-                part = text[at : at + length]
-                if length > 1 and part not in arc:
+                if total >= cost[end]:
                     continue
-                if before:
+                if bigram:
                     fits = pairs.get((before, part))
                     if fits is None:
-                        fits = pairs[before, part] = self.may_follow(before, part)
-                else:
-                    fits = self._ends(part) is not None
-                if fits:
-                    at += length
-                    reached[at] = 1
-                    path.append(part)
-                    before, most = part, self.longest
-                    break
-            else:
-                part = path.pop()
-                at -= len(part)
-                before, most = path[-1] if path else "", len(part) - 1
-        return path
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        """The path of a word, put together from parts that no piece reaches across."""
-        joints = self.joints
-        at = 0
-        ids: tuple[int, ...] = ()
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in joints:
-                ids += self._kept(word[at:i])
-                at = i
-        return ids + (self._kept(word[at:]) if at else self._path(word))
-
-    def _kept(self, part: str) -> tuple[int, ...]:
-        known = self.cache.get(part)
-        if known is None:
-            known = self.cache[part] = self.older.get(part) or self._path(part)
-        return known
+                        fits = pairs[before, part] = self.may_follow(before, part) if before else self._ends(part) is not None
+                    if not fits:
+                        continue
+                cost[end], last[end] = total, part
+        parts = []
+        while size:
+            parts.append(last[size])
+            size -= len(last[size])
+        return parts[::-1]
+
+    def _word(self, word: str) -> bytes:
+        """The path of a cut, put together from parts that no piece reaches across."""
+        joints, known = self.joints, self.known
+        edges = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joints]
+        if not edges:
+            return self._path(word)
+        return b"".join([known[word[a:b]] for a, b in zip([0, *edges], [*edges, len(word)], strict=True)])
 
     def _fallback(self, char: str) -> list[int]:
         if not self.byte:
             return [self.unknown]
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")]
 
-    def encode(self, text: str) -> list[int]:
-        """Piece ids of a whole text; nothing for an empty one."""
+    def encode_array(self, text: str) -> np.ndarray:
+        """Piece ids of a whole text; none for an empty one."""
         text = self.normalise(text)
         if not text:
-            return []
+            return np.empty(0, np.int32)
         if not self.severed:
-            return list(self._path(text))
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
-        cache = self.cache
-        ids: list[int] = []
+            return np.frombuffer(self._path(text), np.int32)
+        if self.known.room < 0:
+            self.known = Known(self._word, dict(self.known))
         # a cut begins at each space that follows another character; runs of spaces stay with what follows them
         words = _CUTS.findall(text) if SPACE * 2 in text or text[0] != SPACE else [SPACE + w for w in text.split(SPACE)[1:]]
-        for word in words:
-            known = cache.get(word)
-            if known is None:
-                known = cache[word] = self.older.get(word) or self._word(word)
-            ids += known
-        return ids
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids, without the dummy prefix. Broken byte sequences give U+FFFD, control pieces nothing."""
@@ -326,14 +313,8 @@ class Transducer:
         return b"" if kind == CONTROL else self.pieces[i].encode()
 
 
-_WARM: dict[str, Transducer] = {}
-
-
 def _same(key: str, parts: tuple) -> Transducer:
-    if key not in _WARM:
-        _WARM.clear()
-        _WARM[key] = Transducer(*map(list, parts[:3]), *parts[3:])
-    return _WARM[key]
+    return warm(("pieces", key), lambda: Transducer(*map(list, parts[:3]), *parts[3:]))
 
 
 _CUTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -345,13 +326,13 @@ def encode_column(model: Transducer, text: Column) -> Column:
     @F.pandas_udf("array<int>")  # type: ignore[call-overload]
     def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:
-            yield pd.Series([np.asarray(model.encode(t), np.int32) for t in texts], dtype=object)
+            yield pd.Series([model.encode_array(t) for t in texts], dtype=object)
 
     return encode(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def decode_column(model: Transducer, ids: Column) -> Column:
-    """The text of a column of id arrays; null for null."""
+    """The text of a column of id arrays; null for null, empty for none. An id that the model doesn't have is an error."""
 
     @F.pandas_udf("string")  # type: ignore[call-overload]
     def decode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -374,8 +355,8 @@ def encoded(docs: DataFrame, model: Transducer, id_col: str = "doc_id", text_col
         def work(ids: list, texts: list) -> list[tuple]:
             rows = []
             for i, t in zip(ids, texts, strict=True):
-                found = model.encode(t)
-                rows.append((i, found, len(found), model.decode(found) == plain(t)))
+                found = model.encode_array(t)
+                rows.append((i, found, len(found), model.decode(found.tolist()) == plain(t)))
             return rows
 
         return work

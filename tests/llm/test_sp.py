@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import sentencepiece
 from hypothesis import given, settings
@@ -59,17 +60,28 @@ def test_unigram_path_is_the_cheapest():
                 cut = [text[a:b] for a, b in zip(at, at[1:])]
                 if all(p in model.arc or len(p) == 1 for p in cut):
                     cuts.append(cost(cut))
-            assert abs(cost(model._cheapest(text)) - min(cuts)) < 1e-9
+            assert abs(cost(model._shortest(text)) - min(cuts)) < 1e-9
 
 
 def test_cache_turnover(monkeypatch):
-    monkeypatch.setattr(P, "CACHE_WORDS", 5)
+    monkeypatch.setattr(P, "CACHE_BYTES", 600)
     monkeypatch.setattr(P, "CACHE_PAIRS", 5)
     model = piece_model()
     for text in ("one two three four five six seven", "seven eight nine ten one two", "one two"):
         assert model.encode(text) == LIBRARY.encode(text)
 
 
+def test_a_million_unspaced_characters():
+    rng = random.Random(6)
+    for alphabet in ([chr(c) for c in range(0x4E00, 0x9FA6)], list("abcdefghij"), list("的一是不了人我在有他这")):
+        text = "".join(rng.choice(alphabet) for _ in range(1_000_000))
+        model = piece_model()
+        began = time.process_time()
+        ids = model.encode(text)
+        assert time.process_time() - began < 60 and model.decode(ids) == text and max(map(len, model.known)) <= P.LONGEST_KEPT
+        assert model.encode(text[:20_000]) == LIBRARY.encode(text[:20_000])
+
+
 def test_hostile_rows(docs, no_docs):
     rows = P.encoded(docs, MODEL).collect()
     texts = [(d.doc_id, d.text or "") for d in docs.collect()]
