@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item become a candidate when they share a seed, a run of ``seed`` tokens.
+A document's seeds, runs of ``SEED_TOKENS`` tokens, are joined with those of the benchmark items by their rolling hash.
+An item stays a candidate where the seeds that it shares with the document cover as many of its tokens as the tiles must.
 Tiles are then marked by running Karp-Rabin: windows of length s are looked up by rolling hash, matches
 grow to full length through unmarked tokens, the longest are marked first, and s shrinks. The share of
 the item's tokens under tiles decides, wherever in the document the tiles lie.
@@ -22,6 +23,8 @@ from lodevec.llm.common import map_rows, schema_of, text_or_empty
 
 SEED_TOKENS = 5
 MIN_TILE = 5
+#: Items of fewer tokens say too little to be found in a document; they are left out unless a caller lowers this.
+MIN_ITEM = 5
 MIN_COVERAGE = 0.6
 BLOCK_CHARS = 8_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so powers are invertible mod 2**64
@@ -123,46 +126,68 @@ def _all_free(free: np.ndarray, size: int) -> np.ndarray:
     return marked[size:] == marked[:-size]
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``low .. high``, one range after the other."""
+    sizes = high - low
+    ends = np.cumsum(sizes)
+    return np.repeat(low - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Benchmark:
-    """Items as ids, with the hashes of their seeds."""
+    """Items as ids, with a sorted table of their seeds by hash: which item has it, and where."""
 
-    def __init__(self, items: list[tuple], seed: int = SEED_TOKENS) -> None:
-        self.seed = seed
+    def __init__(self, items: list[tuple], seed: int = SEED_TOKENS, min_item: int = MIN_ITEM) -> None:
         self.ids: dict[str, int] = {}
         self.items: list[tuple] = []
-        places: list[tuple[np.ndarray, int, int]] = []
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
-            ids = np.asarray([self.ids.setdefault(w, len(self.ids)) for w in tokens(text or "")], dtype=np.int64)
-            if len(ids):
-                k = min(seed, len(ids))
-                places.append((np.unique(_window_hashes(ids, k)), k, len(self.items)))
-                self.items.append((item_id, ids))
+            words = tokens(text or "")
+            if not words or len(words) < min_item:
+                continue
+            ids = np.asarray([self.ids.setdefault(w, len(self.ids)) for w in words], dtype=np.int64)
+            k = min(seed, len(ids))
+            found.setdefault(k, []).append((_window_hashes(ids, k), len(self.items)))
+            self.items.append((item_id, ids))
+        self.sizes = np.asarray([len(ids) for _, ids in self.items], np.int64)
         self.lookup = {}
-        for k in {k for _, k, _ in places}:
-            hashes = np.concatenate([h for h, size, _ in places if size == k])
-            owner = np.concatenate([np.full(len(h), i) for h, size, i in places if size == k])
+        for k, rows in found.items():
+            hashes = np.concatenate([h for h, _ in rows])
+            owner = np.concatenate([np.full(len(h), i, np.int32) for h, i in rows])
+            place = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _ in rows])
             order = np.argsort(hashes, kind="stable")
-            self.lookup[k] = (hashes[order], owner[order])
+            self.lookup[k] = (hashes[order], owner[order], place[order])
 
-    def candidates(self, doc: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Items that share a seed with the document, with the tokens that lie in shared seeds; -1 elsewhere."""
-        hit: dict[int, np.ndarray] = {}
-        for k, (hashes, owner) in self.lookup.items():
+    def candidates(self, doc: np.ndarray, min_coverage: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Items whose shared seeds cover enough of them, each with the document's tokens in these seeds; -1 parts their runs."""
+        for k, (hashes, owner, place) in self.lookup.items():
             known = np.flatnonzero(_all_free(doc >= 0, k))
             if not len(known):
                 continue
             mine = _window_hashes(doc, k)[known]
-            low = np.searchsorted(hashes, mine, "left")
-            there = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == mine)
-            high = np.searchsorted(hashes, mine[there], "right")
-            for at, a, b in zip(known[there], low[there], high, strict=True):
-                for i in owner[a:b]:
-                    hit.setdefault(int(i), np.zeros(len(doc), bool))[at : at + k] = True
-        out = []
-        for i, inside in sorted(hit.items()):
-            edge = np.flatnonzero(inside | np.concatenate((inside[1:], [False])) | np.concatenate(([False], inside[:-1])))
-            out.append((i, np.where(inside, doc, -1)[edge]))
-        return out
+            order = np.argsort(mine, kind="stable")
+            mine, known = mine[order], known[order]
+            heads = np.concatenate(([0], np.flatnonzero(mine[1:] != mine[:-1]) + 1))  # of each different hash
+            tails = np.append(heads[1:], len(mine))
+            low, high = (np.searchsorted(hashes, mine[heads], side) for side in ("left", "right"))
+            shared = np.flatnonzero(high > low)
+            rows = _ranges(low[shared], high[shared])
+            which = np.repeat(shared, (high - low)[shared])  # the document's hash of each row
+            by_item = np.lexsort((place[rows], owner[rows]))
+            rows, which = rows[by_item], which[by_item]
+            items, places = owner[rows], place[rows].astype(np.int64)
+            if not len(items):
+                continue
+            reach = np.full(len(items), k)
+            reach[:-1] = np.where(items[1:] == items[:-1], np.minimum(k, np.diff(places)), k)
+            begins = np.concatenate(([0], np.flatnonzero(np.diff(items)) + 1))
+            ends = np.append(begins[1:], len(items))
+            enough = np.add.reduceat(reach, begins) >= min_coverage * self.sizes[items[begins]]
+            for a, b in zip(begins[enough], ends[enough], strict=True):
+                of = np.unique(which[a:b])
+                starts = np.sort(known[_ranges(heads[of], tails[of])])
+                at = np.unique((starts[:, None] + np.arange(k)).ravel())
+                gaps = np.flatnonzero(np.diff(at) > 1) + 1
+                yield int(items[a]), np.insert(doc[at], gaps, -1)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_chars: int) -> Iterator[Broadcast]:
@@ -175,18 +200,16 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_chars: in
         yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in part.orderBy("item", "body").collect()])
 
 
-def _hits(bench: Benchmark, text: str, min_tile: int, min_coverage: float) -> list[tuple]:
+def _hits(bench: Benchmark, text: str, min_tile: int, min_coverage: float) -> Iterator[tuple]:
     """``(item, coverage, n_tiles, longest_tile, item_tokens)`` of each item that the text covers far enough."""
     number = bench.ids.get
     doc = np.asarray([number(w, -1) for w in tokens(text)], dtype=np.int64)
-    rows = []
-    for i, near in bench.candidates(doc):
+    for i, near in bench.candidates(doc, min_coverage):
         item_id, item = bench.items[i]
         tiles = tile(near, item, min_tile)
         covered = sum(n for _, _, n in tiles) / len(item)
-        if covered >= min_coverage:
-            rows.append((item_id, covered, len(tiles), max(n for _, _, n in tiles), len(item)))
-    return rows
+        if tiles and covered >= min_coverage:
+            yield (item_id, covered, len(tiles), max(n for _, _, n in tiles), len(item))
 
 
 def matches(
@@ -198,14 +221,15 @@ def matches(
     item_text: str = "text",
     min_tile: int = MIN_TILE,
     min_coverage: float = MIN_COVERAGE,
+    min_item: int = MIN_ITEM,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``(id, item, coverage, n_tiles, longest_tile, item_tokens)`` for items covered to ``min_coverage`` or more.
 
     The benchmark is the stated query set: blocks of about ``block_chars`` characters are broadcast one
-    after the other, each against all documents. Documents and items with null or empty text match
-    nothing; repeated documents repeat their rows; items that repeat an (id, text) count once; empty
-    tables give an empty result. Other columns aren't looked at.
+    after the other, each against all documents. Documents and items with null or empty text match nothing, nor do items of
+    fewer than ``min_item`` tokens; repeated documents repeat their rows; items that repeat an (id, text) count once;
+    very long texts are tiled whole; empty tables give an empty result. Other columns aren't looked at.
     """
     id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     out = schema_of(f"`{id_col}` {id_kind}, `{item_col}` {item_kind}, coverage double, n_tiles int, longest_tile int, item_tokens int")
@@ -214,7 +238,7 @@ def matches(
     for shared in _blocks(benchmark, item_col, item_text, block_chars):
 
         def setup(shared: Broadcast = shared):
-            bench = Benchmark(shared.value, min(SEED_TOKENS, min_tile))
+            bench = Benchmark(shared.value, min(SEED_TOKENS, min_tile), min_item)
 
             def work(ids: list, texts: list) -> list[tuple]:
                 return [(i, *hit) for i, t in zip(ids, texts, strict=True) for hit in _hits(bench, t, min_tile, min_coverage)]
@@ -225,12 +249,12 @@ def matches(
     return reduce(DataFrame.unionByName, parts)
 
 
-def _leaked(shared: Broadcast, text: Column, min_tile: int, min_coverage: float) -> Column:
+def _leaked(shared: Broadcast, text: Column, min_tile: int, min_coverage: float, min_item: int) -> Column:
     @F.pandas_udf("boolean")  # type: ignore[call-overload]
     def leaked(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bench = Benchmark(shared.value, min(SEED_TOKENS, min_tile))
+        bench = Benchmark(shared.value, min(SEED_TOKENS, min_tile), min_item)
         for texts in series:
-            yield pd.Series([bool(_hits(bench, t, min_tile, min_coverage)) for t in texts], dtype=bool)
+            yield pd.Series([any(True for _ in _hits(bench, t, min_tile, min_coverage)) for t in texts], dtype=bool)
 
     return leaked(text)
 
@@ -243,9 +267,10 @@ def drop_contaminated(
     item_text: str = "text",
     min_tile: int = MIN_TILE,
     min_coverage: float = MIN_COVERAGE,
+    min_item: int = MIN_ITEM,
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """``docs`` without the rows whose text ``matches`` finds; each row is judged by its text, columns stay."""
     for shared in _blocks(benchmark, item_col, item_text, block_chars):
-        docs = docs.where(~_leaked(shared, text_or_empty(text_col), min_tile, min_coverage))
+        docs = docs.where(~_leaked(shared, text_or_empty(text_col), min_tile, min_coverage, min_item))
     return docs

@@ -1,4 +1,6 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 
@@ -62,13 +64,43 @@ def test_reordered_passages_and_hostile_rows(spark, docs, no_docs):
     frame = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs, allowMissingColumns=True)
     for block in (10**6, 30):
         found = sorted((r.doc_id, r.item_id or 0, r.n_tiles) for r in T.matches(frame, bench, block_chars=block).collect())
-        assert found == [(1, 1, 1), (1, 1, 1), (2, 1, 2), (6, 4, 1), (7, 0, 1)]
+        assert found == [(1, 1, 1), (1, 1, 1), (2, 1, 2), (7, 0, 1)]
         kept = T.drop_contaminated(frame, bench, block_chars=block)
-        assert kept.count() == frame.count() - 5 and kept.columns == frame.columns
+        assert kept.count() == frame.count() - 4 and kept.columns == frame.columns
+    short = T.matches(frame, bench, min_item=1).where("item_id = 4").collect()
+    assert [r.doc_id for r in short] == [6]
     assert T.matches(no_docs, bench).count() == 0 and T.matches(docs, bench.where("false")).count() == 0
     assert T.drop_contaminated(docs, bench.where("false")).count() == docs.count()
 
 
+def test_many_items_with_one_opening_take_little_memory():
+    rng = random.Random(12)
+    opening = [f"start{i}" for i in range(12)]
+    items = [(i, " ".join(opening + [f"own{i}x{k}" for k in range(30)])) for i in range(10_000)]
+    words = [rng.choice(opening + ["noise", "other"]) for _ in range(98_000)] + (opening + ["noise"]) * 100 + items[77][1].split()
+    bench = T.Benchmark(items)
+    tracemalloc.start()
+    began = time.process_time()
+    found = list(T._hits(bench, " ".join(words), T.MIN_TILE, T.MIN_COVERAGE))
+    assert [(f[0], f[1]) for f in found] == [(77, 1.0)]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and time.process_time() - began < 20
+    tracemalloc.stop()
+
+
+def test_candidates_lose_nothing():
+    """With and without the bound on what shared seeds cover, the same items are found."""
+    rng = random.Random(7)
+    for _ in range(150):
+        pool = "abcdefgh"
+        items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(5, 14)))) for i in range(8)]
+        text = " ".join(rng.choice(pool) for _ in range(60)) + " " + " ".join(items[0][1].split()[2:] + items[1][1].split()[:6])
+        bench = T.Benchmark(items)
+        doc = np.asarray([bench.ids.get(w, -1) for w in T.tokens(text)])
+        want = {i: sum(n for *_, n in T.tile(doc, item)) / len(item) for i, item in bench.items}
+        got = {f[0] for f in T._hits(bench, text, T.MIN_TILE, T.MIN_COVERAGE)}
+        assert got == {i for i, c in want.items() if c >= T.MIN_COVERAGE}
+
+
 def test_query_against_brute_force(spark, sf_dir):
     docs = [(r.doc_id, T.tokens(r.text)) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, T.tokens(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
