@@ -41,8 +41,8 @@ SHARD_TOKENS = 1 << 21
 #: So many pairs at most get a rank in a round. More make rounds fewer and rules worse: those of rare pairs come before those of frequent longer ones.
 PAIRS_A_ROUND, LEAST_COUNT = 3072, 5
 #: Tables of words hold about so many bytes; longer cuts aren't kept.
-CACHE_BYTES, LONGEST_KEPT = 80 << 20, 48
-ENTRY_BYTES = 180
+CACHE_BYTES, LONGEST_KEPT = 112 << 20, 48
+ENTRY_BYTES = 160
 WINDOW = 8
 
 
@@ -58,7 +58,7 @@ class Known(dict):
         found = self.older.get(cut)
         if found is None:
             found = self.encoder._cut(cut)
-        if len(cut) <= LONGEST_KEPT:
+        if len(cut) <= LONGEST_KEPT and self.room > 0:
             self[cut] = found
             self.room -= ENTRY_BYTES + len(cut)
         return found
@@ -101,7 +101,7 @@ class WordEncoder:
         if found is None:
             name = plain if plain.isascii() else "".join(map(self.names.__getitem__, plain))
             found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
-            if len(plain) <= LONGEST_KEPT:
+            if len(plain) <= LONGEST_KEPT and self.known.room > 0:
                 self.lower[plain] = found
                 self.known.room -= ENTRY_BYTES + len(plain)
         return found
@@ -110,7 +110,7 @@ class WordEncoder:
         found = self.marks.get(part)
         if found is None:
             found = self._direct(part)
-            if len(part) <= LONGEST_KEPT:
+            if len(part) <= LONGEST_KEPT and self.known.room > 0:
                 self.marks[part] = found
                 self.known.room -= ENTRY_BYTES + len(part)
         return found
@@ -166,18 +166,17 @@ def compress(symbols: np.ndarray, last: np.ndarray, first_rule: int, most_rules:
         if not len(often):
             break
         pairs, by_rank = ordered[starts[often]], np.argsort(-counts[often], kind="stable")
-        rank = np.empty(len(often), np.int64)
-        rank[by_rank] = np.arange(len(often))
-        begins, ends = np.zeros((2, first_rule + made), bool)
-        begins[pairs >> shift] = ends[pairs & low] = True
-        maybe = np.flatnonzero(begins[symbols[:-1]] & ends[symbols[1:]])
-        at = np.minimum(np.searchsorted(pairs, keys[maybe]), len(pairs) - 1)
-        hit = pairs[at] == keys[maybe]
-        places, ranks = maybe[hit], rank[at[hit]]
-        of = np.full(len(keys) + 2, len(often))
-        of[places + 1] = ranks
-        best = (ranks <= of[places]) & (ranks <= of[places + 2])
-        places, ranks = places[best], ranks[best]
+        lefts, rights = np.unique(pairs >> shift), np.unique(pairs & low)
+        column, row = np.zeros((2, first_rule + made), np.int32)  # 0: no pair begins, or ends, with the id
+        row[lefts], column[rights] = np.arange(1, len(lefts) + 1) * (len(rights) + 1), np.arange(1, len(rights) + 1)
+        rank = np.full((len(lefts) + 1) * (len(rights) + 1), len(often), np.int16)
+        rank[row[pairs[by_rank] >> shift] + column[pairs[by_rank] & low]] = np.arange(len(often))
+        of = np.full(len(keys) + 2, len(often), np.int16)
+        of[1:-1] = rank[row[symbols[:-1]] + column[symbols[1:]]]
+        of[last[:-1] + 1] = len(often)
+        own = of[1:-1]
+        places = np.flatnonzero((own < len(often)) & (own <= of[:-2]) & (own <= of[2:]))
+        ranks = own[places]
         # only a pair of one id overlaps with itself: of a run of such places every second counts
         touching = np.concatenate(([False], np.diff(places) == 1))
         if touching.any():
