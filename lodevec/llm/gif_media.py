@@ -1,8 +1,9 @@
 """GIF media columns: LZW code streams, palettes, transparency, disposal, timed frames, colour histograms.
 
-``store_payload`` puts bytes into an animated GIF (one sample a pixel, index = byte) and
-``decode`` reads any GIF87a/89a back into composited frames. ``frames`` is the DataFrame operator
-that turns a binary GIF column into one row a frame.
+``store_payload`` puts bytes into an animated GIF, one byte a pixel: frames differ in palette and disposal, and a pixel that
+shows what lies beneath is transparent. ``shots`` reads any GIF87a/89a back into composited frames, one at a
+time. ``frames`` is the DataFrame operator that turns a binary GIF column into one row a frame; ``read_texts``
+gives payload digests with the timed frames as a column.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from lodevec.llm.common import map_rows, schema_of, text_or_empty
 
 WIDTH = 576
-ROWS = 256  # of a frame at most
+ROWS = 64  # of a frame at most
+#: A canvas of more pixels isn't decoded: four bytes each are held at a time.
+MOST_PIXELS = 1 << 24
 DELAY_CS = 4
 HIST_BINS = 8  # of each colour channel
 
@@ -126,7 +130,10 @@ def lzw_unpack(stream: bytes, root: int, limit: int) -> bytes:
 
 @dataclass
 class Frame:
-    """One composited picture. ``rgba`` is the whole canvas, ``indices`` the samples of the frame's own box."""
+    """One composited picture. ``rgba`` is the whole canvas, ``indices`` the samples of the frame's own box.
+
+    ``shots`` draws on one canvas, so there ``rgba`` is good until the next frame is asked for.
+    """
 
     start_ms: int
     delay_ms: int
@@ -177,10 +184,17 @@ def _interlaced(height: int) -> np.ndarray:
 
 
 def decode(data: bytes) -> list[Frame]:
-    """All frames of a GIF, composited. Raises ``ValueError`` on anything that is no GIF."""
+    """All frames of a GIF, each with a canvas of its own."""
+    return [replace(f, rgba=f.rgba.copy()) for f in shots(data)]
+
+
+def shots(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF, composited. Raises ``ValueError`` on anything that is no GIF or has too large a canvas."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > MOST_PIXELS:
+        raise ValueError("too large a canvas")
     at = 13
     common = None
     if flags & 0x80:
@@ -188,7 +202,6 @@ def decode(data: bytes) -> list[Frame]:
         common = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)
         at += n
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     clock, delay, disposal, clear = 0, 0, 0, None
 
     def chunks() -> bytes:
@@ -211,6 +224,8 @@ def decode(data: bytes) -> list[Frame]:
                 disposal, clear = packed >> 2 & 7, index if packed & 1 else None
         elif kind == 0x2C:
             x, y, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+            if w * h > MOST_PIXELS:
+                raise ValueError("too large a frame")
             at += 10
             colours = common
             if flags & 0x80:
@@ -239,7 +254,7 @@ def decode(data: bytes) -> list[Frame]:
                 box[...] = painted
             else:
                 np.copyto(box, painted, where=shown != clear)
-            frames.append(Frame(clock, delay * 10, (x, y, w, h), canvas.copy(), indices))
+            yield Frame(clock, delay * 10, (x, y, w, h), canvas, indices)
             clock += delay * 10
             if disposal == 2:
                 box[...] = 0
@@ -248,7 +263,6 @@ def decode(data: bytes) -> list[Frame]:
             delay, disposal, clear = 0, 0, None
         else:
             raise ValueError(f"unknown block {kind:#x}")
-    return frames
 
 
 def histogram(pixels: np.ndarray) -> list[int]:
@@ -259,19 +273,41 @@ def histogram(pixels: np.ndarray) -> list[int]:
     return [*cube.sum((0, 1)).tolist(), *cube.sum((0, 2)).tolist(), *cube.sum((1, 2)).tolist()]
 
 
+NEGATIVE = np.repeat(np.arange(255, -1, -1, dtype=np.uint8), 3).tobytes()
+_INVERTED = bytes(range(255, -1, -1))
+#: A byte that UTF-8 never has; its palette place stands for transparency where the payload doesn't have it either.
+FREE = 254
+
+
 def store_payload(payload: bytes) -> bytes:
-    """A payload of whole rows of 576 bytes as grey frames of up to 256 rows; the last one may be lower."""
+    """A payload of whole rows of 576 bytes as frames of up to 64 rows; the last one may be lower.
+
+    Shades of grey are the bytes. Every second frame has a local palette of negative shades and is taken off
+    the canvas when it is over. Pixels that show the same as what they cover are transparent.
+    """
     rows = len(payload) // WIDTH
-    height = min(ROWS, rows)
     step = WIDTH * ROWS
-    pictures = [
-        {"samples": payload[i : i + step], "box": (0, 0, WIDTH, len(payload[i : i + step]) // WIDTH)}
-        for i in range(0, len(payload), step)
-    ]
-    return encode(WIDTH, height, pictures, GREY)
-
-
-def read_payload(frames: list[Frame]) -> bytes:
+    free = FREE not in payload
+    beneath = b""  # what the canvas shows before a frame
+    pictures = []
+    for n, i in enumerate(range(0, len(payload), step)):
+        part = payload[i : i + step]
+        shown = part
+        if free and beneath:
+            fresh, old = np.frombuffer(part, np.uint8), np.frombuffer(beneath, np.uint8, len(part))
+            shown = np.where(fresh == old, np.uint8(FREE), fresh).tobytes()
+        odd = n % 2 == 1
+        picture = {"samples": shown.translate(_INVERTED) if odd else shown, "box": (0, 0, WIDTH, len(part) // WIDTH), "disposal": 3 if odd else 1}
+        if odd:
+            picture["palette"] = NEGATIVE
+        if free:
+            picture["transparent"] = 255 - FREE if odd else FREE
+        pictures.append(picture)
+        beneath = beneath if odd else part + beneath[len(part) :]
+    return encode(WIDTH, min(ROWS, rows), pictures, GREY)
+
+
+def read_payload(frames: Iterable[Frame]) -> bytes:
     """What ``store_payload`` put in: the red samples of each frame's box, as composited."""
     return b"".join(f.rgba[y : y + h, x : x + w, 0].tobytes() for f in frames for x, y, w, h in [f.box])
 
@@ -302,19 +338,22 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def frames(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row a frame: id, frame_no, start_ms, delay_ms, width, height, rgba, histogram (24 counts).
 
-    A null or broken GIF gives no rows. Frames of repeated rows repeat.
+    A null or broken GIF gives no rows, nor does one with a canvas or frame of over ``MOST_PIXELS`` pixels; a stream that
+    breaks off gives the frames it has. Frames of repeated rows repeat; an empty table gives an empty result; other
+    columns aren't looked at.
     """
 
     def setup():
         def work(ids: list, media: list) -> list[tuple]:
             rows = []
             for i, m in zip(ids, media, strict=True):
+                own: list[tuple] = []
                 try:
-                    found = decode(bytes(m)) if m is not None else []
+                    for n, f in enumerate(shots(bytes(m)) if m is not None else ()):
+                        own.append((i, n, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), histogram(f.rgba)))
                 except (ValueError, struct.error, IndexError):
-                    found = []
-                for n, f in enumerate(found):
-                    rows.append((i, n, f.start_ms, f.delay_ms, f.rgba.shape[1], f.rgba.shape[0], f.rgba.tobytes(), histogram(f.rgba)))
+                    own = []
+                rows += own
             return rows
 
         return work
@@ -325,26 +364,33 @@ def frames(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> D
 
 
 def read_texts(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decode stored media and give the digests and the feature, which is frame count, duration and grey histogram."""
+    """Decode stored media: digests, the timed frames with their colour histograms, and the feature.
+
+    ``frames`` has a struct (start_ms, delay_ms, histogram of the frame's box) a frame; the feature is frame count, duration and
+    the grey histogram. ``stored`` is what ``store_texts`` gives; repeated rows repeat and an empty table gives an
+    empty result. Media that is no GIF is an error, as a text would be lost.
+    """
 
     def setup():
         def work(ids: list, sizes: list, media: list) -> list[tuple]:
             rows = []
             for i, n, m in zip(ids, sizes, media, strict=True):
                 m = bytes(m)
-                shots = decode(m)
-                payload = read_payload(shots)
-                counts = np.zeros(3 * HIST_BINS, np.int64)
-                for f in shots:
+                parts, timed = [], []
+                for f in shots(m):
                     x, y, w, h = f.box
-                    counts += np.asarray(histogram(f.rgba[y : y + h, x : x + w]))
-                ms = sum(f.delay_ms for f in shots)
-                feature = f"{len(shots)}f{ms}ms:" + ".".join(map(str, counts[:HIST_BINS].tolist()))
-                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+                    box = f.rgba[y : y + h, x : x + w]
+                    parts.append(box[:, :, 0].tobytes())
+                    timed.append((f.start_ms, f.delay_ms, histogram(box)))
+                payload = b"".join(parts)
+                counts = np.sum([t[2][:HIST_BINS] for t in timed], axis=0)
+                feature = f"{len(timed)}f{sum(t[1] for t in timed)}ms:" + ".".join(map(str, counts.tolist()))
+                told = [dict(zip(("start_ms", "delay_ms", "histogram"), t, strict=True)) for t in timed]
+                rows.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, told))
             return rows
 
         return work
 
     kind = stored.schema[id_col].dataType.simpleString()
-    out = f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    out = f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, frames array<struct<start_ms: bigint, delay_ms: bigint, histogram: array<bigint>>>"
     return map_rows(stored.select(id_col, "n_bytes", "media"), setup, schema_of(out))

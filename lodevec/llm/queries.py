@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevec.llm import chat_format, gif_media, licenses, repair_ids, simhash, sp_transducer, tiling, toxicity, url_trees, warc_index
-from lodevec.llm.common import table
+from lodevec.llm.common import settle, table
 
 TOKENIZERS = os.environ.get("LODEVEC_TOKENIZERS", "/opt/tokenizers")
 
@@ -23,7 +23,7 @@ def piece_model(path: str | None = None) -> sp_transducer.Transducer:
 
 
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_media.read_texts(gif_media.store_texts(table(spark, sf_dir, "documents")))
+    return gif_media.read_texts(settle(gif_media.store_texts(table(spark, sf_dir, "documents")), "gif"))
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

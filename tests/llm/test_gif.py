@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -88,14 +89,37 @@ def test_texts_against_brute_force(docs, no_docs):
     assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows), key=key) == sorted(((d.doc_id, *_expected(d.text)) for d in given_), key=key)
     same = [r for r in rows if r.doc_id == 8]
     assert len(same) == 2 and same[0] == same[1]
+    assert all([f.start_ms for f in r.frames] == [40 * n for n in range(len(r.frames))] and sum(sum(f.histogram) for f in r.frames) == 3 * r.payload_bytes for r in rows)
+    assert max(len(r.frames) for r in rows) > 4
     assert G.read_texts(G.store_texts(no_docs)).count() == 0
 
 
 def test_frames_of_media(spark):
     media = [(1, bytearray(G.store_payload(b"a" * 576 * 300))), (2, None), (3, bytearray(b"no gif"))]
     rows = G.frames(spark.createDataFrame(media, "doc_id long, media binary")).orderBy("frame_no").collect()
-    assert [(r.doc_id, r.frame_no, r.start_ms) for r in rows] == [(1, 0, 0), (1, 1, 40)]
-    assert sum(rows[0].histogram) == 3 * 576 * 256
+    assert [(r.doc_id, r.frame_no, r.start_ms) for r in rows] == [(1, n, 40 * n) for n in range(5)]
+    assert sum(rows[0].histogram) == 3 * 576 * 64
+    huge = b"GIF89a" + struct.pack("<HHBBB", 30_000, 30_000, 0x80, 0, 0) + bytes(6) + b"\x3b"
+    wide = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0x80, 0, 0) + bytes(6) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 60_000, 60_000, 0) + b"\x02\x00\x3b"
+    assert G.frames(spark.createDataFrame([(1, bytearray(huge)), (2, bytearray(wide))], "doc_id long, media binary")).count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.binary(min_size=1, max_size=40), st.integers(1, 300), st.integers(0, 3))
+def test_payloads_with_transparency_and_disposal_round_trip(seed, rows, noise):
+    rng = np.random.default_rng(len(seed))
+    payload = np.resize(np.frombuffer(seed, np.uint8), rows * 576).copy()
+    payload[rng.integers(0, len(payload), noise * 500)] = rng.integers(0, 256, noise * 500)
+    assert G.read_payload(G.shots(G.store_payload(payload.tobytes()))) == payload.tobytes()
+
+
+def test_stored_frames_use_palettes_transparency_and_disposal():
+    payload = b"abcdefgh" * (576 * 64 * 3 // 8)
+    data = G.store_payload(payload)
+    frames = G.decode(data)
+    assert len(frames) == 3 and G.read_payload(frames) == payload
+    assert (frames[1].indices == 255 - G.FREE).all() and (frames[2].indices == G.FREE).all()  # all is as it was beneath
+    assert (frames[1].rgba == frames[0].rgba).all() and len(data) < 60_000
 
 
 def test_query(spark, sf_dir):
