@@ -27,8 +27,9 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc_index.write_archives(table(spark, sf_dir, "pages"), least_bytes=0)
-    found = warc_index.read_records(warc_index.captures_of(warc_index.build_index(captures)))
+    pages = table(spark, sf_dir, "pages")
+    index = warc_index.build_index(warc_index.write_archives(pages, least_bytes=0))
+    found = warc_index.read_records(warc_index.lookup(spark, index, pages))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -2,8 +2,8 @@
 
 ``write_archives`` stores one record a page, each its own gzip member, and lists the captures.
 ``build_index`` sorts the captures by reversed-host key, packs them into compressed blocks and ends each
-index file with a sparse directory of its blocks. A lookup picks the file by the files' key ranges, binary-searches
-that file's directory, reads the block and then the record, each by one range read.
+index file with a sparse directory of its blocks. A lookup sorts the keys that are asked for, binary-searches the files'
+key ranges and then the directories for blocks, deals these out and reads each by one range read; records are read the same way.
 
 An index file is: blocks (zlib, one JSON line a capture), directory (zlib, JSON rows of first key,
 offset, length, lines), and a trailer of two u64 with the directory's offset and length.
@@ -112,15 +112,18 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, folder: str | None =
 
     Of pages with equal payloads of at least ``least_bytes`` bytes, those with the smallest id are responses and
     the others revisit it. A page with a null id is a revisit where another page of its payload has an id.
-    A null html is empty, a null url has the key ``)``; an empty table gives no captures.
+    A null html is empty, a null url has the key ``)``; repeated rows are records of their own; an empty table gives no
+    captures; other columns aren't looked at.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
     source = source.withColumn("sha1", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    shared = source.where(F.octet_length("html") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    # only payloads that occur again take part in the join; the rows of one of them can be split over tasks
-    joined = source.join(shared.where("n > 1").select("sha1", "first"), "sha1", "left")
-    ready = joined.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    # who refers to whom is found without the texts; a payload of many pages is a hot key of narrow rows only
+    narrow = source.where(F.octet_length("html") >= least_bytes).select("page_id", "sha1")
+    shared = narrow.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
+    others = settle(narrow.join(shared, "sha1").where(~F.col("first").eqNullSafe(F.col("page_id"))).distinct(), "revisits")
+    others = others.select(F.col("page_id").alias("other"), F.col("sha1").alias("other_sha1"), F.col("first").alias("refers_to"))
+    ready = source.join(others, F.col("page_id").eqNullSafe(F.col("other")) & (F.col("sha1") == F.col("other_sha1")), "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId()  # type: ignore[union-attr]
@@ -203,7 +206,7 @@ def read_block(source: RangeReader, at: int, size: int) -> list[list]:
 
 
 def captures_of(index: DataFrame) -> DataFrame:
-    """All captures, read from the blocks of the index."""
+    """All captures, read from the blocks of the index, without a search. An empty index has none."""
 
     def directories():
         def work(paths: list) -> list[tuple]:
@@ -233,7 +236,8 @@ def captures_of(index: DataFrame) -> DataFrame:
 def read_records(captures: DataFrame) -> DataFrame:
     """The records of captures: ``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)``.
 
-    Captures are dealt out by archive and offset, and neighbours are fetched by one range read.
+    Captures are dealt out by archive and offset, and neighbours are fetched by one range read. Captures that repeat give
+    their record again; no captures give no rows. A record that doesn't fit its digest is an error.
     """
     out = schema_of("page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
@@ -269,40 +273,73 @@ def _together(paths: list, starts: list, sizes: list) -> Iterator[tuple[str, int
 
 
 def lookup(spark: SparkSession, index: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """Captures of the urls of a DataFrame, by binary search: ``(asked, key, page_id, path, at, size)``.
+    """Captures of the urls of a DataFrame, by binary search: ``(key, page_id, path, at, size)``.
 
-    The key ranges of the index files, one row a file and so at most one a partition of the build, go to
-    all tasks; directories and blocks are range reads. A null url has no captures; one asked for twice answers twice.
+    Urls are asked for by key, each once, however often they repeat; a null url has the key of an empty one. Urls
+    without captures, and an empty index, give no rows. The key ranges of the index files, one row a file and so at
+    most one a partition of the build, go to all tasks. Keys are sorted, so a task meets neighbouring blocks of
+    few files; the blocks of a key that many captures have are read by many tasks.
     """
-    files = sorted(tuple(r) for r in index.select("first_key", "last_key", "path").collect())
+    files = sorted((tuple(r) for r in index.select("last_key", "first_key", "path").collect()))
     shared = spark.sparkContext.broadcast(files)
 
-    def setup():
-        files = shared.value
-        directories: dict[str, list[list]] = {}
+    def keys():
+        return lambda urls: [(sort_key(u),) for u in urls]
+
+    def search():
+        files, held = shared.value, {}
+
+        def directory(path: str) -> list[list]:
+            if path not in held:
+                held.clear()  # keys come in order, so a directory that was left isn't met again
+                with RangeReader(path) as source:
+                    held[path] = read_directory(source)
+            return held[path]
 
         def work(asked: list) -> list[tuple]:
             rows = []
-            for url in asked:
-                if url is None:
-                    continue
-                key = sort_key(url)
-                for first, last, path in files[: bisect.bisect_right(files, key, key=lambda f: f[0])]:
-                    if last < key:
-                        continue
-                    with RangeReader(path) as source:
-                        if path not in directories:
-                            directories[path] = read_directory(source)
-                        blocks = directories[path]
-                        at = max(0, bisect.bisect_left(blocks, key, key=lambda b: b[0]) - 1)
-                        while at < len(blocks) and blocks[at][0] <= key:
-                            rows += [(url, *row) for row in read_block(source, blocks[at][1], blocks[at][2]) if row[0] == key]
-                            at += 1
+            for key in asked:
+                for place in range(bisect.bisect_left(files, key, key=lambda f: f[0]), len(files)):
+                    _, first, path = files[place]
+                    if first > key:
+                        break
+                    blocks = directory(path)
+                    at = max(0, bisect.bisect_left(blocks, key, key=lambda b: b[0]) - 1)
+                    while at < len(blocks) and blocks[at][0] <= key:
+                        rows.append((key, path, blocks[at][1], blocks[at][2]))
+                        at += 1
+            return rows
+
+        return work
+
+    def read():
+        held: dict[str, RangeReader] = {}
+        block: tuple = (None, None, {})
+
+        def work(asked: list, paths: list, starts: list, sizes: list) -> list[tuple]:
+            nonlocal block
+            rows = []
+            for key, path, at, size in zip(asked, paths, starts, sizes, strict=True):
+                if path not in held:
+                    for source in held.values():
+                        source.__exit__()
+                    held.clear()
+                    held[path] = RangeReader(path)
+                if block[:2] != (path, at):
+                    found: dict[str, list[tuple]] = {}
+                    for row in read_block(held[path], at, size):
+                        found.setdefault(row[0], []).append(tuple(row))
+                    block = (path, at, found)
+                rows += block[2].get(key, ())
             return rows
 
         return work
 
-    return map_rows(urls.select(F.col(url_col).cast("string")), setup, schema_of("asked string, " + CAPTURES))
+    asked = map_rows(urls.select(F.col(url_col).cast("string")).distinct(), keys, schema_of("key string")).distinct()
+    asked = asked.repartitionByRange("key").sortWithinPartitions("key")
+    blocks = map_rows(asked, search, schema_of("key string, path string, at bigint, size bigint"))
+    dealt = blocks.repartition("path", "at").sortWithinPartitions("path", "at")
+    return map_rows(dealt, read, schema_of(CAPTURES))
 
 
 #: What reading the archives of the table ``pages`` must give. DuckDB has no base32, so 40 bits at a time are spelt out.

@@ -68,6 +68,16 @@ def test_lookup_is_a_binary_search(spark):
     asked = spark.createDataFrame([("https://H07.test/p47",), ("http://h07.test/hot",), ("https://h99.test/",), (None,), ("https://a.test/",)], "url string")
     found = W.lookup(spark, index, asked).collect()
     assert sorted(r.page_id for r in found) == [47, *range(1000, 1150)]
+    assert W.lookup(spark, index, asked.where("false")).count() == 0
+    none = W.build_index(W.write_archives(frame(spark).where("false")))
+    assert W.lookup(spark, none, asked).count() == 0
+
+
+def test_lookup_of_all_urls_gives_all_captures(spark):
+    captures = W.write_archives(frame(spark))
+    index = W.build_index(captures, lines=2)
+    found = W.lookup(spark, index, frame(spark))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, captures.collect()), key=str)
 
 
 def test_keys_reverse_hosts():
