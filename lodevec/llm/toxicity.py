@@ -19,20 +19,23 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import map_rows, schema_of, text_or_empty
+from lodevec.llm.common import map_rows, schema_of, text_or_empty, warm
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 6, 6, 4096
 VOCABULARY = 8000
-#: The classifier is fitted on this many labelled rows at most, those with the least hash of id, and on none above that length.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 20_000
-TABLE_WORDS = 200_000
+#: The classifier is fitted on this many labelled rows at most, those with the least hash of id, as long as they have so many characters together.
+TRAIN_ROWS, TRAIN_CHARS = 6000, 48_000_000
+#: The table of projected words; words of more characters than this aren't kept from batch to batch.
+TABLE_WORDS, LONGEST_KEPT = 200_000, 48
 BATCH_WORDS = 1 << 16
 THRESHOLD = 0.7
 PULL = 0.2
+#: How much a false alarm weighs against a miss, as shares of their kinds, where the score of the threshold is set.
+ALARM_WEIGHT = 2.0
 STRIP = ".,;:!?\"'()[]|"
 
 
@@ -75,9 +78,6 @@ class Model:
     bias: np.ndarray  # (1,)
     calibration: tuple[float, float] = (1.0, 0.0)  # of a text's highest logit
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "scorer"}
-
     def arrays(self) -> dict[str, np.ndarray]:
         names = ("word_table", "char_table", "gates_in", "gates_back", "gates_bias", "attend", "attend_out", "out", "bias")
         return {n: getattr(self, n) for n in names}
@@ -205,11 +205,11 @@ def _cut(rows: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> np.nda
     return np.lib.stride_tricks.sliding_window_view(whole, window)[::stride]
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 300, batch: int = 64, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 300, most_epochs: int = 18, batch: int = 64, seed: int = 7) -> Model:
     """Fit on whole texts: words are weighed on one half, windows of the other half train the network.
 
     A text stands for its window with the highest sum of word odds; a clean one also for two more at random.
-    There are at least ``epochs`` rounds over them and about ``steps`` batches.
+    There are at least ``epochs`` rounds over them and ``steps`` batches; up to ``most_epochs`` rounds for four times as many.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
@@ -236,7 +236,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 300
             halves += [(i, windows[k], odds) for k in sorted(picks)]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.arrays().items()}
     step = 0
-    epochs = max(epochs, -(-steps * batch // max(1, len(halves))))
+    rounds = lambda n: -(-n * batch // max(1, len(halves)))
+    epochs = max(epochs, rounds(steps), min(most_epochs, rounds(4 * steps)))
     for epoch in range(epochs):
         order = rng.permutation(len(halves))
         rate = 0.01 * (1 - epoch / (epochs + 1))
@@ -287,6 +288,7 @@ class Scorer:
 
     def _reset(self) -> None:
         self.rows.clear()
+        self.long = False
         self.table = [np.zeros((1024, 3 * HIDDEN), np.float32) for _ in (0, 1)]
 
     def _learn(self, fresh: list[str]) -> None:
@@ -299,6 +301,7 @@ class Scorer:
                 self.table[way] = grown
             self.table[way][at : at + len(fresh)] = x @ self.model.gates_in[way] + self.model.gates_bias[way]
         self.rows.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+        self.long = self.long or max(map(len, fresh)) > LONGEST_KEPT
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """The highest window score of each text; an empty text is one empty window. About ``BATCH_WORDS`` words are held at a time."""
@@ -314,7 +317,7 @@ class Scorer:
         return out
 
     def _batch(self, split: list[list[str]]) -> np.ndarray:
-        if len(self.rows) > TABLE_WORDS:
+        if len(self.rows) > TABLE_WORDS or self.long:
             self._reset()
         rows = self.rows
         fresh = list(dict.fromkeys(w for words in split for w in words if w not in rows))
@@ -329,14 +332,15 @@ class Scorer:
 
 
 def scorer_of(model: Model) -> Scorer:
-    """The scorer that stays with a model, so the words that earlier tasks of a worker process met stay known."""
-    if "scorer" not in model.__dict__:
-        model.__dict__["scorer"] = Scorer(model)
-    return model.__dict__["scorer"]
+    """The scorer that a worker process keeps for a model, so the words that earlier tasks met stay known."""
+    return warm(("toxicity", id(model)), lambda: Scorer(model))
 
 
 def train_calibrated(texts: list[str], labels: list[int]) -> Model:
-    """Train on four of five texts; on the fifth, fit a logistic curve from the highest window to the label."""
+    """Train on four of five texts; on the fifth, fit a logistic curve from the highest window to the label.
+
+    The curve is then moved so that ``THRESHOLD`` is where most toxic texts are found for the false alarms.
+    """
     last = np.arange(len(texts)) % 5 == 4
     model = train([t for t, x in zip(texts, last, strict=True) if not x], [y for y, x in zip(labels, last, strict=True) if not x])
     y = np.asarray(labels, np.float64)[last]
@@ -358,29 +362,46 @@ def train_calibrated(texts: list[str], labels: list[int]) -> Model:
             step = step / 2
         weights = weights - step
     if weights[0] > 0:
-        model.calibration = (float(weights[0]), float(weights[1]))
+        cut = _best_cut(x @ weights, y)
+        model.calibration = (float(weights[0]), float(weights[1] + np.log(THRESHOLD / (1 - THRESHOLD)) - cut))
     return model
 
 
+def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The middle of where the share of found positives less the weighted share of false alarms is greatest."""
+    order = np.argsort(-z, kind="stable")
+    found, alarms = np.cumsum(y[order]) / y.sum(), np.cumsum(1 - y[order]) / (len(y) - y.sum())
+    gain = found - ALARM_WEIGHT * alarms
+    at = int(np.flatnonzero(gain >= gain.max() - 1e-9)[-1])
+    below = z[order[at + 1]] if at + 1 < len(z) else z[order[at]] - 2
+    return float((z[order[at]] + below) / 2)
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows that labels must not be learnt from: crc32 of the id's text mod 3 is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Train on the documents of at most ``rows`` labels outside the held-out fold, those with the least hash of their id.
 
-    Labels with a null id or label, and texts over ``TRAIN_CHARS`` characters, aren't learnt from; an id that
-    labels repeat counts once, with the highest label. Without rows of both labels the model gives each text
-    the same score. The ids are picked before texts are read, so only ``rows`` ids are broadcast and no text is shuffled.
+    Documents are taken in that order as long as their texts have at most ``chars`` characters together, so what
+    reaches the driver is bounded and no length is left out by itself. Labels with a null id or label aren't learnt
+    from; an id that labels repeat counts once, with the highest label; an id that documents repeat counts with each
+    text. Without rows of both labels, as of empty tables, the model gives each text the same score. The ids are
+    picked before texts are read, so only ``rows`` ids are broadcast and no text is shuffled.
     """
-    marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).where("__id is not null and __label is not null")
-    marked = marked.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("__label").alias("__label"))
-    picked = marked.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).where(F.length("__text") <= TRAIN_CHARS)
-    found = texts.join(F.broadcast(picked), "__id").limit(rows).collect()
-    found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
-    return train_calibrated([r[1] for r in found], [int(r[2] == 1) for r in found])
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
+    marked = marked.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+    order = F.xxhash64(F.col("id").cast("string"))
+    picked = marked.orderBy(order, "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"))
+    found = texts.join(F.broadcast(picked), "id").withColumn("place", order).orderBy("place", "id", F.xxhash64("body")).limit(rows)
+    # a window over at most ``rows`` rows
+    so_far = F.sum(F.length("body")).over(Window.orderBy("place", "id", F.xxhash64("body")).rowsBetween(Window.unboundedPreceding, 0))
+    taken = found.withColumn("chars", so_far).where(F.col("chars") <= chars).select("id", "body", "label").collect()
+    taken.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
+    return train_calibrated([r[1] for r in taken], [int(r[2] == 1) for r in taken])
 
 
 def score_column(shared: Broadcast, text: Column) -> Column:
@@ -416,6 +437,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns stay."""
+    """``docs`` without the rows that score ``threshold`` or more; columns stay.
+
+    A null text counts as empty; ids aren't looked at, so repeated rows and null ids are judged by their text; an empty
+    table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.where(score_column(shared, text_or_empty(text_col)) < threshold)
