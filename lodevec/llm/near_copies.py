@@ -8,7 +8,9 @@ components come from ``simhash.components``.
 
 Documents of equal sets meet in one node first. The first confirmation has at most three candidates a node: what
 its fingerprint links to, and the member that heads most of the prefixes that they share. So a large group of near
-copies costs a few links each. The second compares all candidates that aren't in one component by then.
+copies costs a few links each. The second compares all candidates that aren't in one component by then. Texts are only
+fetched for candidates whose prefixes have enough in common: what they share at most is that and the rest of the set
+whose prefix ends first.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ WORDS, DISTANCE = 5, 3
 #: Shingles that are common in a sample come last in the order, so prefixes are rare ones. This bears on time, not on results.
 SAMPLE_DOCS, COMMON, COMMON_MOST = 10_000, 10, 100_000
 SALTS = 64
-PLACES = 1 << 31
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -47,13 +48,18 @@ def fits(a: Column, b: Column) -> Column:
     return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, as many as any set at 0.8 must share one of."""
+def prefix(shingles: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, as many as any set at 0.8 must share one of, and a number by which their ends compare."""
     late = np.zeros(len(shingles), bool)
     if len(common):
         late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
-    wanted = len(shingles) - (4 * len(shingles) + 4) // 5 + 1
-    return np.concatenate((shingles[~late], shingles[late]))[:wanted]
+    first = np.concatenate((shingles[~late], shingles[late]))[: len(shingles) - (4 * len(shingles) + 4) // 5 + 1]
+    return first, (int(len(first) > (~late).sum()) << 62 | int(first[-1]) >> 2) if len(first) else 0
+
+
+def rest_of(size: Column) -> Column:
+    """How many of a set of this size aren't in its prefix."""
+    return F.greatest(F.ceil(4 * size / 5) - 1, F.lit(0))
 
 
 def common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -74,9 +80,9 @@ def text_hash(text_col: str) -> Column:
 
 
 def prints_and_prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, hash, node, size, fp, prefix)`` of each row: hashes of text and set, the set's size, its fingerprint and prefix."""
+    """``(id, hash, node, size, fp, prefix, tail)`` of each row: hashes of text and set, the set's size, its fingerprint, prefix and where that ends."""
     kind = df.schema[id_col].dataType.simpleString()
-    schema = schema_of(f"id {kind}, hash bigint, node bigint, size int, fp bigint, prefix array<bigint>")
+    schema = schema_of(f"id {kind}, hash bigint, node bigint, size int, fp bigint, prefix array<bigint>, tail bigint")
     shared = df.sparkSession.sparkContext.broadcast(common_shingles(df, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,28 +91,45 @@ def prints_and_prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             step = max(1, min(batch.num_rows, int(batch.num_rows * (2 << 20) / max(1, batch.nbytes))))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
-                nodes, sizes, prints, heads = [], [], [], []
+                nodes, sizes, prints, heads, tails = [], [], [], [], []
                 for text in piece.column(2).to_pylist():
                     hashes = simhash.shingle_hashes(text, WORDS)
                     held = np.unique(hashes)
                     nodes.append(xxhash.xxh64_intdigest(held.tobytes(), simhash.SEED))
                     sizes.append(len(held))
                     prints.append(simhash.folded(hashes))
-                    heads.append(prefix(held, common).view(np.int64) if len(held) else held.view(np.int64))
+                    first, tail = prefix(held, common)
+                    heads.append(first.view(np.int64))
+                    tails.append(tail)
                 ends = np.concatenate(([0], np.cumsum([len(h) for h in heads]))).astype(np.int32)
                 made = [pa.array(np.asarray(v, np.uint64).view(np.int64)) for v in (nodes, prints)]
-                rows = [*piece.columns[:2], made[0], pa.array(sizes, pa.int32()), made[1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))]
+                rows = [*piece.columns[:2], made[0], pa.array(sizes, pa.int32()), made[1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads))), pa.array(tails, pa.int64())]
                 yield pa.RecordBatch.from_arrays(rows, schema.names)
 
     return df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), text_or_empty(text_col).alias("body")).mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def alike_so_far(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of ``(a, b, x)``, where x counts what two prefixes share, the pairs whose whole sets may reach the similarity."""
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("tail").alias(f"tail_{s}"))
+    both = shared.join(side("a"), "a").join(side("b"), "b")
+    first, second = rest_of(F.col("size_a")), rest_of(F.col("size_b"))
+    rest = F.when(F.col("tail_a") < F.col("tail_b"), first).when(F.col("tail_a") > F.col("tail_b"), second).otherwise(F.greatest(first, second))
+    return both.where(near(F.col("x") + rest, F.col("size_a"), F.col("size_b"))).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
     """Those of the pairs ``(a, b)`` of nodes that are near copies by their whole sets. Many pairs may have one ``a``.
 
-    ``texts`` has node and body. The rows of a hot ``a`` are dealt to ``SALTS`` tasks, each with one copy of its text.
+    ``texts_of`` has id, hash and body of rows, of which the nodes' own are taken. The rows of a hot ``a`` are dealt
+    to ``SALTS`` tasks, each with one copy of its text.
     """
-    salted = settle(pairs.distinct(), "pairs").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    pairs = settle(pairs.distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = settle(nodes.select("node", F.col("least.id").alias("id"), F.col("least.hash").alias("hash")).join(asked, "node"), "wanted")
+    same = texts_of["id"].eqNullSafe(wanted["id"]) & (texts_of["hash"] == wanted["hash"])
+    texts = settle(texts_of.join(wanted, same).select("node", "body").dropDuplicates(["node"]), "texts")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     heads = salted.select("a", "salt").distinct().join(texts.select(F.col("node").alias("a"), F.col("body").alias("text_a")), "a")
     both = salted.join(texts.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b").join(heads, ["a", "salt"])
 
@@ -137,37 +160,25 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
-    """Pairs of nodes that are near copies: all but those that others put in one component already.
-
-    ``texts_of`` has id, hash and body of rows, of which the nodes' own are taken.
-    """
-    place = F.col("size") * F.lit(PLACES) + F.col("at")  # size and place in one number
-    rows = nodes.select("node", "size", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "node", place.alias("place"))
+    """Pairs of nodes that are near copies: all but those that others put in one component already."""
+    rows = nodes.select(F.explode("prefix").alias("shingle"), "node", "size")
     group = Window.partitionBy("shingle")
-    met = rows.withColumn("head", F.min(F.struct("node", "place")).over(group)).withColumn("n", F.count("*").over(group)).where("n > 1")
-    size = lambda c: F.floor(c / PLACES).cast("int")
-    met = settle(met.select("shingle", "node", size(F.col("place")).alias("size"), (F.col("place") % PLACES).cast("int").alias("at"), F.col("head.node").alias("head"), size(F.col("head.place")).alias("head_size")), "met")
-
-    first = met.where((F.col("node") != F.col("head")) & fits(F.col("size"), F.col("head_size")))
-    first = first.groupBy(F.col("head").alias("a"), F.col("node").alias("b")).count()
-    first = first.groupBy("b").agg(F.max(F.struct("count", "a"))["a"].alias("a")).select("a", "b")
-    first = settle(first.unionByName(by_fingerprint(nodes).select("a", "b")), "first")
+    met = rows.withColumn("head", F.min(F.struct("node", "size")).over(group)).withColumn("n", F.count("*").over(group)).where("n > 1")
+    met = settle(met.select("shingle", "node", "size", "head"), "met")
 
-    asked = met.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", F.col("least.id").alias("id"), F.col("least.hash").alias("hash")).join(asked, "node")
-    same = texts_of["id"].eqNullSafe(wanted["id"]) & (texts_of["hash"] == wanted["hash"])
-    texts = settle(texts_of.join(wanted, same).select("node", "body").dropDuplicates(["node"]), "texts")
-    edges = confirmed(first, texts)
+    first = met.where((F.col("node") != F.col("head.node")) & fits(F.col("size"), F.col("head.size")))
+    first = first.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("x"))
+    first = first.groupBy("b").agg(F.max(F.struct("x", "a")).alias("s")).select("s.a", "b", "s.x")
+    edges = confirmed(alike_so_far(first, nodes).unionByName(by_fingerprint(nodes).select("a", "b")), nodes, texts_of)
 
     joined = simhash.components(edges)
-    parted = met.drop("head", "head_size").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = met.drop("head").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends = parted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
     open_ = settle(parted.join(ends, "shingle"), "open")
-    side = lambda s: open_.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "at", "root")))
-    # at the first shingle two prefixes share, what is left of both sets must be able to reach the similarity
-    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    second = side("a").join(side("b"), "shingle").where((F.col("root_a") < F.col("root_b")) & near(rest, F.col("size_a"), F.col("size_b")))
-    return edges.unionByName(confirmed(second.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), texts))
+    side = lambda s: open_.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root")))
+    second = side("a").join(side("b"), "shingle").where((F.col("root_a") < F.col("root_b")) & fits(F.col("size_a"), F.col("size_b")))
+    second = second.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("x"))
+    return edges.unionByName(confirmed(alike_so_far(second, nodes), nodes, texts_of))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +190,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     told = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "node")
     nodes = prints_and_prefixes(df, id_col, text_col).groupBy("node").agg(
-        F.min(told).alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
+        F.min(told).alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("tail").alias("tail")
     )
     nodes = settle(nodes, "nodes")
     texts_of = df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), text_or_empty(text_col).alias("body"))

@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for all other urls.
 
-Features, suffix statistics and tree scores are DataFrame expressions. The trees are fitted on the driver to a
-bounded sample of labelled urls, as histograms of gradients.
+Features, suffix statistics and tree scores are DataFrame expressions. Suffix statistics count all labelled urls. The trees
+are fitted on the driver to a bounded sample of different labelled urls, as histograms of gradients.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodevec.llm.common import settle
 
-#: The trees are fitted on this many labelled urls at most, those with the least hash.
+#: The trees are fitted on this many different labelled urls at most, those with the least hash.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, LEAST_ROWS, BINS, RIDGE = 30, 3, 0.2, 20, 32, 1.0
 PRIOR_WEIGHT = 10.0
@@ -146,40 +146,63 @@ def boost(x: np.ndarray, y: np.ndarray, prior: float) -> Trees:
     return model
 
 
-def judge(
-    pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", train_rows: int = TRAIN_ROWS
-) -> DataFrame:
-    """``(id, host, path, rule, verdict)``, one row for each row of ``pages``: the rule's verdict, or else the trees'.
+@dataclass
+class Fitted:
+    """Trees and the suffix statistics that their features need: ``(suffix, bad, seen)``, a row for each suffix of a labelled url."""
+
+    trees: Trees
+    suffixes: DataFrame
+
+
+def _with_suffix(df: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
+    """Adds the suffix features. Columns own_bad and own_seen of ``df`` are what its own url counts for, so labels don't tell themselves."""
+    bad = F.coalesce("bad", F.lit(0.0)) - F.col("own_bad")
+    seen = F.coalesce("seen", F.lit(0.0)) - F.col("own_seen")
+    rate = (bad + PRIOR_WEIGHT * prior) / (seen + PRIOR_WEIGHT)
+    return df.join(suffixes, "suffix", "left").withColumns({"suffix_rate": rate, "suffix_seen": F.log1p(seen)})
 
-    ``labelled`` has url and label (1: block) and defaults to the urls of ``pages`` that a rule decides. The
-    trees learn from at most ``train_rows`` of them, those with the least hash; so suffix statistics
-    have at most as many rows, and are broadcast. Without labels of both kinds all urls score alike.
-    A null url has empty host and path; repeated rows repeat; an empty table gives an empty result;
-    other columns aren't looked at.
+
+def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", train_rows: int = TRAIN_ROWS) -> Fitted:
+    """Learn from rows of url and label (1: block).
+
+    Rows without a label are left out. A url that repeats is learnt from once, with the label that most of its rows have (of
+    equals block), and all its rows count for its suffix. The trees see at most ``train_rows`` urls, the suffix statistics
+    all. Without labels of both kinds, as of an empty table, all urls score alike.
     """
+    known = labelled.select(F.col(url_col).cast("string").alias("url"), F.col(label_col).cast("int").alias("label")).where("label is not null")
+    known = known.groupBy("url").agg(F.sum("label").cast("double").alias("own_bad"), F.count("*").cast("double").alias("own_seen"))
+    host, path = host_and_path(F.col("url"))
+    known = settle(known.withColumns({"host": host, "path": path, "suffix": F.substring_index(host, ".", -2)}), "labelled-urls")
+    suffixes = settle(known.groupBy("suffix").agg(F.sum("own_bad").alias("bad"), F.sum("own_seen").alias("seen")), "suffixes")
+    counts = suffixes.agg(F.sum("bad"), F.sum("seen")).first()
+    prior = ((counts[0] or 0) + 1) / ((counts[1] or 0) + 2)  # type: ignore[index]
+    sample = lexical(known.orderBy(F.xxhash64("url"), "url").limit(train_rows), "url")
+    label = (2 * F.col("own_bad") >= F.col("own_seen")).cast("int").alias("label")
+    rows = _with_suffix(sample, suffixes, prior).orderBy(F.xxhash64("url"), "url").select(*FEATURES, label).collect()
+    matrix = np.asarray([tuple(r) for r in rows], np.float64).reshape(-1, len(FEATURES) + 1)
+    return Fitted(boost(matrix[:, :-1], matrix[:, -1], prior), suffixes)
+
+
+def ruled(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``(id, url, host, path, rule, said)`` of each row; rule and said, its verdict, are null where no rule fits."""
     host, path = host_and_path(F.col("url"))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     rule, said = rule_columns(rules, F.col("host"), F.col("path"))
-    base = base.withColumns({"rule": rule, "said": said})
-    if labelled is None:
-        known = base.where(F.col("said").isNotNull()).select("url", "host", "path", (F.col("said") == "block").cast("int").alias("label"))
-    else:
-        known = labelled.select(F.col("url").cast("string"), F.col("label").cast("int")).where("label is not null").withColumns({"host": host, "path": path})
-    sample = settle(lexical(known.orderBy(F.xxhash64("url"), "url").limit(train_rows), "url"), "labelled-urls")
-    stats = settle(sample.groupBy("suffix").agg(F.sum("label").cast("double").alias("bad"), F.count("*").cast("double").alias("seen")), "suffixes")
-    counts = sample.agg(F.sum("label"), F.count("*")).first()
-    prior = ((counts[0] or 0) + 1) / (counts[1] + 2)  # type: ignore[index]
-
-    def with_suffix(df: DataFrame, own: bool) -> DataFrame:
-        bad = F.col("bad") - (F.col("label") if own else F.lit(0))
-        seen = F.col("seen") - F.lit(1 if own else 0)
-        rate = (F.coalesce(bad, F.lit(0.0)) + PRIOR_WEIGHT * prior) / (F.coalesce(seen, F.lit(0.0)) + PRIOR_WEIGHT)
-        return df.join(F.broadcast(stats), "suffix", "left").withColumns({"suffix_rate": rate, "suffix_seen": F.log1p(F.coalesce(seen, F.lit(0.0)))})
-
-    rows = with_suffix(sample, own=True).orderBy(F.xxhash64("url"), "url").select(*FEATURES, "label").collect()
-    matrix = np.asarray([tuple(r) for r in rows], np.float64).reshape(-1, len(FEATURES) + 1)
-    model = boost(matrix[:, :-1], matrix[:, -1], prior)
-    scored = with_suffix(lexical(base, "url"), own=False).withColumn("score", model.score())
+    return base.withColumns({"rule": rule, "said": said})
+
+
+def judge(pages: DataFrame, rules: list[Rule], fitted: Fitted | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``(id, host, path, rule, verdict)``, one row for each row of ``pages``: the rule's verdict, or else the trees'.
+
+    Without ``fitted`` the trees learn from the urls of ``pages`` that a rule decides. A null url has empty host and
+    path; very long urls are read whole; repeated rows repeat; an empty table gives an empty result; other columns
+    aren't looked at.
+    """
+    base = ruled(pages, rules, id_col, url_col)
+    if fitted is None:
+        fitted = fit(base.where(F.col("said").isNotNull()).select("url", (F.col("said") == "block").cast("int").alias("label")))
+    ready = lexical(base, "url").withColumns({"own_bad": F.lit(0.0), "own_seen": F.lit(0.0)})
+    scored = _with_suffix(ready, fitted.suffixes, fitted.trees.prior).withColumn("score", fitted.trees.score())
     return scored.select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", F.when(F.col("score") >= 0, "block").otherwise("allow")).alias("verdict")
     )

@@ -1,7 +1,9 @@
 import math
+import random
 import re
 
 import numpy as np
+import xxhash
 
 from lodevec.llm import url_trees as U
 from lodevec.llm.queries import URL_RULES, op8_url_trees
@@ -76,18 +78,94 @@ def test_labelled_urls_decide(spark):
     good = [f"https://site{i}.example.info/articles/{i}" for i in range(300)]
     bad = [f"http://cheap-{i}-pills.example.biz/?id={i * 7919}&ref={i}&x=9{i}" for i in range(300)]
     labelled = spark.createDataFrame([(u, int(u in set(bad))) for u in good[:200] + bad[:200]], "url string, label int")
-    rows = U.judge(frame(spark, good[200:] + bad[200:]), [], labelled).orderBy("page_id").collect()
+    rows = U.judge(frame(spark, good[200:] + bad[200:]), [], U.fit(labelled)).orderBy("page_id").collect()
     verdicts = [r.verdict for r in rows]
     assert verdicts[:100].count("allow") >= 97 and verdicts[100:].count("block") >= 97
 
 
+def plain_features(url, stats, prior, own=(0, 0)):
+    text, (host, path) = url or "", parts(url)
+    share = lambda n: n / len(text) if text else 0.0
+    entropy = lambda t: -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0
+    digits = lambda t: sum(c in "0123456789" for c in t)
+    query = re.search(r"(?s)\?([^#]*)", text)
+    query = query[1] if query else ""
+    bad, seen = stats.get(suffix(host), (0, 0))
+    bad, seen = bad - own[0], seen - own[1]
+    return [
+        len(text), len(host), len(path), len(re.findall("/[^/]", path)), len([x for x in host.split(".") if x]), share(digits(text)), digits(host), host.count("-"),
+        len([x for x in query.split("&") if x]), len(query), float("#" in text), float(text.startswith("https:")), entropy(text), entropy(host),
+        (bad + U.PRIOR_WEIGHT * prior) / (seen + U.PRIOR_WEIGHT), math.log1p(seen),
+    ]
+
+
+def suffix(host):
+    return ".".join(host.split(".")[-2:])
+
+
+def plain_verdicts(labelled, urls, model):
+    """Verdicts of the trees, on features worked out one url at a time; counts and sample are worked out anew too."""
+    own, stats = {}, {}
+    for url, label in labelled:
+        bad, seen = own.get(url, (0, 0))
+        own[url] = (bad + label, seen + 1)
+    for url, (bad, seen) in own.items():
+        key = suffix(parts(url)[0])
+        b, n = stats.get(key, (0, 0))
+        stats[key] = (b + bad, n + seen)
+    prior = (sum(b for b, _ in own.values()) + 1) / (sum(n for _, n in own.values()) + 2)
+    assert abs(model.prior - prior) < 1e-12
+    order = sorted(own, key=lambda u: (signed(xxhash.xxh64_intdigest(u.encode(), 42)), u))
+    x = np.asarray([plain_features(u, stats, prior, own[u]) for u in order])
+    y = np.asarray([float(2 * own[u][0] >= own[u][1]) for u in order])
+    again = U.boost(x, y, prior)
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] + 1e-12 else tree[3]
+        return tree
+
+    return ["block" if again.start + sum(value(t, plain_features(u, stats, prior)) for t in again.trees) >= 0 else "allow" for u in urls]
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
 def test_query_is_native_and_right(spark, sf_dir):
     found = op8_url_trees(spark, sf_dir)
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    urls = {r.page_id: r.url for r in pages.collect()}
     rows = found.collect()
     assert len(rows) == len(urls)
+    labelled = [(u, int(rule(u)[1] == "block")) for u in urls.values() if rule(u)[1]]
+    base = U.ruled(pages, URL_RULES)
+    model = U.fit(base.where("said is not null").select("url", (base.said == "block").cast("int").alias("label"))).trees
+    trees = dict(zip(urls, plain_verdicts(labelled, urls.values(), model)))
     for r in rows:
         name, verdict = rule(urls[r.page_id])
-        assert (r.host, r.path) == parts(urls[r.page_id]) and r.rule == name and verdict in (None, r.verdict)
+        assert (r.host, r.path) == parts(urls[r.page_id]) and r.rule == name and r.verdict == (verdict or trees[r.page_id])
+
+
+def test_held_out_accuracy_and_hot_urls(spark):
+    """Trees on labels that only lexical features tell, with a url that has a third of all rows, judged on urls that the fit hasn't seen."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+    def one(bad):
+        tld = rng.choice(["com", "org", "info"])
+        if bad:
+            return f"http://{word(4)}-{word(5)}{rng.randrange(1000)}.{word(6)}.{tld}/{word(3)}?id={rng.randrange(10**6)}&s={word(8)}&r={rng.randrange(99)}"
+        return f"https://{word(7)}.{tld}/{word(6)}/{word(5)}/{word(8)}" + (f"?page={rng.randrange(9)}" if rng.random() < 0.3 else "")
+
+    rows = [(one(k % 4 == 0), int(k % 4 == 0)) for k in range(2400)]
+    seen, unseen = rows[:1600] + [rows[0]] * 800, rows[1600:]
+    fitted = U.fit(spark.createDataFrame(seen, "url string, label int"), train_rows=1200)
+    verdicts = [r.verdict for r in U.judge(frame(spark, [u for u, _ in unseen]), [], fitted).orderBy("page_id").collect()]
+    right = [(v == "block") == (label == 1) for v, (_, label) in zip(verdicts, unseen)]
+    assert sum(right) >= 0.97 * len(right)
+    total = fitted.suffixes.agg({"seen": "sum"}).first()[0]
+    assert total == len(seen)
+    assert U.fit(spark.createDataFrame([], "url string, label int")).trees.trees == []
