@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 import lodevec
+from lodevec.operators.index import VectorIndex
+from lodevec.plans.budget import recommend_knobs
 
 _DOT = "aggregate(zip_with(a, b, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v)"
 _SELF = "aggregate(a, 0D, (s, v) -> s + double(v) * double(v))"
@@ -35,13 +40,32 @@ TABLE_FUNCTIONS = {
 }
 
 
+class RecommendedKnobs:
+    """A table function of one row: knobs advised for an index, whose metadata and last scan come as JSON texts or null."""
+
+    def eval(self, candidates: int, final: int, meta: str | None, selectivity: float | None, last: str | None):
+        found = recommend_knobs(candidates, final, json.loads(meta) if meta else None, selectivity, json.loads(last) if last else None)
+        yield found["probes"], found["oversample_factor"], found["max_visited_codes"], found["max_visited_pages"]
+
+
+KNOBS = "probes int, oversample_factor int, max_visited_codes bigint, max_visited_pages int"
+
+
+def register_search(spark: SparkSession, index: VectorIndex, name: str, query: list[float], candidates: int, final: int | None = None) -> None:
+    """Views ``name_candidates`` and, with a final limit, ``name_reranked`` of one search, for SQL."""
+    index.candidates(query, candidates, final).createOrReplaceTempView(f"{name}_candidates")
+    if final is not None:
+        index.rerank(query, candidates, final).createOrReplaceTempView(f"{name}_reranked")
+
+
 def register(spark: SparkSession) -> list[str]:
     """Create the functions for this session."""
+    spark.udtf.register("vec_recommended_knobs", F.udtf(RecommendedKnobs, returnType=KNOBS))
     for name, (arguments, columns, query) in TABLE_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE({columns}) RETURN {query}")
     for name, (arguments, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
-    return [*FUNCTIONS, *TABLE_FUNCTIONS]
+    return [*FUNCTIONS, *TABLE_FUNCTIONS, "vec_recommended_knobs"]
 
 
 def runtime() -> dict:

@@ -84,7 +84,7 @@ def unit(a: Column) -> Column:
 def checked_unit(a: Column, what: str = "embeddings") -> Column:
     """Scaled to length one; raises where the length is off by more than the tolerance, as zero vectors are."""
     off = F.abs(norm(a) - 1) > UNIT_TOLERANCE
-    return F.when(off, F.raise_error(F.lit(f"normalized indexes require unit-norm {what}"))).otherwise(unit(a))
+    return F.when(off, F.raise_error(F.lit(f"{what} must be of length one, as the index is for normalized vectors"))).otherwise(unit(a))
 
 
 def parse_vector(text: Column) -> Column:
@@ -112,4 +112,5 @@ def half(a: Column) -> Column:
 
 
 def half_numpy(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.float16).astype(np.float32)
+    with np.errstate(over="ignore"):  # what is too large becomes infinite, as a half does
+        return x.astype(np.float16).astype(np.float32)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,12 @@ from lodevec.functions import text as X
 from lodevec.operators import evaluate, knn, router
 from lodevec.operators.index import VectorIndex
 from lodevec.plans.options import QueryKnobs
-from lodevec.sources import files
+from lodevec.sources import files, reports
 
-#: The systems of a campaign: codes alone, codes with exact distances, all vectors exactly, k-means lists of plain vectors.
-SYSTEMS = ("quantized_approx", "quantized_rerank", "exact", "float_lists")
+#: The systems of a campaign: three ways to find candidates, each as they come and after exact distances of a deeper set.
+#: ``quantized`` compares codes, ``float_lists`` probes k-means lists of plain vectors, ``exact`` compares all vectors.
+METHODS, STAGES = ("quantized", "float_lists", "exact"), ("approx", "rerank")
+SYSTEMS = tuple(f"{m}_{s}" for m in METHODS for s in STAGES)
 KINDS = ("retrieval_only", "end_to_end")
 RERANK_MULTIPLE, RERANK_LEAST = 64, 1024
 
@@ -39,7 +42,7 @@ def check_request(index: VectorIndex, metric: str, system: str, top_k: int, dept
         raise ValueError("the rerank depth must be at least top_k, and that at least 1")
     if metric == "ip" and not index.options.normalized:
         raise ValueError("inner products need a normalized index")
-    if system == "float_lists" and not index.options.lists:
+    if system.startswith("float_lists") and not index.options.lists:
         raise ValueError("float_lists needs an index with lists")
 
 
@@ -51,19 +54,26 @@ def rerank_depth(system: str, top_k: int, configured: int, live: int | None = No
     return min(depth, live) if live else depth
 
 
-def retrieve(index: VectorIndex, queries: DataFrame, k: int, system: str = "quantized_rerank", depth: int = 64, probes: int = QueryKnobs().probes) -> DataFrame:
-    """``(qid, retrieved)``, ids as text and best first, for a set of queries ``(qid, embedding)``; probes are for float_lists."""
+def retrieve(index: VectorIndex, queries: DataFrame, k: int, system: str = "quantized_rerank", depth: int | None = None, knobs: QueryKnobs | None = None, filters: dict | None = None) -> DataFrame:
+    """``(qid, retrieved)``, ids as text and best first, for a set of queries ``(qid, embedding)``.
+
+    A reranking system compares the exact distances of ``depth`` candidates, by default as ``rerank_depth`` has it; knobs
+    bound what lists are probed, and without them codes are all compared. Queries without a result have no row.
+    """
     metric = index.options.metric
-    if system == "exact":
-        found = knn.batch_knn(index.rows(), queries, k, metric)
-    elif system == "float_lists":
-        found = _probed(index, queries, k, metric, probes)
+    method, stage = system.rsplit("_", 1)
+    live = sum(rows for _, rows, _ in index.lists())
+    wanted = k if stage == "approx" else max(k, rerank_depth(system, k, k, live) if depth is None else depth)
+    if method == "exact":
+        found = knn.batch_knn(knn.filtered(index.rows(), filters), queries, wanted, metric)
+    elif method == "float_lists":
+        found = _probed(index, queries, wanted, metric, (knobs or QueryKnobs()).probes, filters)
     else:
-        found = index.search_batch(queries, k if system == "quantized_approx" else max(k, depth))
-        if system == "quantized_rerank":
-            found = _exactly(index, queries, found, k, metric)
+        found = index.search_batch(queries, wanted, knobs=knobs, filters=filters)
+    if stage == "rerank":
+        found = _exactly(index, queries, found, k, metric)
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col("id").cast("string").alias("id"))))
-    return found.groupBy("qid").agg(ordered.alias("r")).select("qid", F.transform("r", lambda x: x["id"]).alias("retrieved"))
+    return found.where(F.col("rank") <= k).groupBy("qid").agg(ordered.alias("r")).select("qid", F.transform("r", lambda x: x["id"]).alias("retrieved"))
 
 
 def _exactly(index: VectorIndex, queries: DataFrame, found: DataFrame, k: int, metric: str) -> DataFrame:
@@ -78,7 +88,7 @@ def _exactly(index: VectorIndex, queries: DataFrame, found: DataFrame, k: int, m
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def _probed(index: VectorIndex, queries: DataFrame, k: int, metric: str, probes: int) -> DataFrame:
+def _probed(index: VectorIndex, queries: DataFrame, k: int, metric: str, probes: int, filters: dict | None = None) -> DataFrame:
     """The k nearest vectors in the ``probes`` lists nearest to each query, by exact distances."""
     from pyspark.sql import Window
 
@@ -102,28 +112,124 @@ def _probed(index: VectorIndex, queries: DataFrame, k: int, metric: str, probes:
 
     kind = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
     wanted = queries.where("embedding is not null").select("qid", "embedding").mapInArrow(route, f"qid {kind['qid']}, q {kind['embedding']}, list_id int")
-    pairs = wanted.join(index.listed(), "list_id").select("qid", "id", V.rounded(V.distance(metric, F.col("q"), F.col("embedding"))).alias("distance"))
+    pairs = wanted.join(knn.filtered(index.listed(), filters), "list_id").select("qid", "id", V.rounded(V.distance(metric, F.col("q"), F.col("embedding"))).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def run_retrieval(index: VectorIndex, queries: DataFrame, truth: DataFrame, k: int = 10, system: str = "quantized_rerank", depth: int = 64, probes: int = QueryKnobs().probes) -> DataFrame:
-    """Metrics of a system on queries with ``truth (query_id, relevant, evidence)``; latency is the batch's time by query."""
+def run_retrieval(
+    index: VectorIndex, queries: DataFrame, truth: DataFrame, k: int = 10, system: str = "quantized_rerank", depth: int | None = None, knobs: QueryKnobs | None = None, filters: dict | None = None, timed: int = 0
+) -> DataFrame:
+    """One row: metrics of a system on queries with ``truth (query_id, relevant, evidence)``, and the queries a second of the whole batch.
+
+    Latencies are those of the first ``timed`` queries, each searched alone, as the queries of a batch have none; with 0 they are null.
+    """
     began = time.perf_counter()
-    found = retrieve(index, queries, k, system, depth, probes).persist()
-    spent = (time.perf_counter() - began + _timed(found)) * 1000
-    try:
-        rows = found.withColumnRenamed("qid", "query_id").join(truth, "query_id").withColumn("latency_ms", F.lit(spent / max(1, found.count())))
-        one = evaluate.retrieval_metrics(rows, k).withColumns({"system_id": F.lit(system), "index_bytes": F.lit(footprint(index))}).collect()
-    finally:
-        found.unpersist()
-    return index.spark.createDataFrame(one)
+    found = files.settle(retrieve(index, queries, k, system, depth, knobs, filters), "retrieved")
+    spent = time.perf_counter() - began
+    alone = index.spark.createDataFrame(_alone(index, queries, k, system, depth, knobs, filters, timed), f"query_id {queries.schema['qid'].dataType.simpleString()}, latency_ms double")
+    rows = found.withColumnRenamed("qid", "query_id").join(truth, "query_id").join(alone, "query_id", "left")
+    told = {"system_id": F.lit(system), "index_bytes": F.lit(footprint(index)), "batch_qps": F.round(F.col("query_count") / F.lit(max(spent, 1e-9)), 3)}
+    return index.spark.createDataFrame(*(lambda f: (f.collect(), f.schema))(evaluate.retrieval_metrics(rows, k).withColumns(told)))
+
+
+def _alone(index: VectorIndex, queries: DataFrame, k: int, system: str, depth: int | None, knobs: QueryKnobs | None, filters: dict | None, timed: int) -> list[tuple]:
+    """``(qid, milliseconds)`` of the first queries by id, one search each."""
+    out = []
+    for qid, vector in queries.where("embedding is not null").orderBy("qid").limit(timed).select("qid", "embedding").collect() if timed else ():
+        began = time.perf_counter()
+        if system.startswith("exact"):
+            knn.exact_knn(index.rows(), vector, k, index.options.metric, filters=filters).collect()
+        elif system == "quantized_approx":
+            index.search(vector, k, knobs, filters)[0].collect()
+        elif system == "quantized_rerank":
+            index.rerank(vector, depth or k, k, filters, knobs).collect()
+        else:
+            one = queries.where(F.col("qid") == qid)
+            retrieve(index, one, k, system, depth, knobs, filters).collect()
+        out.append((qid, (time.perf_counter() - began) * 1000))
+    return out
+
+
+def run_metadata(index: VectorIndex, system: str, k: int, depth: int | None = None, knobs: QueryKnobs | None = None, filters: dict | None = None, payload: Sequence[str] = ()) -> dict:
+    """What a run was made with: method and stage, index options, knobs, filters, the delta, and whether the payload covers the answer."""
+    method, stage = system.rsplit("_", 1)
+    meta = index.metadata()
+    knobs = knobs or QueryKnobs()
+    chosen = {n: sorted(v, key=str) if isinstance(v, (list, tuple, set)) else v for n, v in (filters or {}).items()}
+    return {
+        "system_id": system, "method": method, "stage": stage, "metric": index.options.metric, "mode": "ivf" if index.options.lists else "flat", "top_k": k,
+        "rerank_depth": None if stage == "approx" else rerank_depth(system, k, depth or k, meta["live_count"]), "knobs": dict(knobs.__dict__), "filters": chosen,
+        "filters_in_index": sorted(set(chosen) & set(index.attribute_types)), "index": {"version": index.version, "bits": index.options.bits, "lists": index.options.lists, "format_version": meta["format_version"]},
+        "delta": {"live_count": meta["delta_live_count"], "dead_count": meta["dead_count"], "action": meta["maintenance_action_recommended"]},
+        "payload": list(payload), "covering": set(payload) <= set(index.attribute_types),
+    }
 
 
-def _timed(frame: DataFrame) -> float:
-    began = time.perf_counter()
-    frame.count()
-    return time.perf_counter() - began
+@dataclass
+class Dataset:
+    """What a campaign needs of a dataset: an index, queries ``(qid, embedding)``, truth, and for answers questions and references."""
+
+    index: VectorIndex
+    queries: DataFrame
+    truth: DataFrame
+    questions: DataFrame | None = None  # (query_id, question)
+    passages: DataFrame | None = None  # (id, text)
+    references: DataFrame | None = None  # (query_id, references)
+
+
+def run(
+    datasets: dict[str, Dataset], systems: Sequence[str] = SYSTEMS, k: int = 10, depth: int | None = None, knobs: QueryKnobs | None = None, timed: int = 0,
+    generator: Callable[[str], str] | None = None, generator_id: str = "none", system_prompt: str = "", max_contexts: int = 5,
+) -> dict[str, DataFrame]:
+    """The tables of a campaign: retrieval, diagnostics, what reranking changes, comparisons with exact search, leaders, and answers with a generator.
+
+    Every table has a row a dataset and system, so they are small; retrieval itself runs as one batch for each.
+    """
+    spark = next(iter(datasets.values())).index.spark
+    retrieval, diagnostics, answers = [], [], []
+    for name, d in datasets.items():
+        for system in systems:
+            check_request(d.index, d.index.options.metric, system, k, max(k, depth or k))
+            tag = {"dataset": F.lit(name), "system_id": F.lit(system)}
+            retrieval.append(run_retrieval(d.index, d.queries, d.truth, k, system, depth, knobs, timed=timed).withColumns(tag))
+            diagnostics.append((name, system, *_diagnosed(d, system, knobs)))
+            if generator is not None and d.questions is not None and d.passages is not None and d.references is not None:
+                found = retrieve(d.index, d.queries, k, system, depth, knobs).select(F.col("qid").cast("string").alias("query_id"), F.posexplode("retrieved").alias("place", "id"))
+                texts = found.join(d.passages.select(F.col("id").cast("string").alias("id"), "text"), "id")
+                contexts = texts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "text"))).alias("c"))
+                cache = d.questions.select(F.col("query_id").cast("string").alias("query_id"), "question").join(contexts, "query_id")
+                said = files.settle(answer(cache.select("query_id", "question", F.transform("c", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text"))).alias("contexts")), generator, system_prompt, max_contexts), "answers")
+                scores = answer_scores(said, d.references.withColumn("query_id", F.col("query_id").cast("string")))
+                means = said.agg(*(F.round(F.avg(c), 6).alias(c) for c in ("prompt_tokens", "context_tokens")), F.round(F.avg("generator_latency_ms"), 3).alias("generator_ms"))
+                answers.append(scores.withColumn("one", F.lit(1)).join(means.withColumn("one", F.lit(1)), "one").drop("one").withColumns({**tag, "generator_id": F.lit(generator_id)}))
+    rows = files.settle(reduce(DataFrame.unionByName, retrieval), "campaign")
+    kinds = "dataset string, system_id string, mode string, score_mode string, probes double, visited_code_fraction double, visited_page_fraction double"
+    best = [df.select("dataset", F.lit(metric).alias("metric"), "system_id", F.col(metric).cast("double").alias("value")) for metric, df in zip(("recall", "p95_ms", "index_bytes"), outcome(rows).values(), strict=True)]
+    tables = {
+        "retrieval": reports.shaped(rows, "retrieval"),
+        "diagnostics": reports.shaped(spark.createDataFrame(diagnostics, kinds), "diagnostics"),
+        "two_stage": reports.two_stage(rows),
+        "comparisons": reports.shaped(evaluate.comparisons(rows, ["recall", "ndcg", "mrr", "batch_qps"], ["exact_approx"]), "comparisons"),
+        "leaders": reports.shaped(reduce(DataFrame.unionByName, best), "leaders"),
+    }
+    if answers:
+        tables["answers"] = reports.shaped(reduce(DataFrame.unionByName, answers), "answers")
+    return tables
+
+
+def _diagnosed(d: Dataset, system: str, knobs: QueryKnobs | None) -> tuple:
+    """Mode, score mode, probes and visited shares of a system, as the first query's search plans them."""
+    first = d.queries.where("embedding is not null").orderBy("qid").select("embedding").first()
+    live, pages = (sum(c[n] for c in d.index.lists()) for n in (1, 2))
+    if first is None or system.startswith("exact"):
+        return "flat", "exact", 0.0, 1.0, 1.0
+    stats = d.index.search(first[0], 1, knobs)[1]
+    if system.startswith("quantized") and knobs is None:
+        return stats.mode, stats.score_mode, float(d.index.options.lists or 1), 1.0, 1.0
+    share = lambda part, whole: round(part / whole, 6) if whole else 0.0
+    mode = "exact" if system.startswith("float_lists") else stats.score_mode
+    return stats.mode, mode, float(len(stats.selected_lists)), share(stats.visited_code_count, live), share(stats.visited_page_count, pages)
 
 
 def footprint(index: VectorIndex) -> int:

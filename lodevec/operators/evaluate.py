@@ -6,10 +6,13 @@ Query rows have ``query_id``, ``retrieved`` (ids, best first), ``relevant``, ``e
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodevec.sources.files import settle
+
 
 def _top(k: int, retrieved: str = "retrieved") -> Column:
     return F.slice(retrieved, 1, k)
@@ -41,30 +44,86 @@ def hit_at(k: int, wanted: str = "relevant", retrieved: str = "retrieved") -> Co
 
 
 def retrieval_metrics(rows: DataFrame, k: int = 10) -> DataFrame:
-    """One row: means over queries, latency percentiles (linear) and queries a second."""
+    """One row: means over queries, latency percentiles (linear) and queries a second.
+
+    Queries without a latency count for all but the latencies; without any these are null.
+    """
     r = lambda c: F.round(c, 6) + F.lit(0.0)
-    return rows.agg(
+    means = rows.agg(
         F.count("*").alias("query_count"),
         r(F.avg(recall_at(k))).alias("recall"),
         r(F.avg(reciprocal_rank_at(k))).alias("mrr"),
         r(F.avg(ndcg_at(k))).alias("ndcg"),
         r(F.avg(hit_at(k))).alias("hit_rate"),
         r(F.avg(hit_at(k, "evidence"))).alias("evidence_coverage"),
-        *(r(F.percentile("latency_ms", p / 100)).alias(f"p{p}_ms") for p in (50, 95, 99)),
-        r(F.when(F.sum("latency_ms") > 0, F.count("*") * 1000 / F.sum("latency_ms")).otherwise(0.0)).alias("qps"),
+        r(F.when(F.sum("latency_ms") > 0, F.count("latency_ms") * 1000 / F.sum("latency_ms")).otherwise(0.0)).alias("qps"),
     )
+    ranks = percentiles(rows, "latency_ms", {f"p{p}_ms": p / 100 for p in (50, 95, 99)}).withColumn("one", F.lit(1))
+    joined = means.withColumn("one", F.lit(1)).join(ranks, "one", "left")
+    return joined.select(*means.columns[:-1], *(r(F.col(f"p{p}_ms")).alias(f"p{p}_ms") for p in (50, 95, 99)), "qps")
+
+
+def exact_fraction(rows: DataFrame, found: str = "found", wanted: str = "wanted") -> DataFrame:
+    """One row: the share of queries whose found ids are just the wanted ones, and how many ids are found on average.
+
+    Order and repeats of ids don't matter; null lists are empty; without queries both are null.
+    """
+    plain = lambda c: F.sort_array(F.array_distinct(F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))))
+    r = lambda c: F.round(c, 6) + F.lit(0.0)
+    return rows.agg(F.count("*").alias("query_count"), r(F.avg((plain(found) == plain(wanted)).cast("int"))).alias("exact_match_fraction"), r(F.avg(F.size(plain(found)))).alias("avg_result_count"))
+
 
+def comparisons(rows: DataFrame, metrics: Sequence[str], baselines: Sequence[str], group: str = "dataset", system: str = "system_id") -> DataFrame:
+    """Each system beside each baseline of its group: ``(group, candidate, baseline, metric, candidate_value, baseline_value, difference, ratio)``.
 
-def nearest_rank(column: str, share: float) -> Column:
-    """The value whose place is the share of the count, rounded up."""
-    return F.round(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})"), 6)
+    A row a group, pair and metric that both have; a ratio to 0 is null. Rows of reports are few, so the join is small.
+    """
+    long = rows.select(group, system, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot([group, system], list(metrics), "metric", "value").where("value is not null")
+    base = long.where(F.col(system).isin(list(baselines))).select(group, F.col(system).alias("baseline"), "metric", F.col("value").alias("baseline_value"))
+    both = long.select(group, F.col(system).alias("candidate"), "metric", F.col("value").alias("candidate_value")).join(base, [group, "metric"]).where("candidate <> baseline")
+    r = lambda c: F.round(c, 6) + F.lit(0.0)
+    a, b = F.col("candidate_value"), F.col("baseline_value")
+    return both.select(group, "candidate", "baseline", "metric", a, b, r(a - b).alias("difference"), r(F.when(b != 0, a / b)).alias("ratio"))
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], groups: Sequence[str] = (), nearest: bool = False) -> DataFrame:
+    """Exact percentiles of each group, a column each: ``(groups..., names...)``, linear between places or by nearest rank.
+
+    Equal values are counted first, then groups and values are dealt out by range, so a group may span all tasks and no task
+    holds one. What comes before a part of a group is a running sum over parts. Null values don't count; a group
+    without values has no row; no rows give none.
+    """
+    keys = [F.col(g) for g in groups] or [F.lit(0).alias("all")]
+    names = list(groups) or ["all"]
+    counted = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v")).groupBy(*names, "v").agg(F.count("*").alias("n"))
+    dealt = settle(counted.repartitionByRange(*names, "v").select("*", F.spark_partition_id().alias("part")), "percentiles")
+    parts = dealt.groupBy("part", *names).agg(F.sum("n").alias("m"), F.min("v").alias("low"))
+    whole = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("m").over(whole.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", *(F.col(g).alias(f"of_{g}") for g in names), before.alias("before"), F.sum("m").over(whole).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("part", *names).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in names))
+    ranked = dealt.withColumn("inside", inside).join(parts.withColumnRenamed("part", "of_part"), same & (F.col("part") == F.col("of_part")))
+    last = F.col("before") + F.col("inside")  # the place of the row's last equal, from 1
+    found = []
+    for name, share in shares.items():
+        place = F.greatest(F.ceil(F.round(share * F.col("total"), 9)), F.lit(1)).cast("double") if nearest else share * (F.col("total") - 1) + 1
+        at = lambda p: F.max(F.when((last - F.col("n") < p) & (p <= last), F.col("v")))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return ranked.groupBy(*names).agg(*found).select(*groups, *shares)
 
 
 def distributions(rows: DataFrame, stages: Sequence[str], id_cols: Sequence[str] = ()) -> DataFrame:
-    """Count, mean and percentiles of each stage's values, without nulls: ``(stage, n, avg, p50, p95, p99)``."""
+    """Count, mean and percentiles of each stage's values, without nulls: ``(stage, n, avg, p50, p95, p99)``.
+
+    Stages without values have no row.
+    """
     long = rows.unpivot(list(id_cols), list(stages), "stage", "value").where("value is not null")
     r = lambda c: F.round(c, 6) + F.lit(0.0)
-    return long.groupBy("stage").agg(F.count("*").alias("n"), r(F.avg("value")).alias("avg"), *(r(F.percentile("value", p / 100)).alias(f"p{p}")for p in (50, 95, 99)))
+    sums = long.groupBy("stage").agg(F.count("*").alias("n"), r(F.avg("value")).alias("avg"))
+    ranks = percentiles(long, "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["stage"])
+    return sums.join(ranks, "stage").select("stage", "n", "avg", *(r(F.col(p)).alias(p) for p in ("p50", "p95", "p99")))
 
 
 def cost_summary(costs: DataFrame) -> DataFrame:
@@ -74,20 +133,24 @@ def cost_summary(costs: DataFrame) -> DataFrame:
     return found.select("name", F.when(F.size("units") > 0, one).alias("unit"), "n", "total", "avg")
 
 
-def scan_stat_summary(stats: DataFrame, numbers: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """``(name, n, avg, p50, p95, values, uniform)``: distributions of numbers (true counts 1), distinct values of labels."""
+def scan_stat_summary(stats: DataFrame, numbers: Sequence[str], labels: Sequence[str], most: int = 1000) -> DataFrame:
+    """``(name, n, avg, p50, p95, values, uniform)``: distributions of numbers (true counts 1), distinct values of labels.
+
+    A label is a mode or a kind; one of more than ``most`` different values is an error, as it isn't one. Names
+    without values have no row.
+    """
+    none = F.lit(None)
     parts = []
-    for name in numbers:
-        value = F.col(name).cast("double")
-        parts.append(stats.where(F.col(name).isNotNull()).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.avg(value), 6).alias("avg"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95"), F.lit(None).cast("array<string>").alias("values"), F.lit(None).cast("boolean").alias("uniform")))
+    if numbers:
+        dealt = distributions(stats.select(*(F.col(n).cast("double").alias(n) for n in numbers)), numbers)
+        parts.append(dealt.select(F.col("stage").alias("name"), "n", "avg", "p50", "p95", none.cast("array<string>").alias("values"), none.cast("boolean").alias("uniform")))
     for name in labels:
-        seen = F.sort_array(F.collect_set(F.col(name).cast("string")))
-        none = F.lit(None).cast("double")
-        parts.append(stats.where(F.col(name).isNotNull()).agg(F.lit(name).alias("name"), F.count("*").alias("n"), none.alias("avg"), none.alias("p50"), none.alias("p95"), seen.alias("values"), (F.size(seen) == 1).alias("uniform")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        seen = stats.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy("value").limit(most + 1)
+        values = F.sort_array(F.collect_list("value"))
+        checked = F.when(F.count("*") <= most, values).otherwise(F.raise_error(F.lit(f"{name} has too many values for a label")))
+        told = seen.agg(F.lit(name).alias("name"), F.sum("n").alias("n"), *(none.cast("double").alias(c) for c in ("avg", "p50", "p95")), checked.alias("values"), (F.count("*") == 1).alias("uniform"))
+        parts.append(told.where("n is not null"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def multihop(rows: DataFrame, k: int) -> DataFrame:

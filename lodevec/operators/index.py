@@ -15,24 +15,27 @@ import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodevec.functions import vectors as V
 from lodevec.operators import router
 from lodevec.operators.codec import Codec
-from lodevec.operators.knn import batch_knn, filter_column, ranked_candidates
+from lodevec.operators.knn import batch_distances, batch_knn, exact_rerank, filter_column, nearest, query_blocks, ranked_candidates
 from lodevec.operators.rotation import rotate_back
 from lodevec.plans import budget
 from lodevec.plans.options import ATTRIBUTE_TYPES, FORMAT_VERSION, IndexOptions, MaintenanceKnobs, QueryKnobs, lane_count
 from lodevec.sources import files
 
 CODE_COLUMNS = ["idx", "sgn", "gamma"]
+#: Stands for the delta where rows are told apart by list.
+DELTA_LIST = -1
 
 
 class BrokenIndex(ValueError):
@@ -95,11 +98,11 @@ class VectorIndex:
 
     # ------------------------------------------------------------------ build and load
     @classmethod
-    def build(cls, df: DataFrame, path: str, options: IndexOptions | None = None, id_col: str = "id", emb_col: str = "embedding") -> VectorIndex:
+    def build(cls, df: DataFrame, path: str, options: IndexOptions | None = None, id_col: str = "id", emb_col: str = "embedding", centroids: np.ndarray | None = None) -> VectorIndex:
         """Index the rows of ``df`` whose vector isn't null, with the options' attributes beside them.
 
         All vectors must have the same number of dimensions. An empty table gives an index that takes its
-        dimension from the first insert.
+        dimension from the first insert. ``centroids``, as many as lists, take the place of training.
         """
         options = options or IndexOptions()
         kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -109,7 +112,9 @@ class VectorIndex:
         rows = df.select(F.col(id_col).alias("id"), F.col(emb_col).cast("array<float>").alias("embedding"), *options.attributes).where("embedding is not null")
         first = rows.select(F.size("embedding")).first()
         index = cls(df.sparkSession, path.rstrip("/"), 0, options, first[0] if first else 0, kinds[id_col], {a: kinds[a] for a in options.attributes}, {})
-        index._write_version(index._prepared(rows))
+        if centroids is not None and len(centroids) != options.lists:
+            raise ValueError(f"{options.lists} lists need as many centroids, not {len(centroids)}")
+        index._write_version(index._prepared(rows), None if centroids is None else index.codec.rotate(np.asarray(centroids, np.float64)))
         return index
 
     @classmethod
@@ -146,10 +151,10 @@ class VectorIndex:
         o = self.options
         if not o.lists:
             return None
-        sample = rows.select("id", "embedding").orderBy(F.xxhash64(F.lit(o.router_seed), "id"), "id").limit(o.router_samples).collect()
-        if not sample:
+        sample = rows.select("id", "embedding").orderBy(F.xxhash64(F.lit(o.router_seed), "id"), "id").limit(o.router_samples).select("embedding").toArrow()
+        if not sample.num_rows:
             return None
-        x = self.codec.rotate(np.asarray([r[1] for r in sample]))
+        x = self.codec.rotate(_matrix(sample.column(0).combine_chunks()))
         runs = router.candidates(x, o.lists, o.router_seed, o.router_restarts, o.router_iterations)
         codec, shared = self.codec, self.spark.sparkContext.broadcast(runs)
 
@@ -174,7 +179,7 @@ class VectorIndex:
             distortion[run] += d
         judged = [router.objective(d, c) for d, c in zip(distortion, counts, strict=True)]
         chosen = router.best(judged)
-        self.router = {"samples": len(sample), "restart": chosen, **judged[chosen].__dict__, "penalty": judged[chosen].penalty, "score": judged[chosen].score}
+        self.router = {"samples": sample.num_rows, "restart": chosen, **judged[chosen].__dict__, "penalty": judged[chosen].penalty, "score": judged[chosen].score}
         return runs[chosen]
 
     def _encoded(self, rows: DataFrame, centroids: np.ndarray | None) -> DataFrame:
@@ -286,8 +291,8 @@ class VectorIndex:
         return whole if delta is None else whole.unionByName(delta.select(*names))
 
     def listed(self) -> DataFrame:
-        """``(id, embedding, list_id)`` of all live rows."""
-        names, delta = ("id", "embedding", "list_id"), self._delta()
+        """``(id, embedding, list_id, attributes...)`` of all live rows."""
+        names, delta = ("id", "embedding", "list_id", *self.attribute_types), self._delta()
         whole = self._live().select(*names)
         return whole if delta is None else whole.unionByName(delta.select(*names))
 
@@ -321,7 +326,7 @@ class VectorIndex:
         if self.options.normalized:
             length = float(np.sqrt((q**2).sum()))
             if abs(length - 1) > V.UNIT_TOLERANCE:
-                raise ValueError("normalized indexes require unit-norm query vectors")
+                raise ValueError("a query must be of length one, as the index is for normalized vectors")
             q = q / length
         return self.codec.rotate(q[None, :])[0]
 
@@ -339,26 +344,34 @@ class VectorIndex:
             pages = pages.where(~F.col(f"{name}_null_all") & inside)
         return pages.select("list_id", "page_id")
 
+    def _matching_counts(self, filters: dict | None) -> dict[int, int] | None:
+        """Pages by list that stored filters don't rule out, at most as many as the index has lists; None without such filters."""
+        stored = {k: v for k, v in (filters or {}).items() if k in self.attribute_types}
+        return {r[0]: r[1] for r in self._matching_pages(stored).groupBy("list_id").count().collect()} if stored else None
+
+    def _choose(self, rotated: np.ndarray, knobs: QueryKnobs, matching: dict[int, int] | None) -> tuple[list[int], list[budget.ListStats]]:
+        """The lists that a search reads, in rank order, and what is known of all lists."""
+        centroids = self.centroids()
+        if centroids is None:
+            return [0], []
+        of = {c[0]: c for c in self.lists()}
+        ranked = [budget.ListStats(i, s, of.get(i, (i, 0, 0))[1], of.get(i, (i, 0, 0))[2]) for i, s in router.rank_lists(rotated, centroids)]
+        if not budget.adaptive(len(centroids), knobs.max_visited_codes, knobs.max_visited_pages):
+            return [e.list_id for e in ranked[: knobs.probes]], ranked
+        if matching is not None:
+            ranked = [replace(e, live=budget.filtered_live(e.live, e.pages, matching.get(e.list_id, 0)), pages=matching.get(e.list_id, 0)) for e in ranked]
+        return budget.cost_aware_probes(ranked, knobs.probes, knobs.max_visited_codes, knobs.max_visited_pages), ranked
+
     def plan(self, rotated: np.ndarray, knobs: QueryKnobs, filters: dict | None = None) -> tuple[list[int], ScanStats]:
         """The lists that a search reads, in rank order, and what it is to look at."""
         counts = self.lists()
         total_live, total_pages = sum(c[1] for c in counts), sum(c[2] for c in counts)
-        centroids = self.centroids()
-        if centroids is None:
+        if self.centroids() is None:
             stats = ScanStats(selected_lists=[0], selected_live_count=total_live, selected_page_count=total_pages, visited_code_count=total_live, visited_page_count=total_pages)
             stats.candidate_capacity = budget.candidate_capacity(knobs.probes, knobs.oversample_factor)
             return [0], stats
-        of = {c[0]: c for c in counts}
-        ranked = [budget.ListStats(i, s, of.get(i, (i, 0, 0))[1], of.get(i, (i, 0, 0))[2]) for i, s in router.rank_lists(rotated, centroids)]
-        bounded = budget.adaptive(len(centroids), knobs.max_visited_codes, knobs.max_visited_pages)
-        if bounded:
-            stored = {k: v for k, v in (filters or {}).items() if k in self.attribute_types}
-            if stored:
-                match = {r[0]: r[1] for r in self._matching_pages(stored).groupBy("list_id").count().collect()}
-                ranked = [replace(e, live=budget.filtered_live(e.live, e.pages, match.get(e.list_id, 0)), pages=match.get(e.list_id, 0)) for e in ranked]
-            chosen = budget.cost_aware_probes(ranked, knobs.probes, knobs.max_visited_codes, knobs.max_visited_pages)
-        else:
-            chosen = [e.list_id for e in ranked[: knobs.probes]]
+        bounded = budget.adaptive(len(self.centroids()), knobs.max_visited_codes, knobs.max_visited_pages)
+        chosen, ranked = self._choose(rotated, knobs, self._matching_counts(filters) if bounded else None)
         picked = {e.list_id: e for e in ranked if e.list_id in set(chosen)}
         live, pages = sum(e.live for e in picked.values()), sum(e.pages for e in picked.values())
         stats = ScanStats("ivf", "decoded", knobs.probes, chosen, live, pages, knobs.max_visited_codes, knobs.max_visited_pages, live, pages)
@@ -487,9 +500,79 @@ class VectorIndex:
 
         return rows.mapInArrow(decode, schema)
 
-    def search_batch(self, queries: DataFrame, k: int, query_id: str = "qid", query_emb: str = "embedding") -> DataFrame:
-        """``(qid, id, distance, rank)``: all codes against each of many queries, in blocks of queries."""
-        return batch_knn(self.decoded(), queries, k, self.options.metric, "id", "embedding", query_id, query_emb)
+    def search_batch(self, queries: DataFrame, k: int, query_id: str = "qid", query_emb: str = "embedding", knobs: QueryKnobs | None = None, filters: dict | None = None) -> DataFrame:
+        """``(qid, id, distance, rank)`` of many queries by their codes, as ``search`` has them one by one.
+
+        Without knobs all codes are compared. With knobs each query has the lists, budgets and candidate capacity that it
+        would have alone: a block of queries is routed, only lists that one of it probes are read, and
+        a batch of codes meets only the queries that probe its list. Filters act before ranking; all queries meet the
+        delta. Null queries are left out.
+        """
+        wanted = queries.where(F.col(query_emb).isNotNull()).select(query_id, query_emb)
+        if not self.dimension:
+            return self.spark.createDataFrame([], f"qid {queries.schema[query_id].dataType.simpleString()}, id {self.id_type}, distance double, rank bigint")
+        if knobs is None and not filters:
+            return batch_knn(self.decoded(), wanted, k, self.options.metric, "id", "embedding", query_id, query_emb)
+        knobs = knobs or QueryKnobs(probes=max(1, self.options.lists), oversample_factor=1024)
+        condition = filter_column(filters)
+        matching = self._matching_counts(filters)
+        names = ("id", "list_id", *CODE_COLUMNS, *self.attribute_types)
+        delta, parts = self._delta(), []
+        if delta is not None:
+            delta = delta.withColumn("list_id", F.lit(DELTA_LIST)).select(*names)
+        for block in query_blocks(wanted):
+            rotated = np.asarray([self._query(v) for _, v in block])
+            chosen = [self._choose(q, knobs, matching)[0] for q in rotated]
+            every = sorted({i for lists in chosen for i in lists})
+            rows = self._live(every if self.options.lists else None).select(*names)
+            if delta is not None:
+                rows = rows.unionByName(delta)
+                chosen = [[*lists, DELTA_LIST] for lists in chosen]
+            rows = rows if condition is None else rows.where(condition)
+            keep = min(k, budget.candidate_capacity(knobs.probes, knobs.oversample_factor))
+            parts.append(self._scored_block(rows, [i for i, _ in block], rotated, chosen, keep, queries.schema[query_id].dataType.simpleString()))
+            if len(parts) > 1:  # many blocks: each is done with before the next begins, so the driver holds one
+                parts[-1] = files.settle(parts[-1], "block")
+        if not parts:
+            return self.spark.createDataFrame([], f"qid {queries.schema[query_id].dataType.simpleString()}, id {self.id_type}, distance double, rank bigint")
+        found = reduce(DataFrame.unionByName, parts)
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+        keep = min(k, budget.candidate_capacity(knobs.probes, knobs.oversample_factor))
+        return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= keep)
+
+    def _scored_block(self, rows: DataFrame, ids: list, rotated: np.ndarray, chosen: list[list[int]], keep: int, kind: str) -> DataFrame:
+        """``(qid, id, distance)``: a task's best ``keep`` rows of each query, of the lists that the query probes."""
+        of: dict[int, list[int]] = {}
+        for n, lists in enumerate(chosen):
+            for i in lists:
+                of.setdefault(i, []).append(n)
+        shared = self.spark.sparkContext.broadcast((ids, rotated, {i: np.asarray(n) for i, n in of.items()}))
+        codec, metric = self.codec, self.options.metric
+        source = rows.select("id", "list_id", *CODE_COLUMNS)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q, probing = shared.value
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                lists = np.asarray(batch.column(1).to_pylist())
+                for place in np.unique(lists):
+                    asking = probing.get(int(place))
+                    if asking is None:
+                        continue
+                    for inside in np.array_split(np.flatnonzero(lists == place), max(1, (lists == place).sum() // 4096)):
+                        part = batch.take(pa.array(inside))
+                        codes, signs = codec.unpack(part.column(2).to_pylist(), part.column(3).to_pylist())
+                        decoded = codec.decode(codes, signs, part.column(4).to_numpy(zero_copy_only=False))
+                        fresh = np.round(batch_distances(metric, q[asking], decoded), 6) + 0.0
+                        own = np.asarray(part.column(0).to_pylist())
+                        for row, n in enumerate(asking.tolist()):
+                            keys, distances = best.get(n, (own[:0], fresh[0][:0]))
+                            best[n] = nearest(np.concatenate((keys, own)), np.concatenate((distances, fresh[row])), keep)
+            if best:
+                out = [(names[n], key, d) for n, (keys, distances) in best.items() for key, d in zip(keys.tolist(), distances.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["qid", "id", "distance"])
+
+        return source.mapInArrow(run, f"qid {kind}, id {self.id_type}, distance double")
 
     def _completed(self, chosen: list[int], condition, knobs: QueryKnobs, stats: ScanStats) -> list[int]:
         """As many of the ranked lists, in order, as give the wanted number of rows; one count by list."""
@@ -503,17 +586,37 @@ class VectorIndex:
         stats.selected_lists = taken
         return taken
 
-    def candidates(self, query: Sequence[float], candidates: int, final: int | None = None, filters: dict | None = None) -> DataFrame:
-        """``(candidate_id, approximate_rank, approximate_distance)``: distances are exact, of the rows that the index found."""
-        knobs = QueryKnobs(**budget.resolve_knobs(candidates, final or candidates))
+    def candidates(self, query: Sequence[float], candidates: int, final: int | None = None, filters: dict | None = None, knobs: QueryKnobs | None = None) -> DataFrame:
+        """``(candidate_id, approximate_rank, approximate_distance)`` of the rows that the index finds; distances are of their vectors.
+
+        Knobs that aren't given follow from the two limits.
+        """
+        knobs = knobs or QueryKnobs(**budget.resolve_knobs(candidates, final or candidates))
         found, _ = self.search(query, candidates, knobs, filters)
-        base = self.rows().join(F.broadcast(found.select("id")), "id")
-        exact = base.select("id", V.rounded(V.distance(self.options.metric, F.col("embedding"), V.vector(query))).alias("distance"))
-        return ranked_candidates(exact)
+        return ranked_candidates(exact_rerank(self.rows(), found, query, candidates, self.options.metric))
+
+    def rerank(self, query: Sequence[float], candidates: int, final: int, filters: dict | None = None, knobs: QueryKnobs | None = None) -> DataFrame:
+        """Candidates with ``exact_rank`` and ``exact_distance``, the final best by the rounded distance and text id.
+
+        The index finds an effective number of candidates; the exact distance is computed from the vectors of the live rows.
+        """
+        told = knobs or QueryKnobs(**budget.resolve_knobs(candidates, final))
+        limit = budget.effective_limit(candidates, final, told.decode_rescore_factor, told.decode_rescore_extra_candidates)
+        found = self.candidates(query, limit, filters=filters, knobs=replace(told, oversample_factor=max(told.oversample_factor, math.ceil(limit / told.probes))))
+        vectors = self.rows().select(F.col("id").cast("string").alias("candidate_id"), "embedding")
+        exact = V.rounded(V.distance(self.options.metric, F.col("embedding"), V.vector(query)))
+        joined = found.join(vectors, "candidate_id").withColumn("exact_distance", exact).drop("embedding")
+        rank = F.row_number().over(Window.orderBy("exact_distance", "candidate_id"))
+        return joined.withColumn("exact_rank", rank.cast("long")).where(F.col("exact_rank") <= final)
 
     # ------------------------------------------------------------------ writes
     def _next_seq(self) -> int:
-        return 1 + sum(len(files.children(self.spark, self._file(n))) for n in ("delta", "tombstones"))
+        """A number above all that were taken. It is taken by making its folder, which only one writer can."""
+        while True:
+            taken = [int(n.removeprefix("seq=")) for n in files.children(self.spark, self._file("taken"))]
+            seq = max(taken, default=0) + 1
+            if files.make_new(self.spark, self._file(f"taken/seq={seq:06d}")):
+                return seq
 
     def insert(self, df: DataFrame, id_col: str = "id", emb_col: str = "embedding") -> None:
         """Append rows to the delta. An index without rows takes its dimension from them and is built anew."""
@@ -558,24 +661,38 @@ class VectorIndex:
         return {"action": "_and_".join(acts) or "noop", "before": before["maintenance_action_recommended"], "after": after["maintenance_action_recommended"], **merged}
 
     # ------------------------------------------------------------------ introspection
+    def list_health(self) -> DataFrame:
+        """``(list_id, live, dead, delta, pages, reclaimable_pages)`` of each list that has rows; a page whose rows are all dead is reclaimable."""
+        pages = self.spark.read.parquet(self._file("pages")).select("list_id", "page_id", "live_count")
+        tombstones, delta = self._tombstones(), self._delta()
+        gone = F.lit(0).cast("long")
+        if tombstones is not None:
+            dead = self._codes().select("id", "list_id", "page_id").join(tombstones, "id", "left_semi").groupBy("list_id", "page_id").agg(F.count("*").alias("gone"))
+            pages, gone = pages.join(dead, ["list_id", "page_id"], "left"), F.coalesce("gone", F.lit(0))
+        lists = pages.groupBy("list_id").agg(
+            F.sum(F.col("live_count") - gone).alias("live"), F.sum(gone).alias("dead"), F.count("*").alias("pages"), F.sum((gone == F.col("live_count")).cast("long")).alias("reclaimable_pages")
+        )
+        if delta is None:
+            return lists.select("list_id", "live", "dead", F.lit(0).cast("long").alias("delta"), "pages", "reclaimable_pages")
+        fresh = delta.groupBy("list_id").agg(F.count("*").alias("delta"))
+        none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        return lists.join(fresh, "list_id", "full").select("list_id", *map(none, ("live", "dead", "delta", "pages", "reclaimable_pages")))
+
     def metadata(self, knobs: MaintenanceKnobs | None = None) -> dict:
         """Format, options, router, list distribution, delta health and what upkeep is advised."""
-        counts = self.lists()
-        delta = self._delta()
-        delta_live, delta_lists = (0, 0) if delta is None else tuple(delta.agg(F.count("*"), F.countDistinct("list_id")).first())
-        tombstones = self._tombstones()
-        dead = 0 if tombstones is None else self._codes().join(tombstones, "id", "left_semi").count()
-        stored, pages = sum(c[1] for c in counts), sum(c[2] for c in counts)
+        lists = self.list_health().collect() if self.dimension else []
+        total = lambda name: sum(r[name] for r in lists)
+        delta_live, delta_lists, dead, pages = total("delta"), sum(r["delta"] > 0 for r in lists), total("dead"), total("pages")
         lanes = lane_count(self.codec.code_bytes, len(self.options.attributes)) if self.dimension else 16
         delta_pages = math.ceil(delta_live / lanes)
-        live = stored - dead + delta_live
+        live, reclaimable = total("live") + delta_live, total("reclaimable_pages")
         return {
             "format_version": FORMAT_VERSION, "version": self.version, "metric": self.options.metric, "options": self.options.as_dict(), "dimension": self.dimension,
             "transform": {"kind": "hadamard", "output_dimension": self.codec.size if self.dimension else 0}, "code_bytes": self.codec.code_bytes if self.dimension else 0,
-            "list_count": self.options.lists, "router": self.router, "live_count": live, "dead_count": dead, "page_count": pages + delta_pages,
-            "list_distribution": list_distribution([c[1] for c in counts], self.options.lists), "delta_live_count": delta_live,
+            "list_count": self.options.lists, "router": self.router, "live_count": live, "dead_count": dead, "page_count": pages + delta_pages, "reclaimable_pages": reclaimable,
+            "list_distribution": list_distribution([r["live"] + r["dead"] for r in lists], self.options.lists), "delta_live_count": delta_live,
             "delta_health": {"lists": delta_lists, "page_depth": delta_pages, "delta_page_depth": delta_pages},
-            "maintenance_action_recommended": budget.maintenance_action(live, delta_live, delta_pages, dead, 0, knobs or MaintenanceKnobs()),
+            "maintenance_action_recommended": budget.maintenance_action(live, delta_live, delta_pages, dead, reclaimable, knobs or MaintenanceKnobs()),
             "capabilities": {"ordered_scan": True, "bitmap_filter": True, "index_only_scan": True, "parallel_scan": True, "multicolumn": bool(self.options.attributes), "unique": False},
         }
 

@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from lodevec.functions import vectors as V
 from lodevec.plans.budget import candidate_capacity, effective_limit, resolve_knobs
 from lodevec.plans.options import MOST_ANY_VALUES, QueryKnobs
+from lodevec.sources.files import settle
 
 #: Queries that go to all tasks at a time; a block is this many vectors at most.
 QUERY_BLOCK = 2048
+#: Rows of an Arrow batch that meet a block of queries at a time.
+SLICE = 1024
 
 
 def filter_column(filters: dict | None) -> Column | None:
@@ -90,7 +93,11 @@ def batch_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def batch_knn(
     corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", emb_col: str = "embedding", query_id: str = "qid", query_emb: str = "embedding"
 ) -> DataFrame:
-    """The k nearest rows of each query: ``(qid, id, distance, rank)``."""
+    """The k nearest rows of each query: ``(qid, id, distance, rank)``.
+
+    Queries go out in blocks. Of several blocks each is written before the next begins, so the driver holds one. Null
+    vectors never match; repeated query ids share one ranking; without queries there are no rows.
+    """
     V.check_metric(metric)
     kind, asked = corpus.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     source = corpus.where(F.col(emb_col).isNotNull()).select(id_col, emb_col)
@@ -99,32 +106,48 @@ def batch_knn(
     for block in query_blocks(wanted):
         shared = corpus.sparkSession.sparkContext.broadcast(block)
         parts.append(source.mapInArrow(_nearest_in_batches(shared, k, metric), f"qid {asked}, id {kind}, distance double"))
+        if len(block) == QUERY_BLOCK:
+            parts[-1] = settle(parts[-1], "block")
+            shared.destroy()
     if not parts:
         return corpus.sparkSession.createDataFrame([], f"qid {asked}, id {kind}, distance double, rank bigint")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return reduce(DataFrame.unionByName, parts).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def nearest(keys: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of least distance, of equals those of least key, in order."""
+    if len(keys) > k:
+        inside = distances <= np.partition(distances, k - 1)[k - 1]
+        keys, distances = keys[inside], distances[inside]
+    order = np.lexsort((keys, distances))[:k]
+    return keys[order], distances[order]
+
+
 def _nearest_in_batches(shared, k: int, metric: str):
     """A task keeps the best k rows of each query over all its batches, and passes on only these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [q for q, _ in shared.value]
         q = np.asarray([v for _, v in shared.value], np.float64)
-        keys = distances = None
+        best: list[tuple[np.ndarray, np.ndarray]] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = np.asarray(batch.column(1).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            fresh = np.round(batch_distances(metric, q, x), 6) + 0.0
-            own = np.broadcast_to(np.asarray(batch.column(0).to_pylist()), fresh.shape)
-            if keys is not None:
-                own, fresh = np.concatenate((keys, own), axis=1), np.concatenate((distances, fresh), axis=1)
-            best = np.lexsort((own, fresh), axis=1)[:, :k]
-            keys, distances = np.take_along_axis(own, best, 1), np.take_along_axis(fresh, best, 1)
-        if keys is not None:
-            rows = np.repeat(np.arange(len(ids)), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in rows]), pa.array(keys.ravel().tolist()), pa.array(distances.ravel())], ["qid", "id", "distance"])
+            names = np.asarray(batch.column(0).to_pylist())
+            for at in range(0, len(x), SLICE):  # a slice of rows by all queries is what is held at a time
+                fresh = np.round(batch_distances(metric, q, x[at : at + SLICE]), 6) + 0.0
+                own = names[at : at + SLICE]
+                if best is None:
+                    best = [(own[:0], fresh[0, :0])] * len(ids)
+                border = np.asarray([d[-1] if len(d) == k else np.inf for _, d in best])
+                for n in np.flatnonzero((fresh <= border[:, None]).any(1)).tolist():
+                    inside = fresh[n] <= border[n]
+                    keys, distances = best[n]
+                    best[n] = nearest(np.concatenate((keys, own[inside])), np.concatenate((distances, fresh[n][inside])), k)
+        for n, (keys, distances) in enumerate(best or []):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[n]] * len(keys)), pa.array(keys.tolist()), pa.array(distances)], ["qid", "id", "distance"])
 
     return run
 
@@ -150,13 +173,15 @@ def rerank_candidates(
     knobs = knobs or QueryKnobs()
     limit = effective_limit(candidates, final, knobs.decode_rescore_factor, knobs.decode_rescore_extra_candidates)
     found = approx_candidates(df, query, limit, metric, id_col, emb_col, filters)
-    exact = F.row_number().over(Window.orderBy("approximate_distance", "candidate_id"))
-    return found.withColumns({"exact_rank": exact.cast("long"), "exact_distance": F.col("approximate_distance")}).where(F.col("exact_rank") <= final)
+    vectors = df.select(F.col(id_col).cast("string").alias("candidate_id"), F.col(emb_col).alias("vector"))
+    exact = found.join(vectors, "candidate_id").withColumn("exact_distance", V.rounded(V.distance(metric, F.col("vector"), V.vector(query)))).drop("vector")
+    rank = F.row_number().over(Window.orderBy("exact_distance", "candidate_id"))
+    return exact.withColumn("exact_rank", rank.cast("long")).where(F.col("exact_rank") <= final)
 
 
 def exact_rerank(base: DataFrame, candidates: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", id_col: str = "id", emb_col: str = "embedding") -> DataFrame:
-    """Exact distances of a candidate set; a bounded set, so it is broadcast to the base table."""
-    joined = base.join(F.broadcast(candidates.select(id_col).distinct()), id_col)
+    """Exact distances of a candidate set. Whether the set is broadcast is left to its measured size."""
+    joined = base.join(candidates.select(id_col).distinct(), id_col)
     return exact_knn(joined, query, k, metric, id_col, emb_col)
 
 
@@ -167,11 +192,15 @@ def staged_union(stages: Sequence[tuple[DataFrame, int]], k: int, id_col: str =
 
 
 def fetch_late(base: DataFrame, found: DataFrame, columns: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Carries columns, as texts, only for the rows that were found."""
-    return base.select(id_col, *columns).join(F.broadcast(found), id_col)
+    """Carries columns, as texts, only for the rows that were found. Ids without a row in ``base`` are left out."""
+    return base.select(id_col, *columns).join(found, id_col)
 
 
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """The first row of each key by ``order``, of equals the one whose columns come first; null keys are one key.
+
+    Rows are cut down before the shuffle, so a key with many rows costs one row a task.
+    """
+    rest = [c for c in df.columns if c not in (key, order)]
+    found = df.groupBy(key).agg(F.min(F.struct(order, *rest)).alias("first_of_key"))
+    return found.select(*(F.col(c) if c == key else F.col("first_of_key")[c].alias(c) for c in df.columns))

@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared one that the session names; a local temporary one only where none is named."""
+    """A fresh folder below the shared one that the session names. Without one a local session takes a temporary folder; a cluster can't."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lodevec-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -52,6 +54,30 @@ def read_text(spark: SparkSession, path: str) -> str:
         source.close()
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to shared scratch space and read it again, which cuts its lineage."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def make_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty file that isn't there yet; false where it is."""
+    store, where = _store(spark, path)
+    try:
+        store.create(where, False).close()
+    except Exception as failed:
+        if store.exists(where):
+            return False
+        raise failed
+    return True
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    store, where = _store(spark, path)
+    return store.delete(where, True)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     store, where = _store(spark, path)
     return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []

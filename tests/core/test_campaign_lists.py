@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodevec.operators import campaign, router
 from lodevec.operators.index import VectorIndex
-from lodevec.plans.options import IndexOptions
+from lodevec.plans.options import IndexOptions, QueryKnobs
 
 
 def test_float_lists_probe_lists_of_plain_vectors(spark, tmp_path):
@@ -18,11 +18,11 @@ def test_float_lists_probe_lists_of_plain_vectors(spark, tmp_path):
     owner = router.assign(rotated, centroids)
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
     for probes in (1, 2, 6):
-        got = {r.qid: list(r.retrieved) for r in campaign.retrieve(built, asked, 10, "float_lists", probes=probes).collect()}
+        got = {r.qid: list(r.retrieved) for r in campaign.retrieve(built, asked, 10, "float_lists_approx", knobs=QueryKnobs(probes=probes)).collect()}
         for q in range(0, 300, 30):
             inside = np.flatnonzero(np.isin(owner, router.first_probes(rotated[q], centroids, probes)))
             order = np.lexsort((inside, np.round(1 - unit[inside] @ unit[q], 6)))
             assert got[q] == [str(i) for i in inside[order][:10]]
     flat = VectorIndex.build(rows, f"file://{tmp_path}/flat", IndexOptions(bits=2))
     with pytest.raises(ValueError):
-        campaign.check_request(flat, "cosine", "float_lists", 5, 5)
+        campaign.check_request(flat, "cosine", "float_lists_approx", 5, 5)

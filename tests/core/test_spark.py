@@ -9,6 +9,7 @@ from lodevec.functions import register, text
 from lodevec.functions import vectors as V
 from lodevec.operators import campaign, evaluate, knn
 from lodevec.operators.index import BrokenIndex, VectorIndex
+from lodevec.plans import budget
 from lodevec.plans.options import IndexOptions, QueryKnobs
 from lodevec.sources import files, fixtures, ingest, reports
 from lodevec.streaming.churn import index_sink
@@ -137,7 +138,7 @@ def test_empty_and_broken_indexes(spark, rows, tmp_path):
     assert index.search([1.0] * 64, 3)[0].count() == 0
     index.insert(rows)
     assert VectorIndex.load(spark, path).search(rows.first()["embedding"], 1)[0].first()[0] == 0
-    with pytest.raises(ValueError, match="unit-norm query"):
+    with pytest.raises(ValueError, match="of length one"):
         index.search([1.0] * 64, 3)
     with pytest.raises(ValueError, match="dimensions"):
         index.search([1.0], 3)
@@ -211,9 +212,19 @@ def test_addresses_and_configs():
         ingest.parse_address("s3://x")
     good = {"harness": "beir", "dataset_id": "d", "top_k": 2, "metric": "cosine"}
     assert reports.check_config(good, "regression") == good
-    for bad in ({"harness": "beir"}, good | {"top_k": 0}, good | {"harness": "x"}):
-        with pytest.raises(ValueError):
+    for bad, told in (({"harness": "beir"}, "dataset_id isn't there; top_k isn't there"), (good | {"top_k": 0}, "top_k is 0"), (good | {"harness": "x"}, "beir or lotte")):
+        with pytest.raises(ValueError, match=told):
             reports.check_config(bad, "regression")
+    pack = {"dataset_id": "d", "display_name": "D", "source": {"kind": "hf", "split": "test"}, "retrieval_profile": {"top_k_default": 5}, "evidence": {"enabled": False}, "answer_metrics": [], "stable_passage_id_fields": ["id"]}
+    assert reports.check_config(pack, "dataset") == pack
+    for name, value in (("source", {"kind": "hf"}), ("source", None), ("retrieval_profile", {"top_k_default": -1}), ("evidence", {}), ("stable_passage_id_fields", [])):
+        with pytest.raises(ValueError, match=name):
+            reports.check_config(pack | {name: value}, "dataset")
+
+
+def test_fixture_queries(spark):
+    row = reports.fixture_queries(spark, [{"query_id": 7, "query_text": "who?", "query_vector": [1, 0.5], "relevant_ids": [3, "x"]}]).first()
+    assert tuple(row) == ("7", "who?", [1.0, 0.5], ["3", "x"])
 
 
 def test_reports(spark, tmp_path):
@@ -223,12 +234,89 @@ def test_reports(spark, tmp_path):
         assert part in files.read_text(spark, f"file://{tmp_path}/r.{kind}")
 
 
+def test_percentiles_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    data = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 40, {"a": 700, "b": 5, None: 60}[g])] + [("a", 3.0)] * 900 + [("c", None)]
+    frame = spark.createDataFrame(data, "g string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    for nearest in (False, True):
+        got = {r.g: list(r)[1:] for r in evaluate.percentiles(frame, "v", shares, ["g"], nearest).collect()}
+        assert set(got) == {"a", "b", None}
+        for g, found in got.items():
+            values = sorted(v for k, v in data if k == g)
+            want = [values[max(1, int(np.ceil(round(p * len(values), 9)))) - 1] if nearest else np.percentile(values, 100 * p) for p in shares.values()]
+            assert np.allclose(found, want)
+    assert evaluate.percentiles(frame, "v", {"m": 0.5}).first().m == np.percentile([v for _, v in data if v is not None], 50)
+    assert evaluate.percentiles(frame.where("false"), "v", {"m": 0.5}).count() == 0
+
+
+def test_exact_fraction_and_comparisons(spark):
+    pairs = spark.createDataFrame([([1, 2], [2, 1]), ([1], [1, 2]), (None, []), ([3, 3], [3])], "found array<int>, wanted array<int>")
+    assert tuple(evaluate.exact_fraction(pairs).first()) == (4, 0.75, 1.0)
+    rows = spark.createDataFrame([("d", "a", 0.5, 2.0), ("d", "b", 0.4, None), ("e", "a", 0.0, 1.0), ("e", "b", 1.0, 1.0)], "dataset string, system_id string, recall double, ms double")
+    got = {(r.dataset, r.candidate, r.baseline, r.metric): (r.difference, r.ratio) for r in evaluate.comparisons(rows, ["recall", "ms"], ["a"]).collect()}
+    assert got == {("d", "b", "a", "recall"): (-0.1, 0.8), ("e", "b", "a", "recall"): (1.0, None), ("e", "b", "a", "ms"): (0.0, 1.0)}
+
+
+def test_labels_have_a_bound(spark):
+    frame = spark.range(20).select(F.col("id").alias("kind"))
+    assert evaluate.scan_stat_summary(frame, [], ["kind"]).first()["values"] == sorted(map(str, range(20)))
+    with pytest.raises(PySparkException):
+        evaluate.scan_stat_summary(frame, [], ["kind"], most=5).collect()
+
+
+def test_batch_search_is_search(spark, rows, built):
+    """With knobs, filters and a delta each query of a batch has the rows that it has alone."""
+    asked = rows.where("id % 60 = 0").select(F.col("id").alias("qid"), "embedding")
+    for knobs, filters in ((QueryKnobs(probes=2), None), (QueryKnobs(probes=6, max_visited_codes=150), None), (QueryKnobs(probes=3, oversample_factor=4), {"tenant": [1, 2]}), (QueryKnobs(probes=2), {"label": None})):
+        found = {}
+        for r in built.search_batch(asked, 8, knobs=knobs, filters=filters).orderBy("qid", "rank").collect():
+            found.setdefault(r.qid, []).append(r.id)
+        for r in asked.collect():
+            alone = built.search(r.embedding, 8, knobs, filters)[0].withColumn("score", F.round("score", 6)).orderBy("score", "id").collect()
+            assert found.get(r.qid, []) == [a.id for a in alone]
+
+
+def test_list_health_and_reclaimable_pages(spark, rows, tmp_path):
+    index = VectorIndex.build(rows, f"file://{tmp_path}/i", IndexOptions(lists=3, attributes=("label", "tenant")))
+    first = index._codes().where("list_id = 0").select("id")
+    dead = first.count()
+    index.delete(first)
+    index.insert(rows.where("id = 3").withColumn("id", F.lit(99_999).cast("long")))
+    health = {r.list_id: r for r in index.list_health().collect()}
+    assert health[0].live == 0 and health[0].dead == dead and health[0].reclaimable_pages == health[0].pages and health[1].reclaimable_pages == 0
+    assert sum(r.delta for r in health.values()) == 1 and index.metadata()["reclaimable_pages"] == health[0].pages
+    assert "compact" in index.metadata()["maintenance_action_recommended"]
+    assert files.make_new(spark, f"file://{tmp_path}/x") and not files.make_new(spark, f"file://{tmp_path}/x")
+
+
+def test_campaign_run_and_its_report(spark, rows, built, tmp_path):
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("qid"), "embedding")
+    truth = knn.batch_knn(rows, asked, 5).groupBy(F.col("qid").alias("query_id")).agg(F.collect_list(F.col("id").cast("string")).alias("relevant")).withColumn("evidence", F.col("relevant"))
+    questions = asked.select(F.col("qid").alias("query_id"), F.concat(F.lit("which is "), F.col("qid")).alias("question"))
+    passages = rows.select("id", F.concat(F.lit("it is "), F.col("id")).alias("text"))
+    references = asked.select(F.col("qid").alias("query_id"), F.array(F.col("qid").cast("string")).alias("references"))
+    data = campaign.Dataset(built, asked, truth, questions, passages, references)
+    tables = campaign.run({"d": data}, ("quantized_approx", "quantized_rerank", "exact_approx"), 5, timed=1, generator=lambda p: p.split("it is ")[1].split()[0], generator_id="first")
+    got = {r.system_id: r for r in tables["retrieval"].collect()}
+    assert got["exact_approx"].recall == 1.0 and got["quantized_rerank"].recall >= got["quantized_approx"].recall and all(r.p50_ms > 0 and r.batch_qps > 0 for r in got.values())
+    assert {r.system_id: r.exact_match for r in tables["answers"].collect()} == {"exact_approx": 1.0, "quantized_approx": 1.0, "quantized_rerank": 1.0}
+    assert [r.method for r in tables["two_stage"].collect()] == ["quantized"]
+    assert {(r.candidate, r.metric) for r in tables["comparisons"].collect()} >= {("quantized_rerank", "recall"), ("quantized_approx", "ndcg")}
+    names = reports.write_tables(tables, f"file://{tmp_path}/report", "Campaign", {"k": 5})
+    assert {"retrieval.csv", "report.json", "report.md", "report.html"} <= set(names)
+    told = json.loads(files.read_text(spark, f"file://{tmp_path}/report/report.json"))
+    assert told["k"] == 5 and len(told["tables"]["retrieval"]) == 3 and "## retrieval" in files.read_text(spark, f"file://{tmp_path}/report/report.md")
+    meta = campaign.run_metadata(built, "quantized_rerank", 5, filters={"tenant": {2, 1}}, payload=["label"])
+    assert meta["filters"] == {"tenant": [1, 2]} and meta["covering"] and meta["filters_in_index"] == ["tenant"] and meta["rerank_depth"] == 500  # as many as there are rows
+
+
 def test_campaign(spark, rows, built):
     asked = rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
     truth = knn.batch_knn(rows, asked, 10).groupBy(F.col("qid").alias("query_id")).agg(F.collect_list(F.col("id").cast("string")).alias("relevant")).withColumn("evidence", F.col("relevant"))
-    got = {s: campaign.run_retrieval(built, asked, truth, 10, s).first() for s in ("quantized_approx", "quantized_rerank", "exact")}
-    assert got["exact"].recall == 1.0 and got["quantized_rerank"].recall >= 0.99 > got["quantized_approx"].recall > 0.7
-    assert campaign.rerank_depth("quantized_rerank", 10, 20, 500) == 500 and campaign.rerank_depth("exact", 10, 20) == 20
+    got = {s: campaign.run_retrieval(built, asked, truth, 10, s).first() for s in ("quantized_approx", "quantized_rerank", "exact_approx")}
+    assert got["exact_approx"].recall == 1.0 and got["quantized_rerank"].recall >= 0.99 > got["quantized_approx"].recall > 0.7
+    assert campaign.rerank_depth("quantized_rerank", 10, 20, 500) == 500 and campaign.rerank_depth("exact_rerank", 10, 20) == 20
     row = spark.createDataFrame([("d", "s", None)], "dataset string, system_id string, recall double")
     assert not any(r.passed for r in campaign.gate(row, campaign.Gate("d", "s", 0.9, 1, 1, "x", 8)).collect())
     assert campaign.gate(row, campaign.Gate("d", "t", 0.9, 1, 1, "x", 8)).first().name == "row_present"
@@ -248,8 +336,13 @@ def test_sql_functions(spark):
 def test_sql_table_function_and_requests(spark, built):
     register.register(spark)
     assert tuple(spark.sql("SELECT * FROM vec_resolved_knobs(24, 10)").first()) == (3, 8, 192, 0)
-    campaign.check_request(built, "cosine", "exact", 5, 5)
-    for bad in (("ip", "exact", 5, 5), ("cosine", "hnsw", 5, 5), ("cosine", "exact", 5, 4), ("cosine", "exact", 0, 4)):
+    meta = json.dumps({"list_count": 64, "page_count": 640, "live_count": 100_000, "list_distribution": {"max_list_over_avg": 4.0}})
+    want = budget.recommend_knobs(100, 10, json.loads(meta), 0.1)
+    assert tuple(spark.sql(f"SELECT * FROM vec_recommended_knobs(100, 10, '{meta}', 0.1D, NULL)").first()) == tuple(want.values())
+    register.register_search(spark, built, "near", built.rows().first()["embedding"], 20, 5)
+    assert spark.sql("SELECT count(*) FROM near_candidates").first()[0] == 20 and spark.sql("SELECT max(exact_rank) FROM near_reranked").first()[0] == 5
+    campaign.check_request(built, "cosine", "exact_approx", 5, 5)
+    for bad in (("ip", "exact_approx", 5, 5), ("cosine", "hnsw", 5, 5), ("cosine", "exact_approx", 5, 4), ("cosine", "exact_approx", 0, 4)):
         with pytest.raises(ValueError):
             campaign.check_request(built, *bad)
 
