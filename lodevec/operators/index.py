@@ -3,7 +3,8 @@
 A folder holds versions. Version n has ``meta-n.json``, which is written last and commits it, and tables: ``codes``
 by list (id, page, packed code, attributes and the exact vector), ``lists`` and ``pages`` with their statistics,
 ``centroids``. Inserts and deletes since are in ``delta`` and ``tombstones`` of that version, each
-row with a sequence number; a merge writes the next version.
+row with a sequence number. A merge writes the next version, with the lists that changes touched; the metadata say
+which version has the codes and pages of each other list.
 
 Lists are partitions of ``codes``, so the lists that a search probes are all that is read. Filters and column
 selection stand before the Python scoring, so they reach the scan.
@@ -94,6 +95,8 @@ class VectorIndex:
     id_type: str
     attribute_types: dict[str, str]
     router: dict
+    #: Lists whose codes and pages are in an older version, by that version.
+    kept: dict[int, list[int]] = field(default_factory=dict)
     memo: dict = field(default_factory=dict, repr=False)
 
     # ------------------------------------------------------------------ build and load
@@ -127,7 +130,7 @@ class VectorIndex:
             meta = json.loads(files.read_text(spark, f"{path}/meta-{max(versions)}.json"))
             if meta["format_version"] != FORMAT_VERSION:
                 raise BrokenIndex(f"index format {meta['format_version']} isn't supported; rebuild the index")
-            return cls(spark, path, meta["version"], IndexOptions.from_dict(meta["options"]), meta["dimension"], meta["id_type"], meta["attribute_types"], meta["router"])
+            return cls(spark, path, meta["version"], IndexOptions.from_dict(meta["options"]), meta["dimension"], meta["id_type"], meta["attribute_types"], meta["router"], {int(v): lists for v, lists in meta.get("kept", {}).items()})
         except (KeyError, TypeError, json.JSONDecodeError) as broken:
             raise BrokenIndex(f"the metadata of {path} is damaged") from broken
 
@@ -228,7 +231,9 @@ class VectorIndex:
         # adaptive execution splits the partitions of large lists
         return encoded.hint("rebalance", "list_id").sortWithinPartitions("list_id", "id").mapInArrow(page, schema)
 
-    def _write_version(self, rows: DataFrame, centroids: np.ndarray | None = None) -> None:
+    def _write_version(self, rows: DataFrame, centroids: np.ndarray | None = None, kept: dict[int, list[int]] | None = None, lists_kept: list[tuple] = ()) -> None:
+        """Write rows as this version, beside the lists of older versions with their rows of the table ``lists``."""
+        kept = kept or {}
         if self.dimension and centroids is None:
             centroids = self._train(rows)
         if self.dimension:
@@ -237,13 +242,14 @@ class VectorIndex:
             more = "list_id int, idx binary, sgn binary, gamma float, page_id bigint, page_first boolean, from_first float"
             coded = self.spark.createDataFrame([], T.StructType([*rows.schema.fields, *T._parse_datatype_string(more).fields]))
         coded.write.partitionBy("list_id").parquet(self._file("codes"))
-        codes = self._codes()
-        self._synopsis(codes).write.parquet(self._file("pages"))
+        codes = self._codes_of(self.version)
+        self._synopsis(codes).write.partitionBy("list_id").parquet(self._file("pages"))
         lists = codes.groupBy("list_id").agg(F.count("*").alias("live_count"), F.countDistinct("page_id").alias("page_count"))
-        lists.coalesce(1).write.parquet(self._file("lists"))
-        kept = [] if centroids is None else [(i, c.tolist()) for i, c in enumerate(centroids)]
-        self.spark.createDataFrame(kept, "list_id int, centroid array<double>").coalesce(1).write.parquet(self._file("centroids"))
-        meta = {"format_version": FORMAT_VERSION, "version": self.version, "options": self.options.as_dict(), "dimension": self.dimension, "id_type": self.id_type, "attribute_types": self.attribute_types, "router": self.router}
+        lists.unionByName(self.spark.createDataFrame(list(lists_kept), "list_id int, live_count bigint, page_count bigint")).coalesce(1).write.parquet(self._file("lists"))
+        rows_of = [] if centroids is None else [(i, c.tolist()) for i, c in enumerate(centroids)]
+        self.spark.createDataFrame(rows_of, "list_id int, centroid array<double>").coalesce(1).write.parquet(self._file("centroids"))
+        meta = {"format_version": FORMAT_VERSION, "version": self.version, "options": self.options.as_dict(), "dimension": self.dimension, "id_type": self.id_type, "attribute_types": self.attribute_types, "router": self.router, "kept": kept}
+        self.kept = kept
         files.write_text(self.spark, f"{self.path}/meta-{self.version}.json", json.dumps(meta))
 
     def _synopsis(self, codes: DataFrame) -> DataFrame:
@@ -257,9 +263,25 @@ class VectorIndex:
         attributes = "".join(f", `{a}` {t}" for a, t in self.attribute_types.items())
         return T._parse_datatype_string(f"id {self.id_type}, embedding array<float>{attributes}")  # type: ignore[return-value]
 
-    def _codes(self) -> DataFrame:
+    def _codes_of(self, version: int) -> DataFrame:
         more = "idx binary, sgn binary, gamma float, page_id bigint, page_first boolean, from_first float, list_id int"
-        return self.spark.read.schema(T.StructType([*self._row_schema().fields, *T._parse_datatype_string(more).fields])).parquet(self._file("codes"))
+        return self.spark.read.schema(T.StructType([*self._row_schema().fields, *T._parse_datatype_string(more).fields])).parquet(f"{self.path}/v{version}/codes")
+
+    def _pages_of(self, version: int) -> DataFrame:
+        firsts = "first_idx binary, first_sgn binary, first_gamma float"
+        ranges = "".join(f", `{a}_min` {t}, `{a}_max` {t}, `{a}_null_any` boolean, `{a}_null_all` boolean, `{a}_all_same` boolean" for a, t in self.attribute_types.items())
+        schema = T._parse_datatype_string(f"page_id bigint, live_count bigint, radius float, {firsts}{ranges}, list_id int")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/v{version}/pages")
+
+    def _parted(self, read: Callable[[int], DataFrame]) -> DataFrame:
+        """A table of this version and, of older ones, the lists that are still theirs; these are partition filters."""
+        return reduce(DataFrame.unionByName, (read(v).where(F.col("list_id").isin(lists)) for v, lists in self.kept.items()), read(self.version))
+
+    def _codes(self) -> DataFrame:
+        return self._parted(self._codes_of)
+
+    def _pages(self) -> DataFrame:
+        return self._parted(self._pages_of)
 
     def _changes(self, name: str, schema: T.StructType) -> DataFrame | None:
         return self.spark.read.schema(schema).parquet(self._file(name) + "/*") if files.children(self.spark, self._file(name)) else None
@@ -332,7 +354,7 @@ class VectorIndex:
 
     def _matching_pages(self, filters: dict) -> DataFrame:
         """Pages whose ranges don't rule the filters out."""
-        pages = self.spark.read.parquet(self._file("pages"))
+        pages = self._pages()
         for name, value in filters.items():
             if value is None:
                 pages = pages.where(F.col(f"{name}_null_any"))
@@ -445,7 +467,7 @@ class VectorIndex:
         A page's rows lie within its radius of its first row, and an inner product changes by at most
         the query's length times that distance.
         """
-        pages = self.spark.read.parquet(self._file("pages")).select("list_id", "page_id", *(F.col(f"first_{c}").alias(c) for c in CODE_COLUMNS), "radius")
+        pages = self._pages().select("list_id", "page_id", *(F.col(f"first_{c}").alias(c) for c in CODE_COLUMNS), "radius")
         codec, length = self.codec, float(np.sqrt((rotated**2).sum()))
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -624,7 +646,7 @@ class VectorIndex:
         if not self.dimension:
             first = rows.select(F.size("embedding")).first()
             if first:
-                self.dimension, self.version = first[0], self.version + 1
+                self.dimension, self.version = first[0], self._free_version()
                 self._write_version(self._prepared(rows))
             return
         seq = self._next_seq()
@@ -640,17 +662,38 @@ class VectorIndex:
         self.insert(df, id_col, emb_col)
 
     def merge(self) -> dict:
-        """Write all live rows as the next version, with the same centroids."""
-        before = self.metadata()
-        rows, centroids = self.rows(), self.centroids()
-        old, self.version = self.version, self.version + 1
+        """Write the next version, with the same centroids and anew only the lists that have dead rows or rows in the delta."""
+        health = self.list_health().collect() if self.dimension else []
+        touched = sorted(r["list_id"] for r in health if r["delta"] or r["dead"])
+        names, delta, centroids = self._row_schema().names, self._delta(), self.centroids() if self.dimension else None
+        rows = self._live(touched).select(*names)
+        rows = rows if delta is None else rows.unionByName(delta.select(*names))
+        older = {**self.kept, self.version: [r[0] for r in self.lists()] if self.dimension else []}
+        for version, lists in self.kept.items():
+            older[self.version] = [i for i in older[self.version] if i not in set(lists)]
+        kept = {v: left for v, lists in older.items() if (left := [i for i in lists if i not in set(touched)])}
+        lists_kept = [r for r in self.lists() if r[0] not in set(touched)] if self.dimension else []
+        old, self.version = self.version, self._free_version()
         try:
-            self._write_version(rows, centroids)
+            self._write_version(rows, centroids, kept, lists_kept)
         except Exception:
             self.version = old
             raise
-        touched = before["delta_health"]["lists"]
-        return {"merged": before["delta_live_count"], "removed": before["dead_count"], "rewritten_lists": touched, "version": self.version}
+        return {"merged": sum(r["delta"] for r in health), "removed": sum(r["dead"] for r in health), "rewritten_lists": len(touched), "version": self.version}
+
+    def _free_version(self) -> int:
+        """A number above all versions' folders, also those that a writer left without committing them."""
+        return 1 + max(int(n[1:]) for n in files.children(self.spark, self.path) if n[:1] == "v" and n[1:].isdigit())
+
+    def remove_old(self) -> list[int]:
+        """Delete the folders of versions that this one doesn't read, and their metadata; readers of older versions must have ended."""
+        gone = []
+        for name in files.children(self.spark, self.path):
+            number = name[1:] if name[:1] == "v" else name.removeprefix("meta-").removesuffix(".json")
+            if number.isdigit() and int(number) < self.version and (name[:1] != "v" or int(number) not in self.kept):
+                files.remove(self.spark, f"{self.path}/{name}")
+                gone += [int(number)] if name[:1] == "v" else []
+        return sorted(gone)
 
     def maintain(self, knobs: MaintenanceKnobs | None = None) -> dict:
         """Merge the delta if there is one, and drop dead rows with it."""
@@ -663,7 +706,7 @@ class VectorIndex:
     # ------------------------------------------------------------------ introspection
     def list_health(self) -> DataFrame:
         """``(list_id, live, dead, delta, pages, reclaimable_pages)`` of each list that has rows; a page whose rows are all dead is reclaimable."""
-        pages = self.spark.read.parquet(self._file("pages")).select("list_id", "page_id", "live_count")
+        pages = self._pages().select("list_id", "page_id", "live_count")
         tombstones, delta = self._tombstones(), self._delta()
         gone = F.lit(0).cast("long")
         if tombstones is not None:

@@ -277,6 +277,26 @@ def test_batch_search_is_search(spark, rows, built):
             assert found.get(r.qid, []) == [a.id for a in alone]
 
 
+def test_merge_rewrites_touched_lists_only(spark, rows, query, tmp_path):
+    index = VectorIndex.build(rows, f"file://{tmp_path}/i", IndexOptions(lists=8, bits=8, attributes=("label", "tenant")))
+    knobs = QueryKnobs(probes=8, oversample_factor=8)
+    for step in range(3):
+        one = index._codes().where("list_id = 0").orderBy("id").select("id").limit(3)
+        dead = ids(one)
+        index.delete(spark.createDataFrame([(d,) for d in dead], "id long"))
+        index.insert(index.rows().where("false").unionByName(rows.where(F.col("id") == dead[0]).withColumn("id", F.lit(50_000 + step).cast("long"))))
+        before = ids(index.search(query, 50, knobs)[0]), sorted(ids(index.rows().select("id")))
+        done = index.merge()
+        assert done["rewritten_lists"] == 1 and done["removed"] == 3 and done["merged"] == 1 and done["version"] == step + 1
+        written = files.children(spark, f"{tmp_path}/i/v{step + 1}/codes")
+        assert [n for n in written if n.startswith("list_id=")] == ["list_id=0"] and set(index.kept) == {0}
+        again = VectorIndex.load(spark, index.path)
+        for i in (index, again):
+            assert (ids(i.search(query, 50, knobs)[0]), sorted(ids(i.rows().select("id")))) == before and i.maintain()["action"] == "noop"
+            assert sum(n for _, n, _ in i.lists()) == len(before[1])
+    assert index.remove_old() == [1, 2] and sorted(ids(VectorIndex.load(spark, index.path).rows().select("id"))) == before[1]
+
+
 def test_list_health_and_reclaimable_pages(spark, rows, tmp_path):
     index = VectorIndex.build(rows, f"file://{tmp_path}/i", IndexOptions(lists=3, attributes=("label", "tenant")))
     first = index._codes().where("list_id = 0").select("id")
