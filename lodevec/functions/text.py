@@ -53,3 +53,15 @@ def token_f1(prediction: Column, answer: Column) -> Column:
 
 def exact_match(prediction: Column, answer: Column) -> Column:
     return (F.array_join(answer_tokens(prediction), " ") == F.array_join(answer_tokens(answer), " ")).cast("int")
+
+
+def json_value(document: Column, *path: str) -> Column:
+    """The value at a path of field names as text; null where there is none or the document is no JSON."""
+    return F.get_json_object(document, "$" + "".join(f"['{step}']" for step in path))
+
+
+def json_merged(first: Column, second: Column) -> Column:
+    """Two flat JSON objects as one with text values; fields of the second replace those of the first, null counts as empty."""
+    read = lambda c: F.coalesce(F.from_json(c, "map<string, string>"), F.create_map().cast("map<string, string>"))
+    old, new = read(first), read(second)
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new))

@@ -203,6 +203,37 @@ def overlap(left: DataFrame, right: DataFrame, id_col: str = "id") -> DataFrame:
     return both.agg(count(l & r)("overlap"), count(l & ~r)("left_only"), count(~l & r)("right_only"))
 
 
+def row_count(rows: DataFrame, emb_col: str = "embedding") -> DataFrame:
+    """One row ``n``: how many rows have a vector."""
+    return rows.where(F.col(emb_col).isNotNull()).agg(F.count("*").alias("n"))
+
+
+def list_counts(rows: DataFrame, list_col: str, live: Column, page: Column) -> DataFrame:
+    """``(list, live, dead, pages)`` of each list; a row whose ``live`` is null counts as dead."""
+    alive = F.coalesce(live, F.lit(False)).cast("long")
+    return rows.groupBy(list_col).agg(F.sum(alive).alias("live"), F.sum(1 - alive).alias("dead"), F.countDistinct(page).alias("pages"))
+
+
+def ids_by(rows: DataFrame, group: str, id_col: str) -> DataFrame:
+    """``(group, ids)``, ids ascending, of a result that a limit has bounded."""
+    return rows.groupBy(group).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
+
+
+def greatest_where(rows: DataFrame, group: str, value: str, conditions: dict[str, Column]) -> DataFrame:
+    """Per group the greatest value under each condition, a column each; null where none holds."""
+    return rows.groupBy(group).agg(*(F.max(F.when(c, F.col(value))).alias(name) for name, c in conditions.items()))
+
+
+def found_ids(retrieved: str = "retrieved", relevant: str = "relevant") -> Column:
+    """Retrieved ids that are relevant, ascending and each once."""
+    return F.sort_array(F.array_intersect(retrieved, relevant))
+
+
+def other_ids(retrieved: str = "retrieved", relevant: str = "relevant") -> Column:
+    """Retrieved ids that aren't relevant, ascending and each once."""
+    return F.sort_array(F.array_except(retrieved, relevant))
+
+
 def index_health(codes: DataFrame, lists: int) -> DataFrame:
     """Of rows ``(list_id, live)``: a row with the distribution of live rows over all lists, empty ones as well."""
     every = codes.sparkSession.range(lists).select(F.col("id").cast("int").alias("list_id"))

@@ -152,6 +152,16 @@ def _nearest_in_batches(shared, k: int, metric: str):
     return run
 
 
+def knn_of_row(df: DataFrame, one: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", emb_col: str = "embedding") -> DataFrame:
+    """The k nearest rows to a query that is the first row of a DataFrame; ``(id, distance)``, none without a query.
+
+    One row meets all others, so the broadcast has a proven bound and the join makes as many rows as there are.
+    """
+    query = one.select(F.col(emb_col).alias("q")).limit(1)
+    rows = df.where(F.col(emb_col).isNotNull()).crossJoin(F.broadcast(query))
+    return rows.select(id_col, V.rounded(V.distance(metric, F.col(emb_col), F.col("q"))).alias("distance")).orderBy("distance", id_col).limit(k)
+
+
 def approx_candidates(df: DataFrame, query: Sequence[float], candidates: int, metric: str = "cosine", id_col: str = "id", emb_col: str = "embedding", filters: dict | None = None) -> DataFrame:
     """``(candidate_id, approximate_rank, approximate_distance)`` of a table without an index."""
     knobs = resolve_knobs(candidates, candidates)

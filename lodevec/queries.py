@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodevec.functions import register
 from lodevec.functions import text as X
 from lodevec.functions import vectors as V
 from lodevec.operators import campaign, codec, evaluate, index, knn, rotation
@@ -254,19 +255,19 @@ def u03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("A26_array_of_ids", f"SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS ids FROM (SELECT * FROM ({NEAR_ZERO}) ORDER BY distance, vec_id LIMIT 40) GROUP BY label")
 def a26(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = knn.exact_knn(_vectors(spark, sf_dir), _probe(spark, sf_dir), 40, id_col="vec_id", payload=["label"])
-    return found.groupBy("label").agg(F.array_join(F.sort_array(F.collect_list("vec_id")).cast("array<string>"), ",").alias("ids"))
+    return evaluate.ids_by(found, "label", "vec_id").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
 @registered("A27_conditional_aggregate", "SELECT label, max(vec_id) FILTER (vec_id % 2 = 0) AS even, max(vec_id) FILTER (vec_id % 2 = 1) AS odd FROM embeddings GROUP BY label")
 def a27(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("vec_id") % 2 == 0
-    return _vectors(spark, sf_dir).groupBy("label").agg(F.max(F.when(even, F.col("vec_id"))).alias("even"), F.max(F.when(~even, F.col("vec_id"))).alias("odd"))
+    return evaluate.greatest_where(_vectors(spark, sf_dir), "label", "vec_id", {"even": even, "odd": ~even})
 
 
 # ---------------------------------------------------------------------- evaluation
 @registered("A01_row_count", "SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL")
 def a01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).where("embedding is not null").agg(F.count("*").alias("n"))
+    return evaluate.row_count(_vectors(spark, sf_dir))
 
 
 @registered("A03_list_distribution", """
@@ -689,8 +690,7 @@ def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("A02_list_counts", "SELECT label, count(*) FILTER (vec_id % 7 <> 0) AS live, count(*) FILTER (vec_id % 7 = 0) AS dead, count(DISTINCT vec_id // 16) AS pages FROM embeddings GROUP BY label")
 def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dead = (F.col("vec_id") % 7 == 0).cast("long")
-    return _vectors(spark, sf_dir).groupBy("label").agg(F.sum(1 - dead).alias("live"), F.sum(dead).alias("dead"), F.countDistinct(F.floor(F.col("vec_id") / 16)).alias("pages"))
+    return evaluate.list_counts(_vectors(spark, sf_dir), "label", F.col("vec_id") % 7 != 0, F.floor(F.col("vec_id") / 16))
 
 
 @registered("A05_upkeep", """
@@ -725,11 +725,8 @@ def p15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("J03_query_as_a_row", f"SELECT vec_id, distance FROM ({NEAR_ZERO}) ORDER BY distance, vec_id LIMIT 10")
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query is one row, so the broadcast cross join has a proven bound."""
     rows = _vectors(spark, sf_dir)
-    one = rows.where("vec_id = 0").limit(1).select(F.col("embedding").alias("q"))
-    near = rows.crossJoin(F.broadcast(one)).select("vec_id", V.rounded(V.cosine_distance(F.col("embedding"), F.col("q"))).alias("distance"))
-    return near.orderBy("distance", "vec_id").limit(10)
+    return knn.knn_of_row(rows, rows.where("vec_id = 0"), 10, id_col="vec_id")
 
 
 @registered("J06_diagnostics", "SELECT a.vec_id, a.label AS dataset, b.vec_id AS found FROM embeddings a LEFT JOIN embeddings b ON a.vec_id = b.vec_id AND b.label < 4")
@@ -742,14 +739,39 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("U02_array_sets", RUNS + """
     SELECT query_id, array_to_string(list_sort(list_intersect(retrieved, relevant)), ',') AS both, array_to_string(list_sort(list_filter(retrieved, lambda x: NOT list_contains(relevant, x))), ',') AS only FROM runs""")
 def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = lambda c: F.array_join(F.sort_array(c).cast("array<string>"), ",")
-    return _runs(spark, sf_dir).select("query_id", text(F.array_intersect("retrieved", "relevant")).alias("both"), text(F.array_except("retrieved", "relevant")).alias("only"))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return _runs(spark, sf_dir).select("query_id", text(evaluate.found_ids()).alias("both"), text(evaluate.other_ids()).alias("only"))
 
 
-@registered("X07_json_access", """SELECT vec_id, (label + 1)::VARCHAR AS a, 'x' AS b FROM embeddings""")
+@registered("X07_json_access", """SELECT vec_id, (label + 1)::VARCHAR AS a, 'x' AS b, 'new' AS c, CASE WHEN vec_id % 2 = 0 THEN 'old' END AS d FROM embeddings""")
 def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of a nested document, and of a flat one over which another is laid."""
     made = F.to_json(F.struct((F.col("label") + 1).alias("a"), F.struct(F.lit("x").alias("c")).alias("b")))
-    return _vectors(spark, sf_dir).select("vec_id", F.get_json_object(made, "$.a").alias("a"), F.get_json_object(made, "$.b.c").alias("b"))
+    laid = X.json_merged(F.when(F.col("vec_id") % 2 == 0, F.lit('{"c": "old", "d": "old"}')), F.lit('{"c": "new"}'))
+    return _vectors(spark, sf_dir).select("vec_id", X.json_value(made, "a").alias("a"), X.json_value(made, "b", "c").alias("b"), X.json_value(laid, "c").alias("c"), X.json_value(laid, "d").alias("d"))
+
+
+@registered("P13_recommended_knobs", """
+    SELECT label, greatest(1, ceil(c / greatest(8, ceil(c / f))))::INT AS probes, greatest(8, ceil(c / f))::INT AS oversample
+    FROM (SELECT label, (20 + label * 30)::DOUBLE AS c, 10.0::DOUBLE AS f FROM embeddings GROUP BY label)""")
+def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knobs for each label's limits, through the SQL table function."""
+    register.register(spark)
+    _vectors(spark, sf_dir).select("label").distinct().createOrReplaceTempView("limits_by_label")
+    return spark.sql("SELECT label, k.probes, k.oversample_factor AS oversample FROM limits_by_label, LATERAL vec_recommended_knobs(int(20 + label * 30), 10, CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CAST(NULL AS STRING)) k")
+
+
+@registered("P14_index_aware_knobs", """
+    WITH n AS (SELECT count(*)::DOUBLE AS live FROM embeddings), s AS (SELECT unnest([0.02, 0.25, 1.0]) AS asked), k AS (SELECT asked, live, greatest(asked, 0.05)::DOUBLE AS share, least(live, ceil(100 / greatest(asked, 0.05)::DOUBLE)) AS wanted FROM s, n)
+    SELECT asked::DOUBLE AS selectivity, 10 AS probes, least(1024, greatest(10, ceil(wanted / 10)))::INT AS oversample, greatest(1000, wanted * greatest(2, least(16, greatest(10, ceil(wanted / 10)))))::BIGINT AS codes, 0 AS pages FROM k""")
+def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Knobs that a flat index of the table is advised, by selectivity."""
+    meta = _built(spark, sf_dir).metadata()
+    rows = []
+    for share in (0.02, 0.25, 1.0):
+        k = budget.recommend_knobs(100, 10, meta, share)
+        rows.append((share, k["probes"], k["oversample_factor"], k["max_visited_codes"], k["max_visited_pages"]))
+    return spark.createDataFrame(rows, "selectivity double, probes int, oversample int, codes bigint, pages int")
 
 
 @registered("H10_campaign_recall", f"""
@@ -809,7 +831,7 @@ def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.exact_rerank(built.rows().withColumnRenamed("id", "vec_id"), found.withColumnRenamed("id", "vec_id"), query, 10, "cosine", "vec_id")
 
 
-@registered("S02_code_recall", "SELECT * FROM (VALUES (2, true), (4, true), (8, true)) t(bits, reached)")
+@registered("S02_code_recall", "SELECT bits, n AS truth, true AS reached FROM (VALUES (2), (4), (8)) t(bits), (SELECT 10 * count(*) AS n FROM embeddings WHERE vec_id % 50 = 0)")
 def s02_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the decoded cosine of flat codes reaches the recall at 10 that its number of bits should have."""
     floors = {2: 0.35, 4: 0.7, 8: 0.9}
@@ -818,5 +840,5 @@ def s02_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     for bits, floor in floors.items():
         found = _built(spark, sf_dir, bits=bits).search_batch(_asked(spark, sf_dir), 10)
         hits = found.join(truth, ["qid", "id"], "left_semi").agg(F.count("*").alias("hits")).crossJoin(truth.agg(F.count("*").alias("all")))
-        parts.append(hits.select(F.lit(bits).alias("bits"), (F.col("hits") >= floor * F.col("all")).alias("reached")))
+        parts.append(hits.select(F.lit(bits).alias("bits"), F.col("all").alias("truth"), (F.col("hits") >= floor * F.col("all")).alias("reached")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
