@@ -2,6 +2,9 @@
 
 Each stage takes what the one before it kept. Between stages the documents are written as Parquet to
 shared scratch space and read again, so a lost executor never sends work back past its own stage.
+
+For all stages: a null text is empty; texts are read whole, however long; other columns stay as they are, whatever their
+names; an empty table stays empty. What repeated rows and null ids become is said at each stage.
 """
 
 from __future__ import annotations
@@ -14,23 +17,33 @@ from lodevec.llm.queries import piece_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold. The model learns from the labelled part of ``docs``."""
+    """Documents that score below the threshold. The model learns from the labelled part of ``docs``.
+
+    Each row is judged by its text, whatever its id: repeats share their fate, and an empty text is scored like any other.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each component of documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    The least id stays, null ids come last, and texts decide: of repeated rows one stays, of one id with unlike texts each
+    text. Texts without words are one component.
+    """
     return near_copies.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold most of a benchmark item, in whatever order."""
+    """Documents that don't hold most of a benchmark item, in whatever order.
+
+    Each row is judged by its text; empty texts stay. Items without text, or of fewer tokens than ``tiling.MIN_ITEM``, rule nothing out.
+    """
     return tiling.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document, read back to see that they give its text."""
+    """The piece ids of each document, read back to see that they give its text: a row for each row, with an empty list for an empty text."""
     return sp_transducer.encoded(docs, piece_model())
 
 
