@@ -147,3 +147,38 @@ def compand_decode(codes: np.ndarray, low: np.ndarray, high: np.ndarray, bits: i
     strength = COMPANDING[bits]
     centred = np.sign(bent) * np.expm1(np.abs(bent) * np.log1p(strength)) / strength
     return low[:, None] + (centred + 1) / 2 * (high - low)[:, None]
+
+
+class CompandingCodec(Codec):
+    """Codes between the least and the greatest coordinate of each vector, with all bits; these two take the place of signs and residual norm."""
+
+    @property
+    def code_bytes(self) -> int:
+        return -(-self.size * self.bits // 8) + 8
+
+    def encode(self, rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes (n, size), least and greatest coordinates (n,) in float32."""
+        codes, low, high = compand_encode(np.asarray(rotated, np.float32).astype(np.float64), self.bits)
+        return codes, low.astype(np.float32), high.astype(np.float32)
+
+    def pack(self, codes: np.ndarray, signs: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        bits = (codes[:, :, None] >> np.arange(self.bits, dtype=np.uint8)) & 1
+        packed = np.packbits(bits.reshape(len(codes), -1), axis=1, bitorder="little")
+        return [r.tobytes() for r in packed], [v.tobytes() for v in signs.astype("<f4")]
+
+    def unpack(self, idx: list[bytes], sgn: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(idx), np.uint8).reshape(len(idx), -1)
+        bits = np.unpackbits(raw, axis=1, count=self.size * self.bits, bitorder="little").reshape(len(idx), self.size, self.bits)
+        return (bits << np.arange(self.bits, dtype=np.uint8)).sum(2).astype(np.uint8), np.frombuffer(b"".join(sgn), "<f4")
+
+    def decode(self, codes: np.ndarray, signs: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        return compand_decode(codes, signs.astype(np.float64), np.asarray(gamma, np.float64), self.bits)
+
+    def estimate(self, query: np.ndarray, codes: np.ndarray, signs: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.decode(codes, signs, gamma) @ query, np.zeros(len(codes))
+
+    def weight_norm(self, query: np.ndarray) -> float:
+        return float(np.sqrt((query**2).sum()))
+
+
+CODECS = {"lloyd": Codec, "companding": CompandingCodec}

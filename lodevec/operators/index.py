@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from lodevec.functions import vectors as V
 from lodevec.operators import router
-from lodevec.operators.codec import Codec
+from lodevec.operators.codec import CODECS, Codec
 from lodevec.operators.knn import batch_distances, batch_knn, exact_rerank, filter_column, nearest, query_blocks, ranked_candidates
 from lodevec.operators.rotation import rotate_back
 from lodevec.plans import budget
@@ -136,7 +136,7 @@ class VectorIndex:
 
     @property
     def codec(self) -> Codec:
-        return Codec(self.dimension, self.options.bits, self.options.sketch_dim)
+        return CODECS[self.options.codec](self.dimension, self.options.bits, self.options.sketch_dim)
 
     def _prepared(self, rows: DataFrame) -> DataFrame:
         rows = V.with_fixed_dimension(rows, "embedding", self.dimension)

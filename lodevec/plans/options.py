@@ -35,6 +35,7 @@ class IndexOptions:
     transform: str = "hadamard"
     lanes: str = "auto"
     input_kind: str = "vector"
+    codec: str = "lloyd"
     attributes: tuple[str, ...] = field(default=())
 
     def __post_init__(self) -> None:
@@ -53,6 +54,8 @@ class IndexOptions:
             raise ValueError("lanes can only be auto")
         if self.input_kind not in ("vector", "halfvec"):
             raise ValueError("input_kind is vector or halfvec")
+        if self.codec not in ("lloyd", "companding"):
+            raise ValueError("codec is lloyd or companding")
         if len(self.attributes) > MOST_ATTRIBUTES:
             raise ValueError(f"at most {MOST_ATTRIBUTES} attributes can be stored")
 

@@ -473,6 +473,29 @@ def h01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.candidates(_probe(spark, sf_dir), 200, filters={"tenant": [0, 2, 3]}, knobs=DEEP).where("approximate_rank <= 20")
 
 
+_top("C15_companding_rerank", "true", lambda s, d: _reranked(_built(s, d, bits=6, lists=4, codec="companding"), _probe(s, d), 10, QueryKnobs(oversample_factor=16)))
+
+
+@registered("C15_companded_codes", f"""
+    WITH u AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high FROM embeddings),
+    b AS (SELECT vec_id, list_transform(v, lambda x: sign(2 * (x - low) / (high - low) - 1) * ln(1 + 2.5 * abs(2 * (x - low) / (high - low) - 1)) / ln(3.5)) AS bent FROM u)
+    SELECT vec_id, list_sum(list_transform(bent, lambda y: round_even((y + 1) / 2 * 15, 0)))::BIGINT AS total, list_max(list_transform(bent, lambda y: round_even((y + 1) / 2 * 15, 0)))::BIGINT AS most FROM b""")
+def c15_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and maxima of four-bit companded codes of the plain vectors."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(1).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+                codes = codec.compand_encode(x, 4)[0].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.sum(1)), pa.array(codes.max(1))], ["vec_id", "total", "most"])
+
+    return _vectors(spark, sf_dir).select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, total bigint, most bigint")
+
+
 @registered("H02_rerank_candidates", f"""
     SELECT vec_id::VARCHAR AS candidate_id, row_number() OVER (ORDER BY distance, vec_id) AS approximate_rank, distance AS approximate_distance, row_number() OVER (ORDER BY distance, vec_id::VARCHAR) AS exact_rank, distance AS exact_distance
     FROM (SELECT * FROM ({NEAR_ZERO}) ORDER BY distance, vec_id LIMIT 8)""")

@@ -61,6 +61,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a file or folder another's place; what was there is gone."""
+    store, where = _store(spark, path)
+    _, goal = _store(spark, to)
+    if store.exists(goal):
+        store.delete(goal, True)
+    if not store.rename(where, goal):
+        raise OSError(f"can't rename to {to}")
+
+
 def make_new(spark: SparkSession, path: str) -> bool:
     """Make an empty file that isn't there yet; false where it is."""
     store, where = _store(spark, path)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodevec.operators.knn import first_seen
-from lodevec.sources.files import exists
+from lodevec.sources.files import exists, rename
 
 ADDRESS = re.compile(r"^hf://(?P<name>[^\[\]:]+)\[(?P<split>[^\[\]]+)\](?::(?P<limit>\d+))?$")
 
@@ -31,11 +32,19 @@ def parse_address(uri: str) -> DatasetAddress:
 
 
 def read_dataset(spark: SparkSession, uri: str, root: str) -> DataFrame:
-    """A downloaded dataset below ``root``: ``name/split.parquet`` or else ``name/split.jsonl``. A limit is part of the address."""
+    """A downloaded dataset below ``root``: ``name/split.parquet`` or else ``name/split.jsonl``.
+
+    A limit, which is part of the address, takes the first rows in the order of the files, so it repeats.
+    """
     address = parse_address(uri)
     base = f"{root.rstrip('/')}/{address.name}/{address.split}"
-    df = spark.read.parquet(f"{base}.parquet") if exists(spark, f"{base}.parquet") else spark.read.json(f"{base}.jsonl")
-    return df if address.limit is None else df.limit(address.limit)
+    stored = exists(spark, f"{base}.parquet")
+    df = spark.read.parquet(f"{base}.parquet") if stored else spark.read.json(f"{base}.jsonl")
+    if address.limit is None:
+        return df
+    row = F.col("_metadata.row_index") if stored else F.monotonically_increasing_id()
+    places = {"place_file": F.col("_metadata.file_path"), "place_block": F.col("_metadata.file_block_start"), "place_row": row}
+    return df.select("*", *(c.alias(n) for n, c in places.items())).orderBy(*places).limit(address.limit).drop(*places)
 
 
 def popqa_corpus(rows: DataFrame, order: str) -> DataFrame:
@@ -62,6 +71,27 @@ def with_passage_defaults(passages: DataFrame, ordinal: str) -> DataFrame:
     return passages.withColumns({name: F.coalesce(F.col(name), value).cast("int") if name in have else value.cast("int") for name, value in defaults.items()})
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` in place of the rows of ``old`` with its keys."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``new`` in place of the rows of ``old`` with its keys.
+
+    Of new rows that repeat a key the one of the greatest ``order`` stays, of equals, or without an order, the one whose
+    columns are greatest. Old rows that aren't replaced stay as they are; rows with a null key are never replaced. Either
+    table may be empty.
+    """
+    first = [order] if order else []
+    rest = [c for c in new.columns if c not in (key, order)]
+    latest = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*first, *rest)).alias("latest_of_key"))
+    latest = latest.select(*(F.col(c) if c == key else F.col("latest_of_key")[c].alias(c) for c in new.columns)).unionByName(new.where(F.col(key).isNull()))
+    return old.join(latest.select(key), key, "left_anti").unionByName(latest)
+
+
+def upsert_into(path: str, new: DataFrame, key: str, order: str | None = None) -> None:
+    """``upsert`` into a Parquet table at a path, which is made where there is none.
+
+    The new table is written beside the old one and takes its name when it is whole; a reader between sees no table.
+    """
+    spark, draft = new.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    there = exists(spark, path)
+    old = spark.read.parquet(path) if there else new.where(F.lit(False))
+    upsert(old, new, key, order).write.parquet(draft)
+    rename(spark, draft, path)

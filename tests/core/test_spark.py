@@ -367,7 +367,19 @@ def test_sql_table_function_and_requests(spark, built):
             campaign.check_request(built, *bad)
 
 
-def test_upsert_and_first_seen(spark):
+def test_upsert_and_first_seen(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, ingest.upsert(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    twice = new.unionByName(spark.createDataFrame([(2, "b"), (3, "z"), (None, "n")], "k int, v string"))
+    assert sorted(map(tuple, ingest.upsert(old, twice, "k").collect()), key=str) == [(1, "a"), (2, "c"), (3, "z"), (None, "n")]
+    assert ingest.upsert(old, new.where("false"), "k").count() == 2
+    path = f"file://{tmp_path}/passages"
+    ingest.upsert_into(path, old, "k")
+    ingest.upsert_into(path, new, "k")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    spark.range(50).repartition(1).write.parquet(f"{tmp_path}/hub/a/b/train.parquet")
+    spark.range(50).coalesce(1).write.json(f"{tmp_path}/hub/a/b/test.jsonl")
+    for split in ("train", "test"):
+        first = ingest.read_dataset(spark, f"hf://a/b[{split}]:7", f"file://{tmp_path}/hub")
+        assert first.columns == ["id"] and sorted(ids(first)) == sorted(ids(ingest.read_dataset(spark, f"hf://a/b[{split}]:7", f"file://{tmp_path}/hub"))) and first.count() == 7
