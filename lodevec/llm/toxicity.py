@@ -15,6 +15,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from sys import intern
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 6, 6, 4096
 VOCABULARY = 8000
 #: The classifier is fitted on this many labelled rows at most, those with the least hash of id, as long as they have so many characters together.
-TRAIN_ROWS, TRAIN_CHARS = 6000, 48_000_000
+TRAIN_ROWS, TRAIN_CHARS = 6000, 24_000_000
 #: The table of projected words; words of more characters than this aren't kept from batch to batch.
 TABLE_WORDS, LONGEST_KEPT = 200_000, 48
 BATCH_WORDS = 1 << 16
@@ -213,7 +214,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 4, steps: int = 300
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
-    split = [[w.strip(STRIP) or w for w in words_of(t)] for t in texts]
+    split = [[intern(w.strip(STRIP) or w) for w in words_of(t)] for t in texts]  # one object a word, as texts are many
     sets = [set(s) for s in split]
     half = np.arange(len(split)) % 2 == 0
     vocabulary = _telling(sets, y)
