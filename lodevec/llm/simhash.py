@@ -46,6 +46,16 @@ def folded(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits((2 * set_bits > len(hashes)).reshape(-1), bitorder="little").tobytes(), "little")
 
 
+def widened(hashes: np.ndarray, words: int) -> list[int]:
+    """A SimHash of ``64 * words`` bits: the same of as many hash functions, which mix the given hashes with odd constants."""
+    out = []
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64))
+            out.append(folded(mixed ^ (mixed >> np.uint64(32))))
+    return out
+
+
 def fingerprint(text: str, shingle: int = 3) -> int:
     return folded(shingle_hashes(text, shingle))
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as C
 from lodevec.llm import near_copies as N
 from lodevec.llm import simhash as S
@@ -57,6 +59,37 @@ def test_repeated_ids_keep_a_row_of_each_component(spark):
     assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[4], rows[6], (9, "twice the very same row")], key=str)
 
 
+def test_wide_fingerprints_tell_near_copies_from_shared_passages():
+    rng = np.random.default_rng(8)
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(S.widened(a, N.WIDE), S.widened(b, N.WIDE), strict=True))
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    most, least = 0, 256
+    for size in (4, 5, 8, 9, 18, 45, 90, 450):
+        for _ in range(60):
+            base = draw(size)
+            lost = size // 9  # |both| = 8/9 of each of two sets of one size is 0.8
+            most = max(most, far(base, np.concatenate((base[lost:], draw(lost)))), far(base, np.concatenate((base, draw(size // 4)))))
+            if size >= 45:
+                least = min(least, far(np.concatenate((base, draw(5 * size))), np.concatenate((base, draw(5 * size)))))
+    assert most <= N.WIDE_DISTANCE - 8 and least > N.WIDE_DISTANCE - 8
+
+
+def test_documents_with_one_passage_make_few_pairs(spark):
+    """A passage in many documents that share no more: no two of them are compared."""
+    rng = random.Random(2)
+    passage = " ".join(f"passage{i}" for i in range(60))
+    texts = {i: " ".join(f"d{i}w{rng.randint(0, 10**6)}" for _ in range(120)) + " " + passage for i in range(120)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    made = []
+    keep = N.confirmed
+    N.confirmed = lambda pairs, *more: made.append(pairs.count()) or keep(pairs, *more)
+    try:
+        assert N.keep_one(frame).count() == 120
+    finally:
+        N.confirmed = keep
+    assert made[1] <= 5
+
+
 def test_columns_named_like_ours(spark):
     names = ["__id", "node", "hash", "chosen_id", "Chosen_Hash", "size", "fp", "prefix", "body", "root", "id", "least"]
     rows = [(1, "one text", *names), (1, "another text altogether", *names), (2, "one text", *names), (2, "one text", *names)]
