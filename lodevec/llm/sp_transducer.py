@@ -7,7 +7,8 @@ character positions, and the tropical shortest path through it is the encoding.
 
 For a BPE model the piece machine is also made a bigram machine: piece b may follow piece a only where
 merging ``ab`` would leave the border alone; elsewhere its arc is infinitely dear. With that constraint a prefix
-has one path of finite cost, so the lattice needs one state a position and the shortest path is the merge encoding.
+has one path of finite cost, so the lattice needs one state a position, the first arc that reaches a position
+settles it, and the shortest path is the merge encoding.
 
 Texts are cut where no piece of the model can reach across, before U+2581 after another character and
 between characters that no piece has next to each other. The paths of short cuts are kept in a table of bounded bytes.
@@ -31,7 +32,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The table of paths holds about so many bytes, in two generations; longer cuts aren't kept.
-CACHE_BYTES, LONGEST_KEPT = 80 << 20, 48
+CACHE_BYTES, LONGEST_KEPT = 64 << 20, 48
 ENTRY_BYTES = 200
 CACHE_PAIRS = 200_000
 SHORT = (2, 1)
@@ -230,19 +231,14 @@ class Transducer:
         return np.asarray(out, np.int32).tobytes()
 
     def _shortest(self, text: str) -> list[str]:
-        """Relaxation in order of position. Of equal costs the longer last piece wins.
+        return self._settled(text) if self.model_type == BPE else self._relaxed(text)
 
-        A position keeps its cost and the last piece on the way to it; that piece is all that the bigram machine asks for.
-        """
-        size, arc, scores, reach, pairs, bigram = len(text), self.arc, self.scores, self.reach, self.pairs, self.model_type == BPE
-        if len(pairs) > CACHE_PAIRS:
-            pairs.clear()
+    def _relaxed(self, text: str) -> list[str]:
+        """Relaxation in order of position. Of equal costs the longer last piece wins."""
+        size, arc, scores, reach = len(text), self.arc, self.scores, self.reach
         cost = [0.0] + [INF] * size
         last = [""] * (size + 1)
         for at in range(size):
-            here, before = cost[at], last[at]
-            if here == INF:
-                continue
             for length in reach.get(text[at : at + 3], SHORT):
                 end = at + length
                 if end > size:
@@ -250,26 +246,54 @@ class Transducer:
                 part = text[at:end]
                 found = arc.get(part)
                 if found is not None:
-                    total = here - scores[found]
+                    total = cost[at] - scores[found]
                 elif length == 1:
-                    total = here + self.unknown_cost
+                    total = cost[at] + self.unknown_cost
                 else:
                     continue
-                if total >= cost[end]:
-                    continue
-                if bigram:
-                    fits = pairs.get((before, part))
-                    if fits is None:
-                        fits = pairs[before, part] = self.may_follow(before, part) if before else self._ends(part) is not None
-                    if not fits:
-                        continue
-                cost[end], last[end] = total, part
+                if total < cost[end]:
+                    cost[end], last[end] = total, part
         parts = []
         while size:
             parts.append(last[size])
             size -= len(last[size])
         return parts[::-1]
 
+    def _settled(self, text: str) -> list[str]:
+        """Label setting under the bigram constraint: all ways of finite cost to a position are one, so its first arrival is its shortest path.
+
+        The search goes on from where it arrives, long arcs first, and comes back to a position only to try its other
+        arcs. Each position is settled once, so it is linear in the text.
+        """
+        size, arc, reach, pairs = len(text), self.arc, self.reach, self.pairs
+        if len(pairs) > CACHE_PAIRS:
+            pairs.clear()
+        settled = bytearray(size + 1)
+        path: list[str] = []
+        at, before, most = 0, "", self.longest
+        while at < size:
+            most = min(most, size - at)
+            for length in reach.get(text[at : at + 3], SHORT):
+                if length > most or settled[at + length]:
+                    continue
+                part = text[at : at + length]
+                if length > 1 and part not in arc:
+                    continue
+                fits = pairs.get((before, part))
+                if fits is None:
+                    fits = pairs[before, part] = self.may_follow(before, part) if before else self._ends(part) is not None
+                if fits:
+                    at += length
+                    settled[at] = 1
+                    path.append(part)
+                    before, most = part, self.longest
+                    break
+            else:
+                part = path.pop()
+                at -= len(part)
+                before, most = path[-1] if path else "", len(part) - 1
+        return path
+
     def _word(self, word: str) -> bytes:
         """The path of a cut, put together from parts that no piece reaches across."""
         joints, known = self.joints, self.known
