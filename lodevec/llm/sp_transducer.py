@@ -32,7 +32,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The table of paths holds about so many bytes, in two generations; longer cuts aren't kept.
-CACHE_BYTES, LONGEST_KEPT = 64 << 20, 48
+CACHE_BYTES, LONGEST_KEPT = 48 << 20, 48
 ENTRY_BYTES = 200
 CACHE_PAIRS = 200_000
 SHORT = (2, 1)

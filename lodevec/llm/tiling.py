@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -250,11 +250,11 @@ def matches(
 
 
 def _leaked(shared: Broadcast, text: Column, min_tile: int, min_coverage: float, min_item: int) -> Column:
-    @F.pandas_udf("boolean")  # type: ignore[call-overload]
-    def leaked(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")  # type: ignore[call-overload]
+    def leaked(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bench = Benchmark(shared.value, min(SEED_TOKENS, min_tile), min_item)
-        for texts in series:
-            yield pd.Series([any(True for _ in _hits(bench, t, min_tile, min_coverage)) for t in texts], dtype=bool)
+        for texts in columns:
+            yield pa.array([any(True for _ in _hits(bench, t.as_py(), min_tile, min_coverage)) for t in texts], pa.bool_())
 
     return leaked(text)
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from sys import intern
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +31,8 @@ VOCABULARY = 8000
 #: The classifier is fitted on this many labelled rows at most, those with the least hash of id, as long as they have so many characters together.
 TRAIN_ROWS, TRAIN_CHARS = 6000, 24_000_000
 #: The table of projected words; words of more characters than this aren't kept from batch to batch.
-TABLE_WORDS, LONGEST_KEPT = 200_000, 48
-BATCH_WORDS = 1 << 16
+TABLE_WORDS, LONGEST_KEPT = 150_000, 48
+BATCH_WORDS, SLICE_ROWS = 1 << 16, 256
 THRESHOLD = 0.7
 PULL = 0.2
 #: How much a false alarm weighs against a miss, as shares of their kinds, where the score of the threshold is set.
@@ -406,11 +406,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_column(shared: Broadcast, text: Column) -> Column:
-    @F.pandas_udf("double")  # type: ignore[call-overload]
-    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")  # type: ignore[call-overload]
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = scorer_of(shared.value)
-        for texts in series:
-            yield pd.Series(scorer.scores(texts.tolist()))
+        for texts in columns:  # a few texts at a time become Python's
+            parts = [scorer.scores(texts.slice(at, SLICE_ROWS).to_pylist()) for at in range(0, len(texts), SLICE_ROWS)]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     return score(text)
 
