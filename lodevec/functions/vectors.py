@@ -76,9 +76,12 @@ def with_fixed_dimension(df: DataFrame, column: str, size: int) -> DataFrame:
 
 
 def unit(a: Column) -> Column:
-    """Scaled to length one; a zero vector stays as it is."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(_double(a), lambda v: v / length)).otherwise(_double(a))
+    """Scaled to length one; a zero vector stays as it is.
+
+    The length is bound as the element of an array, as an expression inside a lambda is worked out for each element anew.
+    """
+    scaled = F.transform(F.array(norm(a)), lambda length: F.when(length > 0, F.transform(_double(a), lambda v: v / length)).otherwise(_double(a)))
+    return F.element_at(scaled, 1)
 
 
 def checked_unit(a: Column, what: str = "embeddings") -> Column:

@@ -89,32 +89,35 @@ def _exactly(index: VectorIndex, queries: DataFrame, found: DataFrame, k: int, m
 
 
 def _probed(index: VectorIndex, queries: DataFrame, k: int, metric: str, probes: int, filters: dict | None = None) -> DataFrame:
-    """The k nearest vectors in the ``probes`` lists nearest to each query, by exact distances."""
-    from pyspark.sql import Window
+    """The k nearest vectors in the ``probes`` lists nearest to each query, by exact distances.
 
-    from lodevec.functions import vectors as V
+    Queries go out in blocks; a block meets the rows of its lists as a matrix product, and each task passes on only k rows a query.
+    """
+    from pyspark.sql import Window
 
     if not index.options.lists:
         raise ValueError("float_lists needs an index with lists")
-    codec, unit = index.codec, index.options.normalized
-    shared = index.spark.sparkContext.broadcast(index.centroids())
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for qid, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.asarray(vector, np.float64)
-                rotated = codec.rotate((x / (np.linalg.norm(x) or 1) if unit else x)[None, :])[0]
-                lists = [0] if shared.value is None else router.first_probes(rotated, shared.value, probes)
-                rows += [(qid, vector, i) for i in lists]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*batch.schema.types, pa.int32()), strict=True)], ["qid", "q", "list_id"])
-
-    kind = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
-    wanted = queries.where("embedding is not null").select("qid", "embedding").mapInArrow(route, f"qid {kind['qid']}, q {kind['embedding']}, list_id int")
-    pairs = wanted.join(knn.filtered(index.listed(), filters), "list_id").select("qid", "id", V.rounded(V.distance(metric, F.col("q"), F.col("embedding"))).alias("distance"))
+    codec, unit, centroids = index.codec, index.options.normalized, index.centroids()
+    kind = queries.schema["qid"].dataType.simpleString()
+    rows = knn.filtered(index.listed(), filters).where("embedding is not null").select("id", "list_id", "embedding")
+    parts: list[DataFrame] = []
+    for block in knn.query_blocks(queries.where("embedding is not null").select("qid", "embedding")):
+        asked = np.asarray([v for _, v in block], np.float64)
+        length = np.linalg.norm(asked, axis=1)[:, None]
+        rotated = codec.rotate(asked / np.where(length > 0, length, 1) if unit else asked)
+        chosen = [[0] if centroids is None else router.first_probes(x, centroids, probes) for x in rotated]
+        inside = rows.where(F.col("list_id").isin(sorted({i for lists in chosen for i in lists})))
+        parts.append(knn.nearest_in_lists(inside, [q for q, _ in block], asked, chosen, k, metric, kind, _plain_vectors))
+        if len(block) == knn.QUERY_BLOCK:  # each block is done with before the next begins, so the driver holds one
+            parts[-1] = files.settle(parts[-1], "block")
+    if not parts:
+        return index.spark.createDataFrame([], f"qid {kind}, id {index.id_type}, distance double, rank bigint")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-    return pairs.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def _plain_vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
 
 
 def run_retrieval(

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from lodevec.functions import vectors as V
 from lodevec.operators import router
 from lodevec.operators.codec import CODECS, Codec
-from lodevec.operators.knn import batch_distances, batch_knn, exact_rerank, filter_column, nearest, query_blocks, ranked_candidates
+from lodevec.operators.knn import batch_knn, exact_rerank, filter_column, nearest_in_lists, query_blocks, ranked_candidates
 from lodevec.operators.rotation import rotate_back
 from lodevec.plans import budget
 from lodevec.plans.options import ATTRIBUTE_TYPES, FORMAT_VERSION, IndexOptions, MaintenanceKnobs, QueryKnobs, lane_count
@@ -564,37 +564,13 @@ class VectorIndex:
 
     def _scored_block(self, rows: DataFrame, ids: list, rotated: np.ndarray, chosen: list[list[int]], keep: int, kind: str) -> DataFrame:
         """``(qid, id, distance)``: a task's best ``keep`` rows of each query, of the lists that the query probes."""
-        of: dict[int, list[int]] = {}
-        for n, lists in enumerate(chosen):
-            for i in lists:
-                of.setdefault(i, []).append(n)
-        shared = self.spark.sparkContext.broadcast((ids, rotated, {i: np.asarray(n) for i, n in of.items()}))
-        codec, metric = self.codec, self.options.metric
-        source = rows.select("id", "list_id", *CODE_COLUMNS)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q, probing = shared.value
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                lists = np.asarray(batch.column(1).to_pylist())
-                for place in np.unique(lists):
-                    asking = probing.get(int(place))
-                    if asking is None:
-                        continue
-                    for inside in np.array_split(np.flatnonzero(lists == place), max(1, (lists == place).sum() // 4096)):
-                        part = batch.take(pa.array(inside))
-                        codes, signs = codec.unpack(part.column(2).to_pylist(), part.column(3).to_pylist())
-                        decoded = codec.decode(codes, signs, part.column(4).to_numpy(zero_copy_only=False))
-                        fresh = np.round(batch_distances(metric, q[asking], decoded), 6) + 0.0
-                        own = np.asarray(part.column(0).to_pylist())
-                        for row, n in enumerate(asking.tolist()):
-                            keys, distances = best.get(n, (own[:0], fresh[0][:0]))
-                            best[n] = nearest(np.concatenate((keys, own)), np.concatenate((distances, fresh[row])), keep)
-            if best:
-                out = [(names[n], key, d) for n, (keys, distances) in best.items() for key, d in zip(keys.tolist(), distances.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["qid", "id", "distance"])
-
-        return source.mapInArrow(run, f"qid {kind}, id {self.id_type}, distance double")
+        codec = self.codec
+
+        def decoded(part: pa.RecordBatch) -> np.ndarray:
+            codes, signs = codec.unpack(part.column(2).to_pylist(), part.column(3).to_pylist())
+            return codec.decode(codes, signs, part.column(4).to_numpy(zero_copy_only=False))
+
+        return nearest_in_lists(rows.select("id", "list_id", *CODE_COLUMNS), ids, rotated, chosen, keep, self.options.metric, kind, decoded)
 
     def _completed(self, chosen: list[int], condition, knobs: QueryKnobs, stats: ScanStats) -> list[int]:
         """As many of the ranked lists, in order, as give the wanted number of rows; one count by list."""

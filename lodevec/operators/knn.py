@@ -7,7 +7,7 @@ corpus, and each task passes on only its best k rows for each query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -115,43 +115,122 @@ def batch_knn(
     return reduce(DataFrame.unionByName, parts).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def nearest(keys: np.ndarray, distances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k rows of least distance, of equals those of least key, in order."""
-    if len(keys) > k:
-        inside = distances <= np.partition(distances, k - 1)[k - 1]
-        keys, distances = keys[inside], distances[inside]
-    order = np.lexsort((keys, distances))[:k]
-    return keys[order], distances[order]
+class Nearest:
+    """The k nearest rows of each query of a block, of equal rounded distances those of least key.
+
+    Rows come in slices. Only pairs that may be among the best so far are kept, in flat arrays that are cut to k a query as
+    they grow, so neither time nor memory has a step for each query and slice.
+    """
+
+    def __init__(self, metric: str, queries: np.ndarray, k: int) -> None:
+        self.metric, self.k, self.q = metric, k, queries
+        if metric == "cosine":
+            self.q = _to_length_one(queries)
+        self.border = np.full(len(queries), np.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # places of queries, keys, distances
+        self.pending = self.cut_size = 0
+
+    def meet(self, keys: np.ndarray, x: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Compare rows with all queries, or with those at the places ``asking``."""
+        asking = np.arange(len(self.q)) if asking is None else asking
+        x = _to_length_one(x) if self.metric == "cosine" else x
+        width = max(1, min(SLICE, SLICE * QUERY_BLOCK // max(1, len(asking))))
+        for at in range(0, len(x), width):
+            self._slice(keys[at : at + width], x[at : at + width], asking)
+
+    def _slice(self, keys: np.ndarray, x: np.ndarray, asking: np.ndarray) -> None:
+        q, border = self.q[asking], self.border[asking]
+        far = 1 - q @ x.T if self.metric == "cosine" else batch_distances(self.metric, q, x)
+        fresh = np.isinf(border)
+        if len(x) > self.k and fresh.any():
+            border[fresh] = np.partition(far[fresh], self.k - 1, axis=1)[:, self.k - 1]
+        row, place = np.nonzero(far <= (border + 2e-6)[:, None])  # what rounding may bring within the border
+        if len(row):
+            distances = np.clip(far[row, place], 0, 2) if self.metric == "cosine" else far[row, place]
+            self.kept.append((asking[row], keys[place], np.round(distances, 6) + 0.0))
+            self.pending += len(row)
+            if self.pending > max(1 << 16, self.cut_size // 2) or fresh.any():
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries, keys and distances of the best so far, in this order: query, distance, key."""
+        if not self.kept:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        places, keys, distances = (np.concatenate(c) for c in zip(*self.kept, strict=True))
+        order = np.lexsort((keys, distances, places))
+        places = places[order]
+        first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+        counts = np.diff(np.concatenate((first, [len(places)])))
+        rank = np.arange(len(places)) - np.repeat(first, counts)
+        full = counts >= self.k
+        self.border[places[first[full]]] = distances[order][first[full] + self.k - 1]
+        inside = rank < self.k
+        self.kept = [(places[inside], keys[order][inside], distances[order][inside])]
+        self.pending, self.cut_size = 0, int(inside.sum())
+        return self.kept[0]
+
+    def batches(self, ids: list) -> Iterator[pa.RecordBatch]:
+        """``(qid, id, distance)`` of the best, with the queries' ids by place."""
+        places, keys, distances = self.cut()
+        for at in range(0, len(places), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in places[part].tolist()]), pa.array(keys[part].tolist()), pa.array(distances[part])], ["qid", "id", "distance"])
+
+
+def _to_length_one(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows without length stay zero, so their cosine is 0."""
+    length = np.sqrt((x**2).sum(1))[:, None]
+    return np.where(length > 0, x / np.where(length > 0, length, 1), 0.0)
 
 
 def _nearest_in_batches(shared, k: int, metric: str):
     """A task keeps the best k rows of each query over all its batches, and passes on only these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [q for q, _ in shared.value]
-        q = np.asarray([v for _, v in shared.value], np.float64)
-        best: list[tuple[np.ndarray, np.ndarray]] | None = None
+        best: Nearest | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(1).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-            names = np.asarray(batch.column(0).to_pylist())
-            for at in range(0, len(x), SLICE):  # a slice of rows by all queries is what is held at a time
-                fresh = np.round(batch_distances(metric, q, x[at : at + SLICE]), 6) + 0.0
-                own = names[at : at + SLICE]
-                if best is None:
-                    best = [(own[:0], fresh[0, :0])] * len(ids)
-                border = np.asarray([d[-1] if len(d) == k else np.inf for _, d in best])
-                for n in np.flatnonzero((fresh <= border[:, None]).any(1)).tolist():
-                    inside = fresh[n] <= border[n]
-                    keys, distances = best[n]
-                    best[n] = nearest(np.concatenate((keys, own[inside])), np.concatenate((distances, fresh[n][inside])), k)
-        for n, (keys, distances) in enumerate(best or []):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[n]] * len(keys)), pa.array(keys.tolist()), pa.array(distances)], ["qid", "id", "distance"])
+            if batch.num_rows:
+                best = best or Nearest(metric, np.asarray([v for _, v in shared.value], np.float64), k)
+                x = np.asarray(batch.column(1).values.to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+                best.meet(np.asarray(batch.column(0).to_pylist()), x)
+        if best is not None:
+            yield from best.batches([q for q, _ in shared.value])
 
     return run
 
 
+def nearest_in_lists(rows: DataFrame, ids: list, queries: np.ndarray, chosen: Sequence[Sequence[int]], k: int, metric: str, kind: str, vectors: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """``(qid, id, distance)``: a task's best k rows of each query of a block, among the lists ``chosen`` for it.
+
+    ``rows`` begins with ``(id, list_id)``; ``vectors`` makes a batch of it into vectors. Each row meets only the queries that ask for its list.
+    """
+    of: dict[int, list[int]] = {}
+    for n, lists in enumerate(chosen):
+        for i in lists:
+            of.setdefault(i, []).append(n)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries, {i: np.asarray(n) for i, n in of.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, probing = shared.value
+        best: Nearest | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            best = best or Nearest(metric, q, k)
+            lists = batch.column(1).to_numpy(zero_copy_only=False)
+            for place in np.unique(lists):
+                asking = probing.get(int(place))
+                if asking is not None:
+                    inside = np.flatnonzero(lists == place)
+                    for at in range(0, len(inside), 4096):
+                        part = batch.take(pa.array(inside[at : at + 4096]))
+                        best.meet(np.asarray(part.column(0).to_pylist()), vectors(part), asking)
+        if best is not None:
+            yield from best.batches(names)
+
+    return rows.mapInArrow(run, f"qid {kind}, id {rows.schema['id'].dataType.simpleString()}, distance double")
+
+
 def knn_of_row(df: DataFrame, one: DataFrame, k: int, metric: str = "cosine", id_col: str = "id", emb_col: str = "embedding") -> DataFrame:
     """The k nearest rows to a query that is the first row of a DataFrame; ``(id, distance)``, none without a query.
 
