@@ -192,10 +192,11 @@ def run(
     spark = next(iter(datasets.values())).index.spark
     retrieval, diagnostics, answers = [], [], []
     for name, d in datasets.items():
+        truth = files.settle(d.truth, "truth")  # often a search of all vectors, which every system is held against
         for system in systems:
             check_request(d.index, d.index.options.metric, system, k, max(k, depth or k))
             tag = {"dataset": F.lit(name), "system_id": F.lit(system)}
-            retrieval.append(run_retrieval(d.index, d.queries, d.truth, k, system, depth, knobs, timed=timed).withColumns(tag))
+            retrieval.append(run_retrieval(d.index, d.queries, truth, k, system, depth, knobs, timed=timed).withColumns(tag))
             diagnostics.append((name, system, *_diagnosed(d, system, knobs)))
             if generator is not None and d.questions is not None and d.passages is not None and d.references is not None:
                 found = retrieve(d.index, d.queries, k, system, depth, knobs).select(F.col("qid").cast("string").alias("query_id"), F.posexplode("retrieved").alias("place", "id"))

@@ -45,6 +45,23 @@ def test_float_lists_join_no_pairs(spark, tmp_path):
     assert campaign.retrieve(built, asked.where("false"), 5, "float_lists_approx").count() == 0
 
 
+def test_a_campaign_makes_its_truth_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit_rows(np.random.default_rng(2), 100))], "id long, embedding array<float>")
+    built = VectorIndex.build(rows, f"file://{tmp_path}/index", IndexOptions(bits=8, lists=2))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    near = knn.batch_knn(rows, asked, 5).groupBy(F.col("qid").alias("query_id")).agg(F.collect_list(F.col("id").cast("string")).alias("relevant"))
+    truth = near.withColumn("evidence", F.col("relevant")).mapInArrow(count, "query_id long, relevant array<string>, evidence array<string>")
+    found = campaign.run({"d": campaign.Dataset(built, asked, truth)}, ["exact_approx", "float_lists_approx", "exact_rerank"], k=5, depth=10, knobs=QueryKnobs(probes=2))
+    assert [r.recall for r in found["retrieval"].collect()] == [1.0] * 3 and made.value == 5
+
+
 def test_length_is_worked_out_once(spark):
     frame = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>")
     scaled = V.unit(F.col("v"))
