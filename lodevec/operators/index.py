@@ -35,6 +35,8 @@ from lodevec.plans.options import ATTRIBUTE_TYPES, FORMAT_VERSION, IndexOptions,
 from lodevec.sources import files
 
 CODE_COLUMNS = ["idx", "sgn", "gamma"]
+#: What rounding of stored floats and of distances to six digits may add to a bound.
+BOUND_SLACK = 1e-5
 #: Stands for the delta where rows are told apart by list.
 DELTA_LIST = -1
 
@@ -584,6 +586,35 @@ class VectorIndex:
         stats.selected_lists = taken
         return taken
 
+    def completed(self, found: DataFrame, query: Sequence[float], k: int, lists: Sequence[int] | None = None, filters: dict | None = None, metric: str | None = None) -> DataFrame:
+        """``(id)``: rows among which the k nearest are for certain, of the lists given or of all, with those that match the filters.
+
+        Codes alone can't tell rows apart that are nearer to each other than their error, so a search's bounded set of
+        candidates may lack some of the nearest. The exact distance of the k-th of ``found`` is one that the k nearest keep to,
+        and the code of a row says how near it can be at most: rows that can't reach that distance are left out, others
+        are not, however many. The bounds hold for vectors of length one; of others all rows are taken.
+        """
+        metric, condition, names = metric or self.options.metric, filter_column(filters), ("id", *CODE_COLUMNS, *self.attribute_types)
+        delta, rows = self._delta(), self._live(None if lists is None else list(lists)).select(*names)
+        rows = rows if delta is None else rows.unionByName(delta.select(*names))
+        rows = rows if condition is None else rows.where(condition)
+        known = exact_rerank(self.rows(), found, query, k, metric).agg(F.count("*"), F.max("distance")).first()
+        if known[0] < k or not self.options.normalized:
+            return rows.select("id")
+        asked, border = np.asarray(query, np.float64), known[1] + BOUND_SLACK
+        length = float(np.sqrt((asked**2).sum()))
+        least = {"cosine": (1 - border) * length, "ip": -border, "l2": (length**2 + 1 - border**2) / 2}[metric] - BOUND_SLACK
+        rotated, codec, arrow = self.codec.rotate(asked[None, :])[0], self.codec, _arrow(T.StructType([rows.schema["id"]]))
+
+        def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    codes, signs = codec.unpack(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                    most = codec.most(rotated, codes, signs, batch.column(3).to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.flatnonzero(most >= least)))], schema=arrow)
+
+        return rows.select("id", *CODE_COLUMNS).mapInArrow(reaching, T.StructType([rows.schema["id"]]))
+
     def candidates(self, query: Sequence[float], candidates: int, final: int | None = None, filters: dict | None = None, knobs: QueryKnobs | None = None) -> DataFrame:
         """``(candidate_id, approximate_rank, approximate_distance)`` of the rows that the index finds; distances are of their vectors.
 

@@ -450,8 +450,9 @@ def _built(spark: SparkSession, sf_dir: str, **options) -> index.VectorIndex:
 
 
 def _reranked(built: index.VectorIndex, query: Sequence[float], k: int, knobs: QueryKnobs, filters: dict | None = None) -> DataFrame:
-    """Candidates of an index with exact distances."""
-    found, _ = built.search(query, knobs.probes * knobs.oversample_factor, knobs, filters)
+    """Candidates of an index with exact distances, and with them all rows that codes can't rule out."""
+    found, stats = built.search(query, knobs.probes * knobs.oversample_factor, knobs, filters)
+    found = built.completed(found, query, k, stats.selected_lists if stats.mode == "ivf" else None, filters)
     return knn.exact_rerank(built.rows().withColumnRenamed("id", "vec_id"), found.withColumnRenamed("id", "vec_id"), query, k, built.options.metric, "vec_id")
 
 

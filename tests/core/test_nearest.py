@@ -67,3 +67,30 @@ def test_length_is_worked_out_once(spark):
     scaled = V.unit(F.col("v"))
     assert [r[0] for r in frame.select(scaled).collect()] == [[0.6, 0.8], [0.0, 0.0], None]
     assert str(scaled).lower().count("sqrt") == 1
+
+
+def crowd(spark, seed=5):
+    """300 random rows, and 700 near copies of one vector, of which a code can't tell which are nearest; each ten of them are exact copies."""
+    rng = np.random.default_rng(seed)
+    base, others = unit_rows(rng, 1, 64), unit_rows(rng, 300, 64)
+    near = base + rng.normal(size=(70, 64)) * 0.01
+    x = np.concatenate([others, np.repeat(near / np.linalg.norm(near, axis=1)[:, None], 10, axis=0)]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    return x, base[0], spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+
+
+def slow_nearest(x, query, metric="cosine"):
+    distances = np.round(knn.batch_distances(metric, query[None, :], x.astype(np.float64))[0], 6)
+    return [(int(i), float(distances[i])) for i in np.lexsort((np.arange(len(x)), distances))]
+
+
+@pytest.mark.parametrize(("bits", "codec", "metric"), [(2, "lloyd", "cosine"), (8, "lloyd", "ip"), (6, "companding", "cosine"), (4, "lloyd", "l2")])
+def test_codes_lose_none_of_the_nearest(spark, tmp_path, bits, codec, metric):
+    x, query, rows = crowd(spark)
+    built = VectorIndex.build(rows.where("id % 4 <> 0"), f"file://{tmp_path}/index", IndexOptions(bits=bits, codec=codec, lists=3, metric=metric))
+    built.insert(rows.where("id % 4 = 0"))
+    found, stats = built.search(query.tolist(), 20, QueryKnobs(probes=4, oversample_factor=5))
+    whole = built.completed(found, query.tolist(), 10, stats.selected_lists)
+    got = [(r.id, round(r.distance, 6)) for r in knn.exact_rerank(built.rows(), whole, query.tolist(), 10, metric).collect()]
+    assert got == slow_nearest(x, query, metric)[:10]
+    assert bits < 8 or whole.count() <= 700  # what is far by its code is left out
