@@ -871,7 +871,7 @@ def i04(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose bound can't reach the threshold of a first pass aren't scored; the result stays that of a full scan."""
     built, query = _built(spark, sf_dir, bits=8, lists=8, metric="ip"), _probe(spark, sf_dir)
-    found, _ = built.search_pruned(query, 128)
+    found = built.completed(built.search_pruned(query, 128)[0], query, 10, metric="cosine")
     return knn.exact_rerank(built.rows().withColumnRenamed("id", "vec_id"), found.withColumnRenamed("id", "vec_id"), query, 10, "cosine", "vec_id")
 
 
