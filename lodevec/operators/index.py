@@ -616,16 +616,19 @@ class VectorIndex:
         return rows.select("id", *CODE_COLUMNS).mapInArrow(reaching, T.StructType([rows.schema["id"]]))
 
     def candidates(self, query: Sequence[float], candidates: int, final: int | None = None, filters: dict | None = None, knobs: QueryKnobs | None = None) -> DataFrame:
-        """``(candidate_id, approximate_rank, approximate_distance)`` of the rows that the index finds; distances are of their vectors.
+        """``(candidate_id, approximate_rank, approximate_distance)`` of the nearest rows in the lists that the index reads; distances are of their vectors.
 
-        Knobs that aren't given follow from the two limits.
+        As many as asked for, up to the capacity of a search. Knobs that aren't given follow from the two limits.
         """
         knobs = knobs or QueryKnobs(**budget.resolve_knobs(candidates, final or candidates))
-        found, _ = self.search(query, candidates, knobs, filters)
+        found, stats = self.search(query, candidates, knobs, filters)
+        if self.dimension:
+            candidates = min(candidates, stats.candidate_capacity)
+            found = self.completed(found, query, candidates, stats.selected_lists if stats.mode == "ivf" else None, filters)
         return ranked_candidates(exact_rerank(self.rows(), found, query, candidates, self.options.metric))
 
     def rerank(self, query: Sequence[float], candidates: int, final: int, filters: dict | None = None, knobs: QueryKnobs | None = None) -> DataFrame:
-        """Candidates with ``exact_rank`` and ``exact_distance``, the final best by the rounded distance and text id.
+        """Candidates with ``exact_rank`` and ``exact_distance``, the final best by the rounded distance and id, ranked by distance and text id.
 
         The index finds an effective number of candidates; the exact distance is computed from the vectors of the live rows.
         """
@@ -635,8 +638,9 @@ class VectorIndex:
         vectors = self.rows().select(F.col("id").cast("string").alias("candidate_id"), "embedding")
         exact = V.rounded(V.distance(self.options.metric, F.col("embedding"), V.vector(query)))
         joined = found.join(vectors, "candidate_id").withColumn("exact_distance", exact).drop("embedding")
-        rank = F.row_number().over(Window.orderBy("exact_distance", "candidate_id"))
-        return joined.withColumn("exact_rank", rank.cast("long")).where(F.col("exact_rank") <= final)
+        # ranks of candidates go by distance and id, so of equal distances the least ids stay
+        kept = joined.orderBy("exact_distance", "approximate_rank").limit(final)
+        return kept.withColumn("exact_rank", F.row_number().over(Window.orderBy("exact_distance", "candidate_id")).cast("long"))
 
     # ------------------------------------------------------------------ writes
     def _next_seq(self) -> int:

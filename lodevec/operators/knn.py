@@ -258,14 +258,15 @@ def ranked_candidates(found: DataFrame, id_col: str = "id") -> DataFrame:
 def rerank_candidates(
     df: DataFrame, query: Sequence[float], candidates: int, final: int, metric: str = "cosine", id_col: str = "id", emb_col: str = "embedding", knobs: QueryKnobs | None = None, filters: dict | None = None
 ) -> DataFrame:
-    """Candidates with ``exact_rank`` and ``exact_distance``, the final best by rounded distance and text id."""
+    """Candidates with ``exact_rank`` and ``exact_distance``, the final best by rounded distance and id, ranked by distance and text id."""
     knobs = knobs or QueryKnobs()
     limit = effective_limit(candidates, final, knobs.decode_rescore_factor, knobs.decode_rescore_extra_candidates)
     found = approx_candidates(df, query, limit, metric, id_col, emb_col, filters)
     vectors = df.select(F.col(id_col).cast("string").alias("candidate_id"), F.col(emb_col).alias("vector"))
     exact = found.join(vectors, "candidate_id").withColumn("exact_distance", V.rounded(V.distance(metric, F.col("vector"), V.vector(query)))).drop("vector")
-    rank = F.row_number().over(Window.orderBy("exact_distance", "candidate_id"))
-    return exact.withColumn("exact_rank", rank.cast("long")).where(F.col("exact_rank") <= final)
+    # ranks of candidates go by distance and id, so of equal distances the least ids stay
+    kept = exact.orderBy("exact_distance", "approximate_rank").limit(final)
+    return kept.withColumn("exact_rank", F.row_number().over(Window.orderBy("exact_distance", "candidate_id")).cast("long"))
 
 
 def exact_rerank(base: DataFrame, candidates: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", id_col: str = "id", emb_col: str = "embedding") -> DataFrame:

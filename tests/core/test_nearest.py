@@ -94,3 +94,14 @@ def test_codes_lose_none_of_the_nearest(spark, tmp_path, bits, codec, metric):
     got = [(r.id, round(r.distance, 6)) for r in knn.exact_rerank(built.rows(), whole, query.tolist(), 10, metric).collect()]
     assert got == slow_nearest(x, query, metric)[:10]
     assert bits < 8 or whole.count() <= 700  # what is far by its code is left out
+
+
+def test_rerank_keeps_the_least_ids_of_equal_distances(spark, tmp_path):
+    """Of copies those of least id stay, not those whose id comes first as a text."""
+    _, _, rows = crowd(spark)
+    copies = spark.range(30).selectExpr("id + 995 AS id").crossJoin(rows.where("id = 0").select("embedding"))
+    query = rows.where("id = 0").first().embedding
+    built = VectorIndex.build(copies, f"file://{tmp_path}/index", IndexOptions(bits=8))
+    wanted = [str(i) for i in sorted(range(995, 1003), key=str)]
+    for frame in (built.rerank(query, 20, 8), knn.rerank_candidates(copies, query, 20, 8)):
+        assert [r.candidate_id for r in frame.orderBy("exact_rank").collect()] == wanted
