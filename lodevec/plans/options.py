@@ -11,7 +11,7 @@ PAGE_OVERHEAD = 24 + 16 + 128
 MOST_ATTRIBUTES = 8
 MOST_ANY_VALUES = 16
 ATTRIBUTE_TYPES = ("boolean", "smallint", "int", "bigint", "date", "timestamp", "string")
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 
 def _within(name: str, value: int, low: int, high: int) -> None:
