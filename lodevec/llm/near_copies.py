@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.llm import simhash
-from lodevec.llm.common import map_rows, schema_of, settle, text_or_empty, unused
+from lodevec.llm.common import map_rows, schema_of, settle, small_batches, text_or_empty, unused
 
 WORDS, DISTANCE = 5, 3
 #: Longs of a wide fingerprint, and in how many of its bits near copies differ at most.
@@ -39,6 +39,8 @@ SAMPLE_DOCS, COMMON, COMMON_MOST = 10_000, 4, 200_000
 SALTS = 64
 #: Tables of keys of up to so many rows, three numbers each, go to all tasks, so the texts beside them aren't shuffled; larger ones are joined by a merge.
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch where it holds texts, one or two a row, and bytes of them that a worker takes at a time.
+BATCH_ROWS, CHUNK_BYTES = 512, 1 << 20
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -78,8 +80,9 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     def setup():
         return lambda texts: [(h,) for t in texts for h in shingle_set(t).view(np.int64).tolist()]
 
-    counted = map_rows(sample, setup, schema_of("h bigint"), chunk_bytes=1 << 20).groupBy("h").count().where(F.col("count") >= COMMON)
-    found = counted.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").collect()
+    counted = map_rows(sample, setup, schema_of("h bigint"), chunk_bytes=CHUNK_BYTES).groupBy("h").count().where(F.col("count") >= COMMON)
+    with small_batches(df.sparkSession, BATCH_ROWS):
+        found = counted.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").collect()
     return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
 
 
@@ -160,7 +163,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFr
 
         return work
 
-    return settle(map_rows(both.select("a", "b", "text_a", "text_b"), setup, schema_of("a bigint, b bigint")), "confirmed")
+    with small_batches(pairs.sparkSession, BATCH_ROWS):
+        return settle(map_rows(both.select("a", "b", "text_a", "text_b"), setup, schema_of("a bigint, b bigint"), chunk_bytes=CHUNK_BYTES), "confirmed")
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -209,7 +213,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = prints_and_prefixes(df, id_col, text_col).groupBy("node").agg(
         F.min(told).alias("least"), F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("tail").alias("tail"), F.first("wide").alias("wide")
     )
-    nodes = settle(nodes, "nodes")
+    with small_batches(df.sparkSession, BATCH_ROWS):
+        nodes = settle(nodes, "nodes")
     texts_of = df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), text_or_empty(text_col).alias("body"))
     joined = simhash.components(links(nodes, texts_of))
     rooted = nodes.select("node", "least").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))

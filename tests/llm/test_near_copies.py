@@ -112,3 +112,17 @@ def test_hostile_rows(docs, no_docs):
     kept = N.keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "5", "6", "7", "8", "9", "None"]
     assert N.keep_one(no_docs).count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    """Batches of ten thousand rows with two texts each took tens of megabytes in the JVM and in each worker."""
+    name, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, keep = spark.conf.get(name), N.settle
+    N.settle = lambda frame, label: sizes.append((label, int(spark.conf.get(name)))) or keep(frame, label)
+    try:
+        frame = spark.createDataFrame([(i, f"one text of {i % 3} words or more and more") for i in range(9)], "doc_id long, text string")
+        assert N.keep_one(frame).count() == 3
+    finally:
+        N.settle = keep
+    texts = [size for label, size in sizes if label in ("nodes", "confirmed")]
+    assert len(texts) == 3 and max(texts) == N.BATCH_ROWS and spark.conf.get(name) == before
