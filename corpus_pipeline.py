@@ -12,15 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodevec.llm import near_copies, sp_transducer, tiling, toxicity
-from lodevec.llm.common import settle, table
+from lodevec.llm.common import lower_batches, settle, table
 from lodevec.llm.queries import piece_model
 
+#: Rows of an Arrow batch at most. A stage sets this for its session, since what it returns is run later: a batch is held by the JVM and by the
+#: Python worker beside it, and of these texts the usual 10,000 rows take about 30 MB on each side, for each core.
+BATCH_ROWS = 512
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold. The model learns from the labelled part of ``docs``.
 
     Each row is judged by its text, whatever its id: repeats share their fate, and an empty text is scored like any other.
     """
+    lower_batches(spark, BATCH_ROWS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
@@ -31,6 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The least id stays, null ids come last, and texts decide: of repeated rows one stays, of one id with unlike texts each
     text. Texts without words are one component.
     """
+    lower_batches(spark, BATCH_ROWS)
     return near_copies.keep_one(docs)
 
 
@@ -39,11 +45,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Each row is judged by its text; empty texts stay. Items without text, or of fewer tokens than ``tiling.MIN_ITEM``, rule nothing out.
     """
+    lower_batches(spark, BATCH_ROWS)
     return tiling.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of each document, read back to see that they give its text: a row for each row, with an empty list for an empty text."""
+    lower_batches(spark, BATCH_ROWS)
     return sp_transducer.encoded(docs, piece_model())
 
 

@@ -59,6 +59,12 @@ def warm(key: Any, make: Callable[[], Any]) -> Any:
     return _WARM[key]
 
 
+def cool() -> None:
+    """Let go of what earlier tasks of a worker process kept warm, where work that doesn't need it begins."""
+    _WARM.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like those given that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -81,19 +87,27 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lower_batches(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of at most so many rows for all that the session runs from now on, as frames that aren't run yet need."""
+    before = int(spark.conf.get(BATCH_ROWS_SETTING))
+    spark.conf.set(BATCH_ROWS_SETTING, str(min(rows, before) if before > 0 else rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for what is run inside.
 
     A batch is held by the JVM and by the Python worker beside it, so of long texts the usual number of rows takes tens of megabytes on each side, for each core.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(BATCH_ROWS_SETTING)
+    lower_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_ROWS_SETTING, before)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.llm import simhash
-from lodevec.llm.common import map_rows, schema_of, settle, small_batches, text_or_empty, unused
+from lodevec.llm.common import cool, map_rows, schema_of, settle, small_batches, text_or_empty, unused
 
 WORDS, DISTANCE = 5, 3
 #: Longs of a wide fingerprint, and in how many of its bits near copies differ at most.
@@ -78,6 +78,7 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     sample = df.select(text_or_empty(text_col).alias("t")).where(F.pmod(F.xxhash64(F.col(id_col), "t"), F.lit(every)) == 0)
 
     def setup():
+        cool()
         return lambda texts: [(h,) for t in texts for h in shingle_set(t).view(np.int64).tolist()]
 
     counted = map_rows(sample, setup, schema_of("h bigint"), chunk_bytes=CHUNK_BYTES).groupBy("h").count().where(F.col("count") >= COMMON)
@@ -102,6 +103,7 @@ def prints_and_prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(common_shingles(df, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         common = shared.value
         for batch in batches:
             step = max(1, min(batch.num_rows, int(batch.num_rows * (2 << 20) / max(1, batch.nbytes))))
@@ -151,6 +153,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFr
     both = salted.join(texts.select(F.col("node").alias("b"), F.col("body").alias("text_b")), "b").join(heads, ["a", "salt"])
 
     def setup():
+        cool()
         known = lru_cache(64)(shingle_set)
 
         def work(a: list, b: list, first: list, second: list) -> list[tuple]:

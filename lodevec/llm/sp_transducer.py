@@ -34,6 +34,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The table of paths holds about so many bytes, in two generations; longer cuts aren't kept.
 CACHE_BYTES, LONGEST_KEPT = 48 << 20, 48
 ENTRY_BYTES = 200
+#: So many bytes of texts become Python objects at once; their ids and read-back copies take several times that.
+CHUNK_BYTES = 1 << 20
 CACHE_PAIRS = 200_000
 SHORT = (2, 1)
 INF = float("inf")
@@ -387,4 +389,4 @@ def encoded(docs: DataFrame, model: Transducer, id_col: str = "doc_id", text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col), text_or_empty(text_col).alias("__text"))
-    return map_rows(source, setup, schema_of(f"`{id_col}` {kind}, ids array<int>, n_ids int, round_trip boolean"))
+    return map_rows(source, setup, schema_of(f"`{id_col}` {kind}, ids array<int>, n_ids int, round_trip boolean"), chunk_bytes=CHUNK_BYTES)

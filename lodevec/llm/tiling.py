@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import map_rows, schema_of, text_or_empty
+from lodevec.llm.common import cool, map_rows, schema_of, text_or_empty
 
 SEED_TOKENS = 5
 MIN_TILE = 5
@@ -238,6 +238,7 @@ def matches(
     for shared in _blocks(benchmark, item_col, item_text, block_chars):
 
         def setup(shared: Broadcast = shared):
+            cool()
             bench = Benchmark(shared.value, min(SEED_TOKENS, min_tile), min_item)
 
             def work(ids: list, texts: list) -> list[tuple]:
@@ -252,6 +253,7 @@ def matches(
 def _leaked(shared: Broadcast, text: Column, min_tile: int, min_coverage: float, min_item: int) -> Column:
     @F.arrow_udf("boolean")  # type: ignore[call-overload]
     def leaked(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cool()
         bench = Benchmark(shared.value, min(SEED_TOKENS, min_tile), min_item)
         for texts in columns:
             yield pa.array([any(True for _ in _hits(bench, t.as_py(), min_tile, min_coverage)) for t in texts], pa.bool_())

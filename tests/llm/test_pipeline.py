@@ -1,7 +1,7 @@
 import sentencepiece
 
 import corpus_pipeline as C
-from lodevec.llm import near_copies, tiling, toxicity
+from lodevec.llm import common, near_copies, sp_transducer, tiling, toxicity
 from lodevec.llm.queries import tokenizer_path
 from tests.llm.test_near_copies import slow_kept
 
@@ -42,3 +42,27 @@ def test_one_of_each_group_stays(spark):
     text = " ".join(f"word{i}" for i in range(300))
     frame = spark.createDataFrame([(i, text) for i in (9, 4, 7)] + [(1, "something else")], "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.keep_one(frame).collect()) == [1, 4]
+
+
+def test_stages_hold_little_at_once(spark, docs, sf_dir, monkeypatch):
+    """Each stage keeps Arrow batches short until its result is run; encoding makes at most a megabyte of texts into Python objects at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for _, stage in C.STAGES:
+            spark.conf.set(name, "10000")
+            stage(spark, docs, sf_dir)
+            assert int(spark.conf.get(name)) <= 512
+    finally:
+        spark.conf.set(name, before)
+    held = {}
+    monkeypatch.setattr(sp_transducer, "map_rows", lambda *a, chunk_bytes=16 << 20: held.update(most=chunk_bytes))
+    C.encode(spark, docs, sf_dir)
+    assert held["most"] <= 1 << 20
+
+
+def test_workers_let_go_of_what_a_stage_does_not_need():
+    made = [common.warm("a stage's table", lambda: [object()])]
+    common.cool()
+    made.append(common.warm("a stage's table", lambda: [object()]))
+    assert made[0] is not made[1]
