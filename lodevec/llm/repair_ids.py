@@ -24,52 +24,60 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import schema_of, scratch, settle, text_or_empty, warm
+from lodevec.llm.common import schema_of, scratch, settle, small_batches, text_or_empty, warm
 from lodevec.llm.shared_files import RangeReader, write_new
 
 MAGIC = b"RPGRAM01"
 SHARD_TOKENS = 1 << 21
 #: So many pairs at most get a rank in a round. More make rounds fewer and rules worse: those of rare pairs come before those of frequent longer ones.
 PAIRS_A_ROUND, LEAST_COUNT = 3072, 5
+#: About so many bytes of texts are cut at once.
+PIECE_BYTES = 8 << 20
+#: Rows of an Arrow batch at most, which the JVM and the Python worker beside it both hold.
+BATCH_ROWS = 2048
 #: Tables of words hold about so many bytes; longer cuts aren't kept.
-CACHE_BYTES, LONGEST_KEPT = 112 << 20, 48
+CACHE_BYTES, LONGEST_KEPT = 88 << 20, 48
 ENTRY_BYTES = 160
 WINDOW = 8
 
 
 # ---------------------------------------------------------------------- words to ids
 class Known(dict):
-    """Ids of cuts as bytes; what is missing is encoded when it is first asked for. ``room`` is what it still may hold."""
+    """Ids of parts as bytes; what is missing is encoded when it is first asked for. ``room`` is what it still may hold."""
 
-    def __init__(self, encoder: WordEncoder, older: dict) -> None:
+    def __init__(self, encode: Callable[[str], bytes], older: dict) -> None:
         self[""] = b""
-        self.encoder, self.older, self.room = encoder, older, CACHE_BYTES
-
-    def __missing__(self, cut: str) -> bytes:
-        found = self.older.get(cut)
-        if found is None:
-            found = self.encoder._cut(cut)
-        if len(cut) <= LONGEST_KEPT and self.room > 0:
-            self[cut] = found
-            self.room -= ENTRY_BYTES + len(cut)
+        self.encode, self.older, self.room = encode, older, CACHE_BYTES
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
+        return self.keep(part, self.encode(part) if found is None else found)
+
+    def keep(self, part: str, found: bytes) -> bytes:
+        if len(part) <= LONGEST_KEPT and self.room > 0:
+            self[part] = found
+            self.room -= ENTRY_BYTES + len(part)
         return found
 
 
 class WordEncoder:
     """Ids of whole texts from a Hugging Face tokenizer whose parts never reach across white space.
 
-    Texts are cut at spaces and line ends; ids of cuts are kept in tables of bounded bytes. A cut that isn't known
-    goes to the library, but for two kinds that its pattern can only split in one way: Latin letters that fold one
+    Texts are cut at spaces and line ends, and Arrow finds the different cuts of a few texts, so each is looked at once.
+    A cut goes to the library, but for two kinds that its pattern can only split in one way: Latin letters that fold one
     by one, with full stops and commas after them, and printable ASCII. Their runs of letters go to the library's model.
+    Ids of folded letters, marks and other cuts are kept in one table of bounded bytes.
     """
 
     #: The tokenizer's pattern of parts, a fixed value of its file.
@@ -80,60 +88,67 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 60_000 else "<u4")
         self.code = "H" if self.width.itemsize == 2 else "I"
-        self.known = Known(self, {})
-        self.lower: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.known = Known(self._part, {})
         # byte-level models name a byte by its Latin-1 character if that is printable, else by one from U+0100 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = dict(zip((b for b in range(256) if b not in shown), range(256, 512), strict=False))
         self.names = {chr(c): "".join(chr(rest.get(b, b)) for b in chr(c).encode()) for c in range(0x250)}
         letters = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250")
-        self.latin = re.compile(f"([{letters}]+)([.,]*)")
+        #: Of each line its letters and marks, both empty where it has anything else.
+        self.lines = re.compile(f"([{letters}]++)([.,]*+)\n|[^\n]*\n")
 
     def _direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
     def _letters(self, plain: str) -> bytes:
         """Ids of folded Latin letters alone, which are one part, by the model without its other steps."""
-        found = self.lower.get(plain)
-        if found is None:
-            name = plain if plain.isascii() else "".join(map(self.names.__getitem__, plain))
-            found = array(self.code, [t.id for t in self.tokenizer.model.tokenize(name)]).tobytes()
-            if len(plain) <= LONGEST_KEPT and self.known.room > 0:
-                self.lower[plain] = found
-                self.known.room -= ENTRY_BYTES + len(plain)
-        return found
-
-    def _mark(self, part: str) -> bytes:
-        found = self.marks.get(part)
-        if found is None:
-            found = self._direct(part)
-            if len(part) <= LONGEST_KEPT and self.known.room > 0:
-                self.marks[part] = found
-                self.known.room -= ENTRY_BYTES + len(part)
-        return found
+        name = plain if plain.isascii() else "".join(map(self.names.__getitem__, plain))
+        return array(self.code, [t.id for t in self.model.tokenize(name)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable() and "<|" not in part:
+            if part.isalpha() and part.islower():
+                return self._letters(part)
+            parts = self.PARTS.findall(part.lower())
+            if parts != [part]:
+                return b"".join(map(self.known.__getitem__, parts))
+        return self._direct(part)
+
+    def _cuts(self, cuts: list[str], joined: str) -> list[bytes]:
+        """Ids of cuts, which have no line ends. Two generations of parts are kept, so what is used often stays known."""
+        if self.known.room < 0:
+            self.known = Known(self._part, dict(self.known))
+        out, known, older, letters = [], self.known, self.known.older, self._letters
+        for cut, (word, marks) in zip(cuts, self.lines.findall(joined + "\n"), strict=True):
+            if not word:
+                out.append(known[cut])
+                continue
+            plain = word.lower()
+            found = known.get(plain)
+            if found is None:
+                found = older.get(plain)
+                found = known.keep(plain, letters(plain) if found is None else found)
+            out.append(found + known[marks] if marks else found)
+        return out
 
-    def _cut(self, cut: str) -> bytes:
-        latin = self.latin.fullmatch(cut)
-        if latin:
-            word, marks = latin.groups()
-            return self._letters(word.lower()) + self._mark(marks) if marks else self._letters(word.lower())
-        if cut.isascii() and cut.isprintable() and "<|" not in cut:
-            return b"".join([self._letters(p) if p.isalpha() else self._mark(p) for p in self.PARTS.findall(cut.lower())])
-        return self._direct(cut)
+    def encode_arrow(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after the other, and where each text's begin, with the end of the last."""
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.string()), "\n", " "), " ")
+        places, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
+        different = coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different), "\n")[0].as_py()
+        found = self._cuts(joined.split("\n"), joined) if len(different) else []
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width.itemsize
+        table = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(np.frombuffer(b"".join(found), self.width)))
+        ids = table.take(coded.indices).flatten().to_numpy()
+        return ids, np.concatenate(([0], np.cumsum(sizes[coded.indices.to_numpy()])))[places]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts. Two generations of cuts are kept, so what is used often stays known."""
-        out = []
-        for text in texts:
-            if self.known.room < 0:
-                self.known = Known(self, dict(self.known))
-                self.lower.clear()
-                self.marks.clear()
-            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))), self.width))
-        return out
+        ids, edges = self.encode_arrow(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in pairwise(edges.tolist())]
 
 
 def shared_encoder(path: str) -> WordEncoder:
@@ -328,20 +343,22 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["path", "place", "shard", "n_docs", "n_tokens", "n_bytes"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                found = encoder.encode(piece.column(1).to_pylist())
-                for i, tokens in zip(piece.column(0).to_pylist(), found, strict=True):
+            step = max(1, int(batch.num_rows * PIECE_BYTES / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                tokens, edges = encoder.encode_arrow(piece.column(1))
+                for i, (a, b) in zip(piece.column(0).to_pylist(), pairwise(edges.tolist()), strict=True):
                     ids.append(i)
-                    held.append(np.concatenate((tokens, end)))
-                    waiting += len(tokens) + 1
+                    held.append(np.concatenate((tokens[a:b], end)))
+                    waiting += b - a + 1
                     if waiting >= SHARD_TOKENS:
                         yield flush()
         if ids:
             yield flush()
 
     ordered = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body")).repartitionByRange(F.col("id").asc_nulls_first())
-    manifest = settle(ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "body").mapInArrow(run, out), "manifest")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        manifest = settle(ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "body").mapInArrow(run, out), "manifest")
     # one row a shard, of two million tokens: the running total over them needs no dealing out
     before = Window.orderBy("place", "shard").rowsBetween(Window.unboundedPreceding, -1)
     manifest = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))

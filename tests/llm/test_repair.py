@@ -56,6 +56,16 @@ def test_tables_are_bounded_by_bytes(monkeypatch):
     assert len(encoder.known) + len(encoder.known.older) < 400 and max(map(len, encoder.known)) <= R.LONGEST_KEPT
 
 
+def test_each_different_cut_is_looked_at_once(monkeypatch):
+    encoder = R.WordEncoder(PATH)
+    asked, plain = [], encoder._cuts
+    monkeypatch.setattr(encoder, "_cuts", lambda cuts, joined: asked.append(len(cuts)) or plain(cuts, joined))
+    texts = ["Word word. WORD, d'Été 12", "", "\n\n word", "word. " * 50_000, "", "x\ry z\u2028 #" * 3] * 20
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert [f.tolist() for f in encoder.encode(texts)] == want and asked == [len({c for t in texts for c in t.replace("\n", " ").split(" ")})]
+    assert encoder.encode([]) == [] and [f.tolist() for f in encoder.encode(["", ""])] == [[], []]
+
+
 class Held:
     def __init__(self, data):
         self.data = data
