@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +67,15 @@ def cool() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system, which glibc otherwise keeps where small objects came and went."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like those given that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

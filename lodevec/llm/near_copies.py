@@ -10,11 +10,15 @@ Documents that share a passage and no more would make a candidate of each two of
 of 256 bits, must be within ``WIDE_DISTANCE``. Sets at 0.8 differ in 39 bits on average, with a deviation of 6 (48 and 6
 for sets of four and five, the worst), so the chance to lose a pair is below one in a thousand million; sets at 0.1 differ in 113.
 
-Documents of equal sets meet in one node first. The first confirmation has at most three candidates a node: what
-its fingerprint links to, and the member that heads most of the prefixes that they share. So a large group of near
-copies costs a few links each. The second compares all candidates that aren't in one component by then. Texts are only
-fetched for candidates whose prefixes have enough in common: what they share at most is that and the rest of the set
-whose prefix ends first.
+Documents of equal sets meet in one node first. The first confirmation has at most ``3 + ORDERS`` candidates a node: what
+its fingerprint links to, the member that heads most of the prefixes that they share, and neighbours in orders of the
+members of a shingle: each shingle sorts them by a word of the wide fingerprint, turned by bits of its own, so alike members
+stand side by side. So a large group of near copies costs a few links each, and nearly all of it is one component by then.
+A second, of neighbours in other orders that are of other components, joins most stragglers to it.
+The third compares all candidates that aren't in one component. A pair leaves that join where its prefixes meet first, not
+once for each shingle that they share: the shingles before are in one set only, which also bounds what they can have
+in common. Texts are only fetched for candidates whose prefixes have enough in common: what they share at most is that and
+the rest of the set whose prefix ends first.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ WIDE, WIDE_DISTANCE = 4, 88
 #: Shingles that are common in a sample come last in the order, so prefixes are rare ones. This bears on time, not on results.
 SAMPLE_DOCS, COMMON, COMMON_MOST = 10_000, 4, 200_000
 SALTS = 64
+#: Neighbours that a node is compared with at first and then, in other components, how many bits of a word those may differ in, and how many of all. This bears on time: other pairs wait for the last join.
+ORDERS, MORE_ORDERS, WORD_DISTANCE, LINK_DISTANCE = 4, 16, 20, 56
+#: How many shingles before a shared one are looked at to tell whether a pair has met before.
+BEFORE = 4
 #: Tables of keys of up to so many rows, three numbers each, go to all tasks, so the texts beside them aren't shuffled; larger ones are joined by a merge.
 BROADCAST_ROWS = 2_000_000
 #: Rows of an Arrow batch where it holds texts, one or two a row, and bytes of them that a worker takes at a time.
@@ -83,8 +91,8 @@ def common_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
 
     counted = map_rows(sample, setup, schema_of("h bigint"), chunk_bytes=CHUNK_BYTES).groupBy("h").count().where(F.col("count") >= COMMON)
     with small_batches(df.sparkSession, BATCH_ROWS):
-        found = counted.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").collect()
-    return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
+        found = counted.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").toArrow()
+    return np.sort(found["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def small(keys: DataFrame) -> DataFrame:
@@ -128,16 +136,23 @@ def prints_and_prefixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), text_or_empty(text_col).alias("body")).mapInArrow(run, schema)
 
 
+def unlike(first: str, second: str) -> Column:
+    """In how many bits two wide fingerprints differ."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(first)[k].bitwiseXOR(F.col(second)[k])) for k in range(WIDE)))
+
+
 def alike_so_far(shared: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of ``(a, b, x)``, where x counts what two prefixes share, the pairs whose whole sets may reach the similarity."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("tail").alias(f"tail_{s}"))
+    """Of ``(a, b)``, with x if it is known what two prefixes share, the pairs whose whole sets may reach the similarity."""
+    more = [] if "x" in shared.columns else ["prefix"]
+    side = lambda s: nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "tail", *more)))
     both = shared.join(side("a"), "a").join(side("b"), "b")
+    x = F.size(F.array_intersect("prefix_a", "prefix_b")) if more else F.col("x")
     first, second = rest_of(F.col("size_a")), rest_of(F.col("size_b"))
     rest = F.when(F.col("tail_a") < F.col("tail_b"), first).when(F.col("tail_a") > F.col("tail_b"), second).otherwise(F.greatest(first, second))
-    return both.where(near(F.col("x") + rest, F.col("size_a"), F.col("size_b"))).select("a", "b")
+    return both.where(near(x + rest, F.col("size_a"), F.col("size_b"))).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts_of: DataFrame, label: str = "confirmed") -> DataFrame:
     """Those of the pairs ``(a, b)`` of nodes that are near copies by their whole sets. Many pairs may have one ``a``.
 
     ``texts_of`` has id, hash and body of rows, of which the nodes' own are taken. The rows of a hot ``a`` are dealt
@@ -167,7 +182,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts_of: DataFrame) -> DataFr
         return work
 
     with small_batches(pairs.sparkSession, BATCH_ROWS):
-        return settle(map_rows(both.select("a", "b", "text_a", "text_b"), setup, schema_of("a bigint, b bigint"), chunk_bytes=CHUNK_BYTES), "confirmed")
+        return settle(map_rows(both.select("a", "b", "text_a", "text_b"), setup, schema_of("a bigint, b bigint"), chunk_bytes=CHUNK_BYTES), label)
 
 
 def by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -180,29 +195,76 @@ def by_fingerprint(nodes: DataFrame) -> DataFrame:
     return linked.select(F.col("head_a.node").alias("a"), F.col("head_b.node").alias("b")).unionByName(same.select(F.col("head.node").alias("a"), F.col("node").alias("b")))
 
 
+def in_order(shift: int) -> Column:
+    """Where a node stands in its shingle's order: a word of its wide fingerprint, turned by bits of the shingle, which are others for another ``shift``."""
+    word = "element_at(wide, cast(pmod(shingle + {0}, {1}) + 1 as int))".format(shift, WIDE)
+    by = f"cast(pmod(shiftright(shingle, {shift}), 64) as int)"
+    return F.expr(f"shiftleft({word}, {by}) | shiftrightunsigned({word}, 64 - {by})")
+
+
+def neighbours(found: DataFrame, nodes: DataFrame, shares: int) -> DataFrame:
+    """Candidates ``(a, b)``: of each node's ``prior``, which are nodes that stand before it in its shingles' orders, the one at the least distance in each of some shares of the shingles."""
+    found = found.where(F.col("prior").isNotNull()).groupBy("node", F.pmod(F.shiftright("shingle", 16), F.lit(shares)).alias("share")).agg(F.min("prior").alias("prior"))
+    pairs = found.select(F.least("node", "prior.node").alias("a"), F.greatest("node", "prior.node").alias("b")).distinct()
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("wide").alias(f"wide_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(unlike("wide_a", "wide_b") <= LINK_DISTANCE).select("a", "b")
+
+
+def of_other_roots(open_: DataFrame) -> DataFrame:
+    """The members of shingles with the nearest of the two before them, if that is of another component; by another order than ``met`` has."""
+    order = Window.partitionBy("shingle").orderBy("turned", "node")
+    names = ("node", "size", "root", "wide")
+    rows = open_.withColumn("turned", in_order(24)).withColumns({f"last{k}": F.lag(F.struct(*names), k).over(order) for k in (1, 2)})
+
+    def told(k: int) -> Column:
+        apart = unlike("wide", f"last{k}.wide")
+        return F.when((F.col("root") != F.col(f"last{k}.root")) & fits(F.col("size"), F.col(f"last{k}.size")) & (apart <= LINK_DISTANCE), F.struct(apart.alias("apart"), F.col(f"last{k}.node").alias("node")))
+
+    return rows.select("shingle", "node", F.least(told(1), told(2)).alias("prior"))
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of members of one shingle and two roots that may be near copies, from where their prefixes meet first.
+
+    There neither has more in common with the other than is left from that shingle on. A pair that shares one of the
+    ``BEFORE`` shingles before has met already, so it comes again only where longer stretches of the prefixes differ.
+    """
+    side = lambda rows, s: rows.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "root", "left", "before", "wide")))
+    enough = near(F.least("left_a", "left_b"), F.col("size_a"), F.col("size_b"))
+    apart = (F.col("root_a") < F.col("root_b")) & enough & (unlike("wide_a", "wide_b") <= WIDE_DISTANCE) & ~F.arrays_overlap("before_a", "before_b")
+    return side(rows, "a").join(side(rows.where("root <> low"), "b"), "shingle").where(apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def links(nodes: DataFrame, texts_of: DataFrame) -> DataFrame:
     """Pairs of nodes that are near copies: all but those that others put in one component already."""
-    rows = nodes.select(F.explode("prefix").alias("shingle"), "node", "size")
+    rows = nodes.select("node", "size", "wide", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "node", "size", "at", in_order(8).alias("turned"))
     group = Window.partitionBy("shingle")
-    met = rows.withColumn("head", F.min(F.struct("node", "size")).over(group)).withColumn("n", F.count("*").over(group)).where("n > 1")
-    met = settle(met.select("shingle", "node", "size", "head"), "met")
+    order = group.orderBy("turned", "node")
+    met = rows.withColumns({"head": F.min(F.struct("node", "size")).over(group), "n": F.count("*").over(group), "last": F.lag(F.struct("node", "size", "turned")).over(order)}).where("n > 1")
+    apart = F.bit_count(F.col("turned").bitwiseXOR(F.col("last.turned")))
+    prior = F.when((apart <= WORD_DISTANCE) & fits(F.col("size"), F.col("last.size")), F.struct(apart.alias("apart"), F.col("last.node").alias("node")))
+    met = settle(met.select("shingle", "node", "size", "at", "head", prior.alias("prior")), "met")
 
     first = met.where((F.col("node") != F.col("head.node")) & fits(F.col("size"), F.col("head.size")))
     first = first.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("x"))
     first = first.groupBy("b").agg(F.max(F.struct("x", "a")).alias("s")).select("s.a", "b", "s.x")
-    edges = confirmed(alike_so_far(first, nodes).unionByName(by_fingerprint(nodes).select("a", "b")), nodes, texts_of)
+    edges = confirmed(alike_so_far(first, nodes).unionByName(by_fingerprint(nodes).select("a", "b")).unionByName(neighbours(met, nodes, ORDERS)), nodes, texts_of)
 
     joined = simhash.components(edges)
-    parted = met.drop("head").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = met.drop("head", "prior").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ends = parted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    wide = nodes.select("node", *(F.col("wide")[k].alias(f"w{k}") for k in range(WIDE)))
-    open_ = settle(parted.join(ends, "shingle").join(wide, "node"), "open")
-    names = ("node", "size", "root", *(f"w{k}" for k in range(WIDE)))
-    side = lambda s: open_.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in names))
-    unlike = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(WIDE)))
-    second = side("a").join(side("b"), "shingle").where((F.col("root_a") < F.col("root_b")) & fits(F.col("size_a"), F.col("size_b")) & (unlike <= WIDE_DISTANCE))
-    second = second.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("x"))
-    return edges.unionByName(confirmed(alike_so_far(second, nodes), nodes, texts_of))
+    before = F.slice("prefix", F.greatest(F.col("at") + 1 - BEFORE, F.lit(1)), F.least("at", F.lit(BEFORE)))
+    held = parted.join(ends, "shingle").join(nodes.select("node", "wide", "prefix"), "node")
+    open_ = settle(held.select("shingle", "node", "size", "root", (F.col("size") - F.col("at")).alias("left"), before.alias("before"), "wide"), "open")
+
+    more = confirmed(neighbours(of_other_roots(open_), nodes, MORE_ORDERS), nodes, texts_of, "stragglers")
+    root_of = lambda s: joined.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    between = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    merged = settle(simhash.components(between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "merged")
+    rooted = open_.join(small(merged.select(F.col("node").alias("root"), F.col("root").alias("lower"))), "root", "left").withColumn("root", F.coalesce("lower", "root"))
+    # the largest component of a shingle mostly has the least root, and no pair needs two of its members
+    rooted = rooted.withColumns({"low": F.min("root").over(group), "high": F.max("root").over(group)}).where("low <> high")
+    return edges.unionByName(more).unionByName(confirmed(alike_so_far(meetings(rooted).distinct(), nodes), nodes, texts_of))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

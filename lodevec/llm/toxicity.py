@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodevec.llm.common import map_rows, schema_of, text_or_empty, warm
+from lodevec.llm.common import map_rows, schema_of, text_or_empty, trim, warm
 
 WINDOW, STRIDE = 24, 16
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS = 8, 6, 6, 4096
@@ -402,7 +402,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     so_far = F.sum(F.length("body")).over(Window.orderBy("place", "id", F.xxhash64("body")).rowsBetween(Window.unboundedPreceding, 0))
     taken = found.withColumn("chars", so_far).where(F.col("chars") <= chars).select("id", "body", "label").collect()
     taken.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[1]))
-    return train_calibrated([r[1] for r in taken], [int(r[2] == 1) for r in taken])
+    texts_of, labels_of = [r[1] for r in taken], [int(r[2] == 1) for r in taken]
+    model = train_calibrated(texts_of, labels_of)
+    del taken, texts_of, labels_of
+    trim()  # the driver goes on beside this
+    return model
 
 
 def score_column(shared: Broadcast, text: Column) -> Column:

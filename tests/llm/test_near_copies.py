@@ -126,3 +126,49 @@ def test_texts_go_to_workers_in_small_batches(spark):
         N.settle = keep
     texts = [size for label, size in sizes if label in ("nodes", "confirmed")]
     assert len(texts) == 3 and max(texts) == N.BATCH_ROWS and spark.conf.get(name) == before
+
+
+def siblings(base, changed, copies, rng):
+    """Copies of a text of which each has its own words at places of its own."""
+    for c in range(copies):
+        words = list(base)
+        for at in rng.sample(range(len(words)), changed):
+            words[at] = f"new{c}at{at}"
+        yield " ".join(words)
+
+
+def counted(name, monkeypatch):
+    """How many rows a function of the module gives or gets, call by call."""
+    made, keep = [], getattr(N, name)
+
+    def count(frame, *more):
+        if name == "confirmed":
+            made.append(frame.distinct().count())
+            return keep(frame, *more)
+        out = keep(frame, *more)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, name, count)
+    return made
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Siblings around 0.8 are one component after a few links each; pairs grew with the square of the group."""
+    rng = random.Random(6)
+    base = [f"word{i}" for i in range(400)]
+    texts = dict(enumerate(t for changed in (3, 4, 5) for t in siblings(base, changed, 70, rng)))
+    made = counted("confirmed", monkeypatch)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.keep_one(frame).collect()) == sorted(slow_kept(texts))
+    assert sum(made) < 0.2 * 210 * 209 / 2
+
+
+def test_a_pair_leaves_the_join_about_once(spark, monkeypatch):
+    """Pairs that stay apart came once for each shingle that their prefixes share."""
+    rng = random.Random(7)
+    texts = dict(enumerate(siblings([f"word{i}" for i in range(500)], 10, 40, rng)))
+    made = counted("meetings", monkeypatch)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.keep_one(frame).collect()) == sorted(slow_kept(texts))
+    assert 0 < made[0] <= 1.5 * 40 * 39 / 2

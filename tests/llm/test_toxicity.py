@@ -180,3 +180,10 @@ def test_the_sample_is_bounded_by_characters(spark):
     marked = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
     one, two = T.fit(docs, marked, chars=2000), T.fit(docs, marked)
     assert len(one.words) < len(two.words)
+
+
+def test_the_driver_gives_back_what_training_took(spark, sf_dir, monkeypatch):
+    given = []
+    monkeypatch.setattr(T, "trim", lambda: given.append(1))
+    T.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert given
