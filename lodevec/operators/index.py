@@ -200,7 +200,7 @@ class VectorIndex:
                     owner = router.assign(rotated, shared.value) if shared.value is not None else np.zeros(len(rotated))
                     codes, signs, gamma = codec.encode(rotated)
                     idx, sgn = codec.pack(codes, signs)
-                    yield _with(batch, arrow, list_id=pa.array(owner.astype(np.int32)), idx=pa.array(idx, pa.binary()), sgn=pa.array(sgn, pa.binary()), gamma=pa.array(gamma))
+                    yield _with(batch, arrow, list_id=pa.array(owner.astype(np.int32)), idx=pa.array(idx, pa.binary()), sgn=pa.array(sgn, pa.binary()), gamma=pa.array(gamma.astype(np.float32)))
 
         return rows.mapInArrow(encode, schema)
 

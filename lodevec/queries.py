@@ -664,7 +664,7 @@ def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("C04_codes", CODES_SQL)
 def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes and residual norms as an index stores them, unpacked."""
+    """Codes as an index stores them, unpacked, and residual norms before they are stored in float32, where some would round to other decimals."""
     kept = _vectors(spark, sf_dir).withColumn("embedding", V.unit(F.col("embedding"))).select("vec_id", "embedding")
     made = codec.Codec(64, 4)
 
@@ -678,7 +678,7 @@ def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
                 codes, signs, gamma = made.encode(made.rotate(x))
                 codes = made.unpack(*made.pack(codes, signs))[0]
                 text = [",".join(map(str, row)) for row in codes.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(gamma.astype(np.float64))], ["vec_id", "codes", "gamma"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text), pa.array(gamma)], ["vec_id", "codes", "gamma"])
 
     found = kept.mapInArrow(run, "vec_id bigint, codes string, gamma double")
     return found.select("vec_id", F.md5(F.col("codes").cast("binary")).alias("codes"), V.rounded(F.col("gamma"), 3).alias("gamma"))
